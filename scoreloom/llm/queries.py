@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, quality_model, quality_rules
 
 QUERIES = {
+    "op3_attention_quality": quality_model.query,
+    "op4_decision_list_quality": quality_rules.query,
     "op6_winnowing_decontamination": decontaminate.query,
 }
 
