@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_model, quality_rules
+from . import decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, secret_scan
 
 QUERIES = {
+    "op1_poisson_mixing": mixing.query,
     "op3_attention_quality": quality_model.query,
     "op4_decision_list_quality": quality_rules.query,
+    "op5_minhash_near_dedup": near_dedup.query,
     "op6_winnowing_decontamination": decontaminate.query,
+    "op7_line_alignment_dedup": line_dedup.query,
+    "op8_multipart_secrets": secret_scan.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_poisson_mixing": mixing.ORACLE_SQL,
+}
