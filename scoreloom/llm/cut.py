@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder named by ``spark.checkpoint.dir`` and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, as in tests, one below the warehouse, which is shared as well."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
 
-    Where that is unset, as in tests, the folder is below the warehouse, which is shared as well.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        context.setCheckpointDir(place)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

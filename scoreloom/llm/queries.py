@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, near_dedup, quality_model, quality_rules, secret_scan
+from . import decontaminate, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, token_counts
 
 QUERIES = {
     "op1_poisson_mixing": mixing.query,
+    "op2_delta_token_counts": token_counts.query,
     "op3_attention_quality": quality_model.query,
     "op4_decision_list_quality": quality_rules.query,
     "op5_minhash_near_dedup": near_dedup.query,
     "op6_winnowing_decontamination": decontaminate.query,
     "op7_line_alignment_dedup": line_dedup.query,
     "op8_multipart_secrets": secret_scan.query,
+    "op9_deobfuscating_pii": pii.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
