@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, token_counts
+from . import decontaminate, license_scan, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, token_counts
 
 QUERIES = {
     "op1_poisson_mixing": mixing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_line_alignment_dedup": line_dedup.query,
     "op8_multipart_secrets": secret_scan.query,
     "op9_deobfuscating_pii": pii.query,
+    "op10_license_classifier": license_scan.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
