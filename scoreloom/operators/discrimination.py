@@ -114,8 +114,9 @@ def trapezoid_gini(points: DataFrame, x: str = "cum_pop", y: str = "cum_bads") -
 
 def impurity(df: DataFrame, classes: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """(by, n, impurity): 1 - the sum of squared class shares of each node."""
-    counts = df.groupBy(*by, classes).agg(F.sum(weight if weight is not None else F.lit(1)).alias("c"))
-    return counts.groupBy(*by).agg(F.sum("c").alias("n"), (1 - F.sum(F.col("c") * F.col("c")) / F.nullif((F.sum("c") * F.sum("c")).cast("double"), F.lit(0.0))).alias("impurity"))
+    counts = df.groupBy(*by, classes).agg(F.sum(weight if weight is not None else F.lit(1)).alias("__c"))
+    c, total = F.col("__c"), F.sum("__c")
+    return counts.groupBy(*by).agg(total.alias("n"), (1 - F.sum(c * c) / F.nullif((total * total).cast("double"), F.lit(0.0))).alias("impurity"))
 
 
 def impurity_reduction(df: DataFrame, classes: str, split: str) -> DataFrame:
