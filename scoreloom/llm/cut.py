@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, as in tests, one below the warehouse, which is shared as well."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, as in tests, one below the warehouse, which is shared as well. It is the
+    application's own, and goes with it if it is on the driver's disk.
+    """
+    if place := spark.conf.get("spark.checkpoint.dir", None):
+        return place.rstrip("/")
+    place = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{spark.sparkContext.applicationId}"
+    if place.startswith(("/", "file:")) and place not in _OURS:
+        _OURS.add(place)
+        atexit.register(shutil.rmtree, "/" + place.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    return place
+
+
+_OURS: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
