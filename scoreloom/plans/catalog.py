@@ -802,3 +802,65 @@ def _(spark, sf):
 @query("synthetic_portfolio")
 def _(spark, sf):
     return synthetic.portfolio(spark)
+
+
+@query("portfolio_validation", f"""
+SELECT CAST(b AS INTEGER) AS banda, CAST(n AS BIGINT) AS rows, CAST(n AS BIGINT) AS n, CAST(d AS BIGINT) AS flagged, CAST(d AS BIGINT) AS k, CAST(0 AS BIGINT) AS rows_off, CAST(0 AS BIGINT) AS flagged_off
+FROM (VALUES {', '.join(f'({b}, {C.CLIENTS[b]}, {C.DEFAULTS[b]})' for b in C.CLIENTS)}) AS t(b, n, d)""")
+def _(spark, sf):
+    targets = spark.createDataFrame([(b, C.CLIENTS[b], C.DEFAULTS[b]) for b in C.CLIENTS], "banda int, rows long, flagged long")
+    return R.validate_counts(synthetic.portfolio(spark), targets, "banda", "default")
+
+
+@query("intercept_only", """
+SELECT o_orderkey, round(avg(CAST(o_orderstatus = 'F' AS DOUBLE)) OVER (), 6) AS score, CAST(0.5 AS DOUBLE) AS balanced_score FROM orders""")
+def _(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    df = M.intercept_only(M.intercept_only(df, "y", balanced=True, out="balanced_score"), "y")
+    return rounded(df.select("o_orderkey", "score", "balanced_score"), "score")
+
+
+@query("psi_between_tables", """
+WITH a AS (SELECT c_nationkey AS bin, count(*) / sum(count(*)) OVER () AS share FROM customer GROUP BY 1),
+b AS (SELECT s_nationkey AS bin, count(*) / sum(count(*)) OVER () AS share FROM supplier GROUP BY 1),
+j AS (SELECT greatest(coalesce(a.share, 0), 0.0001) AS e, greatest(coalesce(b.share, 0), 0.0001) AS s FROM a FULL JOIN b ON a.bin = b.bin),
+t AS (SELECT sum((s - e) * ln(s / e)) AS psi FROM j)
+SELECT round(psi, 6) AS psi, """ + labelled("psi", E.labels.PSI) + """ AS psi_label FROM t""")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    def part(name, key):
+        counts = table(spark, sf, name).groupBy(F.col(key).alias("bin")).agg(F.count("*").alias("n"))
+        return counts.select("bin", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("share"))
+
+    return rounded(P.psi_between(part("customer", "c_nationkey"), part("supplier", "s_nationkey")), "psi")
+
+
+@query("hashed_split")
+def _(spark, sf):
+    return M.hashed_split(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("minmax_symmetric_clip", """
+SELECT s_suppkey, round(2 * ((s_acctbal - lo) / (hi - lo)) - 1, 6) AS scaled, least(greatest(s_acctbal, -500.0), 9000.0) AS winsorised
+FROM supplier, (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier)""")
+def _(spark, sf):
+    df = T.min_max_scale(table(spark, sf, "supplier"), "s_acctbal", "scaled", symmetric=True)
+    return rounded(df.select("s_suppkey", "scaled", T.clip(F.col("s_acctbal"), -500.0, 9000.0).alias("winsorised")), "scaled")
+
+
+@query("zscore_by_group", """
+SELECT c_custkey, CASE WHEN sd = 0 THEN 0.0 ELSE round((c_acctbal - mu) / sd, 6) END AS z
+FROM customer JOIN (SELECT c_mktsegment AS k, avg(c_acctbal) AS mu, stddev_pop(c_acctbal) AS sd FROM customer GROUP BY 1) ON k = c_mktsegment""")
+def _(spark, sf):
+    return rounded(T.z_score(table(spark, sf, "customer"), "c_acctbal", "z", by=["c_mktsegment"]).select("c_custkey", "z"), "z")
+
+
+@query("information_value_by_group", """
+WITH s AS (SELECT o_orderpriority AS g, month(o_orderdate) AS bin, CAST(sum(CAST(o_orderstatus <> 'F' AS INTEGER)) AS BIGINT) AS goods, CAST(sum(CAST(o_orderstatus = 'F' AS INTEGER)) AS BIGINT) AS bads FROM orders GROUP BY 1, 2),
+w AS (SELECT g, goods / sum(goods) OVER (PARTITION BY g) AS pg, bads / sum(bads) OVER (PARTITION BY g) AS pb FROM s),
+t AS (SELECT g, sum(abs((pg - pb) * ln(greatest(pg, 0.0001) / greatest(pb, 0.0001)))) AS iv FROM w GROUP BY 1)
+SELECT g AS o_orderpriority, round(iv, 6) AS iv, """ + labelled("iv", E.labels.IV) + """ AS iv_label FROM t""")
+def _(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderpriority", F.month("o_orderdate").alias("month"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    return rounded(E.information_value(E.bin_statistics(df, "month", "y", ["o_orderpriority"]), ["o_orderpriority"]), "iv")
