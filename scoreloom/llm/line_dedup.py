@@ -111,9 +111,10 @@ def duplicate_lines(docs: DataFrame, min_line_words: int = 3, min_block_words: i
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
     kind = dict(base.dtypes)["doc"]
     lines = cut(_lines(base).select("doc", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "x")).select("doc", "at", F.col("x.hashes").alias("hash"), F.col("x.words").alias("words")))
-    by_line = lines.select("doc", "hash", "words").distinct()
-    held = by_line.groupBy("hash").agg(F.count("*").alias("held"), F.min("doc").alias("first"), F.max("words").alias("words")).where("held > 1")
-    shared = cut(lines.join(held.select("hash", "held", "first"), "hash"))
+    by_line = lines.select("doc", "hash").distinct()
+    # written, so that the join reads plain exchanges, of which AQE can split a very frequent line
+    held = cut(by_line.groupBy("hash").agg(F.count("*").alias("held"), F.min("doc").alias("first")).where("held > 1"))
+    shared = cut(lines.join(held, "hash"))
     linking = shared.where(F.col("words") >= min_line_words)
     often = linking.where(F.col("held") > rare).where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
     few = linking.where(F.col("held") <= rare).groupBy("hash").agg(F.collect_set("doc").alias("docs"))
