@@ -22,7 +22,7 @@ def components(pairs: DataFrame) -> DataFrame:
     while mark[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select("m", F.explode(F.array("a", "b")).alias("a")).where("a <> m").select("a", F.col("m").alias("b")).distinct()
         edges = cut(small)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +33,9 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files that only lineage before a cut has needed; it acts on what the driver's collectors find."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -7,11 +7,13 @@
    prefix principle, they share one of the ``m - MATCHES + 1`` rarest of the m postings that a
    representative shares with anybody: lists of frequent values are skipped, and a representative
    with fewer than ``MATCHES`` shared postings has no partner at all.
-3. In each list of the index, members are tested against one hub. Lists whose members all fall in one
-   component are done, without forming their pairs; in the others, members are tested against another
-   hub and at last against every member of another component. A test counts the coordinates that
-   collide and then compares the full sets. The order of tests decides only how many are made: a pair
-   of an index list is either tested or already connected.
+3. In each list of the index, members are tested against hubs: the member of the least id, and others
+   picked by hash, anew in each list and round. Lists whose members all fall in one component then are done,
+   without forming their pairs. The others get new hubs, and at last every member is tested against
+   each member of another component whose set size is near enough. A test first compares sketches, the
+   low bytes of SKETCH minima, which lose about one pair in ten million at 0.8; only pairs that agree
+   often enough fetch texts, and are compared on their full sets. The order of tests decides only how
+   many are made: a pair of an index list is either tested or already connected.
 4. Components come from distributed star contraction.
 """
 
@@ -21,16 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .cut import cut
+from .cut import cut, release
 
 COORDS, MATCHES = 32, 13
-_A = K.mix(np.arange(101, 101 + COORDS, dtype=K.U)) | K.U(1)
-_B = K.mix(np.arange(501, 501 + COORDS, dtype=K.U))
+SKETCH, SKETCH_MATCHES = 64, 34
+BROADCAST_ROWS = 500_000
+_A = K.mix(np.arange(101, 101 + SKETCH, dtype=K.U)) | K.U(1)
+_B = K.mix(np.arange(501, 501 + SKETCH, dtype=K.U))
 _SALT = K.U(0xA0761D6478BD642F)
 
 
@@ -60,7 +64,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
 
 
 def _signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, c1, c2, sig) of every row; no signature without words."""
+    """(doc_id, n_shingles, c1, c2, sig, sketch) of every row; those of a text without words mean nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,41 +73,99 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
                 size = np.diff(first)
                 some = size > 0
                 c1, c2 = (np.concatenate([np.zeros(1, K.U), np.cumsum(h, dtype=K.U)]) for h in (K.mix(sets), K.mix(sets ^ _SALT)))
-                sig = np.zeros((part.num_rows, COORDS), np.uint32)
+                sig = np.zeros((part.num_rows, SKETCH), np.uint32)
                 if len(sets):
                     heads = first[:-1][some]
-                    for j in range(COORDS):
+                    for j in range(SKETCH):
                         sig[some, j] = np.minimum.reduceat((((sets ^ _B[j]) * _A[j]) >> K.U(32)).astype(np.uint32), heads)
-                flat = pa.array(sig.view(np.int32).reshape(-1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, COORDS, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array((c1[first[1:]] - c1[first[:-1]]).view(np.int64)), pa.array((c2[first[1:]] - c2[first[:-1]]).view(np.int64)), lists], names=["doc_id", "n_shingles", "c1", "c2", "sig"])
+                low = np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).reshape(-1))) for x in (sig[:, :COORDS].view(np.int32), low)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array((c1[first[1:]] - c1[first[:-1]]).view(np.int64)), pa.array((c2[first[1:]] - c2[first[:-1]]).view(np.int64)), *lists], names=["doc_id", "n_shingles", "c1", "c2", "sig", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, c1 bigint, c2 bigint, sig array<int>")
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, c1 bigint, c2 bigint, sig array<int>, sketch array<bigint>")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
+def _with_sets(rows: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """``columns`` of rows, and the shingles of their text, which is the last column."""
+    at = len(rows.columns) - 1
+    types = dict(rows.dtypes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in K.slices(batch, 1):
+            for part, data, offsets in K.slices(batch, at):
                 sets, first = shingle_sets(data, offsets, n)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], lists], names=[*columns, "shingles"])
+
+    return rows.mapInArrow(run, ", ".join([f"{c} {types[c]}" for c in columns] + ["shingles array<bigint>"]))
+
+
+def _agree(a: Column, b: Column) -> Column:
+    """Whether sketches have SKETCH_MATCHES equal bytes or more."""
+    unlike = F.lit(0)
+    for k in range(SKETCH // 8):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        # the low bit of each byte becomes the union of its bits
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        unlike = unlike + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return unlike <= SKETCH - SKETCH_MATCHES
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, shingles array<bigint>")
 
+def _near(a: Column, b: Column, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-def similar(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b; distinct) that are links: by set sizes, by colliding coordinates, and then on the full sets."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where(agree >= MATCHES).select("a", "b")
-    held = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = both.join(held("b"), "b").join(held("a"), "a")
+
+def links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b; distinct, written) whose full sets are similar enough. texts: doc_id, text.
+
+    Up to BROADCAST_ROWS pairs, counted first, are broadcast to where the texts are; more are joined by shuffling.
+    """
+    small = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda x: x
+    held = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias("__t"))
+    left = _with_sets(held("b").join(small(pairs), "b").select("a", "b", "__t"), n, ["a", "b"])
+    right = _with_sets(held("a").join(small(pairs.select("a").distinct()), "a").select("a", "__t"), n, ["a"])
+    both = left.withColumnRenamed("shingles", "sb").join(right.withColumnRenamed("shingles", "sa"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
+def _merge(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` (id, root) after further links (a, b). Only components that the links join are gone through again."""
+    side = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
+    named = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = components(named).select(F.col("id").alias("old"), F.col("root").alias("new"))
+    moved = roots.join(more, F.col("root") == F.col("old"), "left").select("id", F.coalesce("new", "root").alias("root"))
+    fresh = more.join(roots, F.col("old") == F.col("id"), "left_anti").select(F.col("old").alias("id"), F.col("new").alias("root"))
+    return cut(moved.union(fresh))
+
+
+def _stars(members: DataFrame, salt: int | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of a list's hub and those members of other components whose sketches agree with its. members: key, rep, n, sketch, root.
+
+    The hub is the least member, or, with a salt, a hashed one of the component with the least root: as components grow it is one of the largest, so that mostly those outside are tested.
+    """
+    hub = F.struct("rep", "n", "sketch", "root")
+    order = F.struct("rep") if salt is None else F.struct("root", F.xxhash64("rep", "key", F.lit(salt)), "rep")
+    hubs = cut(members.groupBy("key").agg(F.min_by(hub, order).alias("h")))
+    h = F.col("h")
+    both = members.join(hubs, "key").where((h["root"] != F.col("root")) & (h["rep"] != F.col("rep")) & _near(F.col("n"), h["n"], percent) & _agree(F.col("sketch"), h["sketch"]))
+    return both.select(F.least("rep", h["rep"]).alias("a"), F.greatest("rep", h["rep"]).alias("b")).distinct()
+
+
+def _cross(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components whose sketches agree, each formed in one of their lists only. members: also own, the sorted keys of all lists that a member is in."""
+    # only sizes within the ratio meet: a member stands in the band of its size, and is sought from there and from the band above
+    band = F.floor(F.log("n") / F.log(F.lit(101 / percent)))
+    side = lambda x, at: members.select("key", at.alias("band"), band.alias(f"band_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "sketch", "root", "own")))
+    both = side("a", band).join(side("b", F.explode(F.array(band, band - 1))), ["key", "band"])
+    c = F.col
+    once = ((c("band_b") > c("band_a")) | (c("rep_a") < c("rep_b"))) & (c("root_a") != c("root_b"))
+    fit = _near(c("n_a"), c("n_b"), percent) & _agree(c("sketch_a"), c("sketch_b"))
+    both = both.where(once & fit & (c("key") == F.array_min(F.array_intersect("own_a", "own_b"))))
+    return both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -112,42 +174,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = cut(_signatures(base, shingle))
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
-    reps = cut(classes)
+    reps = cut(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"), F.min("sketch").alias("sketch")))
     posts = reps.select("rep", F.posexplode("sig").alias("at", "value")).select(F.xxhash64("at", "value").alias("key"), "rep")
-    shared = posts.join(posts.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "key")
-    own = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("own"))
+    counts = cut(posts.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"))
+    own = posts.join(counts, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("own"))
     lists = own.where(F.size("own") >= MATCHES).select("rep", F.explode(F.slice("own", 1, F.size("own") - MATCHES + 1)).alias("x")).select(F.col("x.key").alias("key"), "rep")
     lists = cut(lists.distinct())
-    lists = lists.join(lists.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "key")
-    sets = cut(_sets(base.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle))
+    counts = cut(lists.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"))
+    lists = cut(lists.join(counts, "key"))
+    members = cut(lists.join(reps.select("rep", "n", "sketch"), "rep"))
 
     # rows of one id with different sets count as one document
     again = full.select("doc_id", "c1", "c2").distinct()
     again = again.join(again.groupBy("doc_id").agg(F.count("*").alias("held")).where("held > 1"), "doc_id")
     again = again.join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = None
-    for step in ("least", "other", "all"):
-        here = lists.withColumn("root", F.col("rep")) if roots is None else lists.join(roots, lists.rep == roots.id, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        open_ = here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("rep").alias("first"), F.min_by(F.struct("rep", "root"), F.xxhash64("rep", "key")).alias("hub")).where("r0 <> r1")
-        if step == "least":
-            pairs = here.join(open_, "key").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-        elif step == "other":
-            pairs = here.join(open_, "key").where("root <> hub.root").select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
+    tested = cut(_stars(members.withColumn("root", F.col("rep")), None, percent))
+    roots = cut(components(links(tested, base, shingle, percent)))
+    for salt in (1, 2, None):
+        release(docs.sparkSession)
+        here = lists.join(roots, lists.rep == roots.id, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+        split = cut(here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"))
+        here = members.join(split, "key").join(roots, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", "sketch", F.coalesce("root", "rep").alias("root"))
+        if salt is None:
+            own = here.groupBy("rep").agg(F.sort_array(F.collect_set("key")).alias("own"))
+            pairs = _cross(here.join(own, "rep"), percent)
         else:
-            held = here.join(open_.select("key"), "key").join(reps.select("rep", "n", "sig"), "rep")
-            # only sizes within the ratio meet: a member is held once in its own class of sizes and sought in that and the one below
-            band = F.floor(F.log("n") / F.log(F.lit(101 / percent)))
-            left = held.select("key", band.alias("band"), F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-            right = held.select("key", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own"), F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-            agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-            pairs = left.join(right, ["key", "band"]).where((F.col("ra") != F.col("rb")) & ((F.col("own") > F.col("band")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (agree >= MATCHES)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = similar(pairs.distinct(), reps, sets, percent)
-        if step == "all":
-            found = found.union(again)
-        if roots is not None:
-            found = found.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        roots = components(found)
+            pairs = _stars(here, salt, percent)
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
+        more = links(pairs, base, shingle, percent)
+        roots = _merge(roots, more.union(again) if salt is None else more)
     named = full.select("doc_id", "c1", "c2").join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).join(roots, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     named = named.groupBy("doc_id").agg(F.min("root").alias("root"))
     out = signed.join(named, "doc_id", "left")
@@ -163,3 +219,18 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 1), ' ') AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS id, b AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+m AS (SELECT id, min(other) AS root FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) AS component_id, d.doc_id <= coalesce(root, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.id = d.doc_id
+"""

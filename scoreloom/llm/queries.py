@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_poisson_mixing": mixing.ORACLE_SQL,
+    "op5_minhash_near_dedup": near_dedup.ORACLE_SQL,
+    "op6_winnowing_decontamination": decontaminate.ORACLE_SQL,
 }
