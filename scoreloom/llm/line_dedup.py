@@ -1,9 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed; a line with ``min_line_words`` words or more that several documents hold links
-them. While a line is rare (``rare`` documents or fewer) each of its documents is paired with every
-earlier one; a more frequent line pairs each of its documents with the earliest only, so a line that
-very many share gives one pair a document. A pair is aligned by patience diff: lines that are unique
+Lines are hashed, and so are the shortest runs of consecutive lines that reach ``min_block_words``
+words; a run with a line of ``min_line_words`` words or more that several documents hold links them.
+While a run is rare (``rare`` documents or fewer) each of its documents is paired with every earlier
+one. Of a more frequent run each document is paired with the earliest; if lines of the run are left
+then, with the next earliest ones, four times as many a round, until the lines are gone or all earlier
+holders were tried (of those that align alike, the earliest). So the result is that of all pairs that
+share a run, though a run that very many share mostly gives one pair a document. A pair is aligned by patience diff: lines that are unique
 in both documents anchor the longest increasing chain, gaps between anchors are aligned again, and
 runs extend over equal neighbours. Aligned runs of ``min_block_words`` words or more in consecutive
 lines are deleted from the later document of the pair; the earlier keeps them. Earlier is the lesser
@@ -15,10 +18,11 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -106,6 +110,42 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc {dict(docs.dtypes)['doc']}, hashes array<bigint>, words array<int>")
 
 
+def runs_of(at: list[int], hashes: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(hash, first line, last line) of the shortest runs of consecutive lines that reach ``least`` words, from each line on and back from each line. Each line of a longer run is in one that lies within it."""
+    found = set()
+    for step in (1, -1):
+        for i in range(len(at)):
+            j, total = i, words[i]
+            while total < least and 0 <= j + step < len(at) and at[j + step] == at[j] + step:
+                j += step
+                total += words[j]
+            if total >= least:
+                found.add((min(i, j), max(i, j)))
+    return [(_hash(hashes[i : j + 1]), at[i], at[j]) for i, j in sorted(found)]
+
+
+def _hash(values: list[int]) -> int:
+    return int.from_bytes(blake2b(b"".join(x.to_bytes(8, "little", signed=True) for x in values), digest_size=8).digest(), "little", signed=True)
+
+
+def _runs(seqs: DataFrame, kind: str, min_line_words: int, least: int) -> DataFrame:
+    """(doc, like, run, lo, hi) for each run of ``runs_of``. Documents of one ``like`` have the same lines and the same gaps, so they align alike with any other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, at, hashes, words in zip(*(c.to_pylist() for c in batch.columns)):
+                long = {x for x, n in zip(at, words) if n >= min_line_words}
+                like = _hash([x for k, h in enumerate(hashes) for x in (h, int(k > 0 and at[k] == at[k - 1] + 1))])
+                rows += [(doc, like, h, lo, hi) for h, lo, hi in runs_of(at, hashes, words, least) if any(x in long for x in range(lo, hi + 1))]
+            if rows:
+                doc, *rest = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, batch.column(0).type), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.int32(), pa.int32())))], names=["doc", "like", "run", "lo", "hi"])
+
+    flat = seqs.select("doc", "s.at", "s.hash", "s.words")
+    return flat.mapInArrow(run, f"doc {kind}, like bigint, run bigint, lo int, hi int")
+
+
 def duplicate_lines(docs: DataFrame, min_line_words: int = 3, min_block_words: int = 5, rare: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, gone): for each document that loses lines, the sorted numbers of these among its filled lines."""
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
@@ -113,17 +153,16 @@ def duplicate_lines(docs: DataFrame, min_line_words: int = 3, min_block_words: i
     lines = cut(_lines(base).select("doc", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "x")).select("doc", "at", F.col("x.hashes").alias("hash"), F.col("x.words").alias("words")))
     by_line = lines.select("doc", "hash").distinct()
     # written, so that the join reads plain exchanges, of which AQE can split a very frequent line
-    held = cut(by_line.groupBy("hash").agg(F.count("*").alias("held"), F.min("doc").alias("first")).where("held > 1"))
-    shared = cut(lines.join(held, "hash"))
-    linking = shared.where(F.col("words") >= min_line_words)
-    often = linking.where(F.col("held") > rare).where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    few = linking.where(F.col("held") <= rare).groupBy("hash").agg(F.collect_set("doc").alias("docs"))
-    few = few.select(F.explode("docs").alias("b"), "docs").select("b", F.explode("docs").alias("a")).where("a < b").select("a", "b")
-    pairs = often.union(few).distinct()
+    held = cut(by_line.groupBy("hash").agg(F.count("*").alias("held")).where("held > 1"))
     # each document as the lines that others hold too: only they can align
-    seqs = cut(shared.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "words"))).alias("s")))
+    seqs = cut(lines.join(held, "hash").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "words"))).alias("s")))
+    runs = cut(_runs(seqs, kind, min_line_words, min_block_words))
+    held = cut(runs.select("doc", "run").distinct().groupBy("run").agg(F.count("*").alias("held"), F.min("doc").alias("first")).where("held > 1"))
+    runs = cut(runs.join(held, "run"))
+    often = runs.where(F.col("held") > rare).where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
+    few = runs.where(F.col("held") <= rare).groupBy("run").agg(F.collect_set("doc").alias("docs"))
+    few = few.select(F.explode("docs").alias("b"), "docs").select("b", F.explode("docs").alias("a")).where("a < b").select("a", "b")
     side = lambda x: seqs.select(F.col("doc").alias(x), F.col("s").alias(f"s{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("b", F.col("sa.at").alias("aa"), F.col("sa.hash").alias("ah"), F.col("sb.at").alias("ba"), F.col("sb.hash").alias("bh"), F.col("sb.words").alias("bw"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,8 +172,34 @@ def duplicate_lines(docs: DataFrame, min_line_words: int = 3, min_block_words: i
                 gone = [common_blocks(h, x, g, y, w, min_block_words) for x, h, y, g, w in zip(aa, ah, ba, bh, bw)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "gone"])
 
-    gone = both.mapInArrow(align, f"doc {kind}, gone array<int>").where(F.size("gone") > 0)
-    return gone.select("doc", F.explode("gone").alias("at")).distinct().groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("gone"))
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(side("b"), "b").join(side("a"), "a").select("b", F.col("sa.at").alias("aa"), F.col("sa.hash").alias("ah"), F.col("sb.at").alias("ba"), F.col("sb.hash").alias("bh"), F.col("sb.words").alias("bw"))
+        return both.mapInArrow(align, f"doc {kind}, gone array<int>").select("doc", F.explode("gone").alias("at"))
+
+    def by_doc(gone: DataFrame) -> DataFrame:
+        return gone.distinct().groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("gone"))
+
+    def still(rows: DataFrame) -> DataFrame:
+        """Those runs of which a line is left."""
+        whole = F.size(F.array_except(F.sequence("lo", "hi"), F.coalesce("gone", F.array().cast("array<int>")))) == 0
+        return rows.join(gone, "doc", "left").where(~whole).select("doc", "run", "lo", "hi")
+
+    gone = cut(by_doc(aligned(often.union(few))))
+    todo = cut(still(runs.where(F.col("held") > rare).where("doc > first")))
+    if todo.isEmpty():
+        return gone
+    # holders that align alike are one, the earliest; the first of all is done
+    held = runs.join(todo.select("run").distinct(), "run", "left_semi").groupBy("run", "like").agg(F.min("doc").alias("a"))
+    held = cut(held.withColumn("n", F.row_number().over(Window.partitionBy("run").orderBy("a"))).where("n > 1"))
+    low, high = 1, 1 + rare
+    while True:
+        todo = cut(todo.join(held.where(F.col("n") > low).groupBy("run").agg(F.min("a").alias("next")), "run").where("next < doc").drop("next"))
+        if todo.isEmpty():
+            return gone
+        some = held.where((F.col("n") > low) & (F.col("n") <= high)).select("run", "a")
+        pairs = todo.select("doc", "run").distinct().join(some, "run").where("a < doc").select("a", F.col("doc").alias("b"))
+        gone = cut(by_doc(gone.select("doc", F.explode("gone").alias("at")).union(aligned(pairs))))
+        todo, low, high = still(todo), high, 4 * high
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

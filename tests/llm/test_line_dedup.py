@@ -78,3 +78,53 @@ def test_blocks_go_from_later_documents(spark):
     assert len(got[105].split("\n")) == 3  # reversed: one line aligns
     assert got[106] == "unique words of this one here"
     assert L.dedup_lines(df.limit(0)).count() == 0
+
+
+def all_pairs(docs, linked=lambda words: max(words) >= 3, least=5):
+    """Every pair of documents that share a run of lines; the exact result of the deletion rule."""
+    split = {d: [x for x in t.split("\n") if x.split()] for d, t in docs}
+    holders = {}
+    for d, ls in split.items():
+        for x in ls:
+            holders.setdefault(x, set()).add(d)
+    runs = {}
+    for d, ls in split.items():
+        runs[d] = {tuple(ls[i:j]) for i in range(len(ls)) for j in range(i + 1, min(i + least, len(ls)) + 1)}
+        runs[d] = {r for r in runs[d] if sum(n := [len(x.split()) for x in r]) >= least and linked(n)}
+    gone = {}
+    for b in split:
+        for a in split:
+            if a < b and runs[a] & runs[b]:
+                sa, sb = ([(k, x) for k, x in enumerate(split[d]) if len(holders[x]) > 1] for d in (a, b))
+                hit = L.common_blocks([x for _, x in sa], [k for k, _ in sa], [x for _, x in sb], [k for k, _ in sb], [len(x.split()) for _, x in sb], least)
+                gone.setdefault(b, set()).update(hit)
+    return {d: sorted(x) for d, x in gone.items() if x}
+
+
+def found(spark, docs):
+    rows = L.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    return {r.doc: list(r.gone) for r in rows}
+
+
+def test_frequent_lines_are_tried_with_later_partners(spark):
+    p, q = (" ".join(f"{x}{j}" for j in range(60)) for x in "pq")
+    docs = [(1, f"{p}\n{q}")] + [(d, f"{q}\n{p}") for d in range(2, 11)]
+    got = found(spark, docs)
+    assert len(got[2]) == 1 and all(got[d] == [0, 1] for d in range(3, 11))
+    # a block of which the earliest documents hold one line each
+    block = ["a1 a2 a3", "b1 b2 b3"]
+    docs = [(1, block[0]), (2, block[1])] + [(d, "\n".join([f"own {d}", *block])) for d in range(3, 11)]
+    assert found(spark, docs) == {d: [1, 2] for d in range(4, 11)}
+
+
+def test_frequent_lines_equal_all_pairs(spark):
+    rng = random.Random(4)
+    pool = [" ".join(f"w{i}x{j}" for j in range(rng.choice((3, 4, 6)))) for i in range(9)]
+    docs = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.9 else f"own {d}" for _ in range(rng.randrange(2, 12)))) for d in range(120)]
+    want = all_pairs(docs)
+    assert found(spark, docs) == want and want != brute(docs)
+
+
+def test_table_equals_all_pairs(spark):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert found(spark, docs) == all_pairs(docs)
