@@ -1,16 +1,16 @@
 """Line dedup by pairwise alignment.
 
 Lines are hashed, and so are the shortest runs of consecutive lines that reach ``min_block_words``
-words; a run with a line of ``min_line_words`` words or more that several documents hold links them.
-While a run is rare (``rare`` documents or fewer) each of its documents is paired with every earlier
-one. Of a more frequent run each document is paired with the earliest; if lines of the run are left
-then, with the next earliest ones, four times as many a round, until the lines are gone or all earlier
-holders were tried (of those that align alike, the earliest). So the result is that of all pairs that
-share a run, though a run that very many share mostly gives one pair a document. A pair is aligned by patience diff: lines that are unique
-in both documents anchor the longest increasing chain, gaps between anchors are aligned again, and
-runs extend over equal neighbours. Aligned runs of ``min_block_words`` words or more in consecutive
-lines are deleted from the later document of the pair; the earlier keeps them. Earlier is the lesser
-doc_id.
+words; a run that several documents hold links them, whatever its lines are. While a run is rare
+(``rare`` documents or fewer) each of its documents is paired with every earlier one. Of a more
+frequent run each document is paired with the earliest; if lines of the run are left then, with the
+next earliest ones, four times as many a round, until the lines are gone or all earlier holders were
+tried (of those that align alike, the earliest). So the result is that of all pairs that share a run,
+though a run that very many share mostly gives one pair a document. A pair is aligned by patience
+diff: lines that are unique in both documents anchor the longest increasing chain, gaps between
+anchors are aligned again, and runs extend over equal neighbours. Aligned runs of ``min_block_words``
+words or more in consecutive lines are deleted from the later document of the pair; the earlier keeps
+them. Earlier is the lesser doc_id.
 """
 
 from __future__ import annotations
@@ -128,16 +128,15 @@ def _hash(values: list[int]) -> int:
     return int.from_bytes(blake2b(b"".join(x.to_bytes(8, "little", signed=True) for x in values), digest_size=8).digest(), "little", signed=True)
 
 
-def _runs(seqs: DataFrame, kind: str, min_line_words: int, least: int) -> DataFrame:
+def _runs(seqs: DataFrame, kind: str, least: int) -> DataFrame:
     """(doc, like, run, lo, hi) for each run of ``runs_of``. Documents of one ``like`` have the same lines and the same gaps, so they align alike with any other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, at, hashes, words in zip(*(c.to_pylist() for c in batch.columns)):
-                long = {x for x, n in zip(at, words) if n >= min_line_words}
                 like = _hash([x for k, h in enumerate(hashes) for x in (h, int(k > 0 and at[k] == at[k - 1] + 1))])
-                rows += [(doc, like, h, lo, hi) for h, lo, hi in runs_of(at, hashes, words, least) if any(x in long for x in range(lo, hi + 1))]
+                rows += [(doc, like, h, lo, hi) for h, lo, hi in runs_of(at, hashes, words, least)]
             if rows:
                 doc, *rest = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(doc, batch.column(0).type), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.int32(), pa.int32())))], names=["doc", "like", "run", "lo", "hi"])
@@ -146,7 +145,7 @@ def _runs(seqs: DataFrame, kind: str, min_line_words: int, least: int) -> DataFr
     return flat.mapInArrow(run, f"doc {kind}, like bigint, run bigint, lo int, hi int")
 
 
-def duplicate_lines(docs: DataFrame, min_line_words: int = 3, min_block_words: int = 5, rare: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_block_words: int = 5, rare: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, gone): for each document that loses lines, the sorted numbers of these among its filled lines."""
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
     kind = dict(base.dtypes)["doc"]
@@ -156,7 +155,7 @@ def duplicate_lines(docs: DataFrame, min_line_words: int = 3, min_block_words: i
     held = cut(by_line.groupBy("hash").agg(F.count("*").alias("held")).where("held > 1"))
     # each document as the lines that others hold too: only they can align
     seqs = cut(lines.join(held, "hash").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "hash", "words"))).alias("s")))
-    runs = cut(_runs(seqs, kind, min_line_words, min_block_words))
+    runs = cut(_runs(seqs, kind, min_block_words))
     held = cut(runs.select("doc", "run").distinct().groupBy("run").agg(F.count("*").alias("held"), F.min("doc").alias("first")).where("held > 1"))
     runs = cut(runs.join(held, "run"))
     often = runs.where(F.col("held") > rare).where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
