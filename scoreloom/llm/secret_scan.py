@@ -12,6 +12,8 @@ leaves between the matches of the same pattern.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,18 @@ STRONG = {
     "access": (r"AKIA[A-Z0-9]{16,}", 0, 20),
     "hex": (r"[0-9a-f]{24,}+", 0, 24),
 }
+#: Further parts of a name, joined by _ . or -; not those that make it the name of something else.
+_MORE = r"""(?:[_.-](?i:(?!%s))[A-Za-z0-9]++){0,4}+["']?\x20*[:=]\x20*["']?"""
+_TO_IDENTIFIER = _MORE % "pass|pwd|secret|token|auth|cred|private|signature|url|host|server|endpoint"
+_TO_SECRET = _MORE % "user|login|account|name|url|host|server|endpoint"
 WEAK = {
-    "identifier": (r"""\b((?i:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)""", 2, 3),
-    "weak_secret": (r"""\b((?i:pwd|pass|passphrase|credentials?|auth|bearer|private_?key|signature|password|passwd|secret))["']?\x20*[:=]\x20*["']?([^\s"']+)""", 2, 4),
-    "endpoint": (r"""(?i:\b[a-z][a-z0-9+.]{1,20}://[A-Za-z0-9._~@%:-]+|\b(?:host|server|endpoint|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,})""", 0, 6),
+    "identifier": (r"""(?<![A-Za-z0-9])(?<!(?i:secret)[_.-])((?i:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?))""" + _TO_IDENTIFIER + r"""([A-Za-z0-9._@-]+)""", 2, 3),
+    "weak_secret": (r"""(?<![A-Za-z0-9])((?i:pwd|pass|passphrase|credentials?|auth|bearer|private_?key|signature|password|passwd|secret(?:_?access)?(?:_?key)?))""" + _TO_SECRET + r"""([^\s"']+)""", 2, 4),
+    "endpoint": (r"""(?i:\b[a-z][a-z0-9+.]{1,20}://[A-Za-z0-9._~@%:-]+|(?<![A-Za-z0-9])(?:host|server|endpoint|url)(?:[_.-][a-z0-9]++){0,4}+["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,})""", 0, 6),
 }
+#: Strings that look like keys, whatever stands before them; weak secrets if they are as mixed as random ones.
+_BARE = r"(?<![A-Za-z0-9+/_-])(?=[a-z0-9+/_-]{0,63}+[A-Z])(?=[A-Z0-9+/_-]{0,63}+[a-z])[A-Za-z0-9+/_-]{32,64}+(?![A-Za-z0-9+/_-])={0,2}+"
+_BITS = 4.0
 #: Cheap necessary conditions of the patterns that need a mark.
 _NEEDS = {"assign": "[:=]", "identifier": "[:=]", "weak_secret": "[:=]", "endpoint": "[:=]"}
 KINDS = (*STRONG, *WEAK)
@@ -37,7 +46,22 @@ _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 def spans_of(text: Column, kind: str) -> Column:
     """Leftmost matches of a kind that don't overlap, as (start, kind, end) in code points, without those that are too short."""
-    pattern, group, least = {**STRONG, **WEAK}[kind]
+    return _spans(text, kind, *{**STRONG, **WEAK}[kind])
+
+
+def bits(value: Column) -> Column:
+    """Shannon entropy of the characters, in bits a character."""
+    chars = F.split(F.rtrim(value, F.lit("=")), "")
+    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
+    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda sum, c: sum - share(c) * F.log2(share(c)))
+
+
+def weak_secrets(text: Column) -> Column:
+    """Bare strings of high entropy, as spans of weak secrets."""
+    return _spans(text, "weak_secret", _BARE, 0, 32, lambda v: bits(v) >= _BITS, "[A-Za-z0-9+/_-]{32}")
+
+
+def _spans(text: Column, kind: str, pattern: str, group: int, least: int, fits: Callable[[Column], Column] | None = None, needs: str | None = None) -> Column:
     p = F.lit(pattern)
     matches = F.regexp_extract_all(text, p, 0)
     values = F.regexp_extract_all(text, p, group) if group else matches
@@ -49,13 +73,14 @@ def spans_of(text: Column, kind: str) -> Column:
         start = found["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
         span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(found["out"], F.array(span))).otherwise(found["out"]).alias("out"))
+        whole = F.length(x["v"]) >= least
+        return F.struct(end.alias("at"), F.when(whole & fits(x["v"]) if fits else whole, F.concat(found["out"], F.array(span))).otherwise(found["out"]).alias("out"))
 
     empty = F.array().cast(_SPAN)
     folded = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda found: found["out"])
     there = text.rlike(pattern)
-    if kind in _NEEDS:
-        there = text.rlike(_NEEDS[kind]) & there
+    if needs := needs or _NEEDS.get(kind):
+        there = text.rlike(needs) & there
     return F.coalesce(F.when(there, folded), empty)
 
 
@@ -84,11 +109,13 @@ def scan(docs: DataFrame, scope: int = 200, doc_id: str = "doc_id", text: str =
     """
     content = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("doc_id"), content.alias("t"))
-    found = base.select("doc_id", F.xxhash64("doc_id", "t").alias("h1"), F.hash("t", "doc_id").alias("h2"), *(spans_of(F.col("t"), k).alias(k) for k in KINDS))
+    found = base.select("doc_id", F.xxhash64("doc_id", "t").alias("h1"), F.hash("t", "doc_id").alias("h2"), *(spans_of(F.col("t"), k).alias(k) for k in KINDS), weak_secrets(F.col("t")).alias("bare"))
     found = cut(found)
     strong = F.concat(*(F.col(k) for k in STRONG))
-    weak = F.concat(*(F.col(k) for k in WEAK))
-    alone = F.filter(weak, lambda w: ~F.exists(strong, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    named = F.concat(*(F.col(k) for k in WEAK))
+    outside = lambda some, of: F.filter(some, lambda w: ~F.exists(of, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    weak = F.concat(named, outside(F.col("bare"), named))
+    alone = outside(weak, strong)
     parts = found.where(F.size(weak) > 0).select("h1", "h2", F.explode(F.concat(strong, alone)).alias("x")).select("h1", "h2", "x.start", "x.kind", "x.end").distinct()
     links = linked(parts, scope).groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "kind", "end")).alias("links"))
     out = found.join(links, ["h1", "h2"], "left")

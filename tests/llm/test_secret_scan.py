@@ -65,3 +65,23 @@ def test_repeated_rows_ids_and_clashing_columns(spark):
     rows = S.scan(docs).collect()
     assert sorted((str(r.doc_id), r.n_assign, r.n_linked) for r in rows) == [("1", 0, 0), ("1", 0, 2), ("1", 0, 2), ("None", 0, 0), ("None", 1, 0)]
     assert S.scan(docs.limit(0)).count() == 0
+
+
+def kinds_of(rows):
+    return {i: [s.split(":")[0] for s in r.spans.split(",") if s] for i, r in rows.items()}
+
+
+def test_names_with_further_parts_and_bare_strings(spark):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKEY"[:40]
+    access = "AKIA" + "A1B2" * 4
+    aws = f"aws_access_key_id = {access}\naws_secret_access_key = {key}"
+    texts = [aws, f"secret_key: {key}, user: bob", f"AWS_SECRET_ACCESS_KEY={key}\nAWS_ACCESS_KEY_ID={access}", "db_user=bob\ndb_pass=abcd1", "DB.USER.NAME: bob, DB-PASS-1: abcd1", f"{access} {key}", key, "user: bob " + "g" * 40, "user_pwd=abcd1", f"aws_secret_access_key={key}", "DB_HOST=db.example.org DB_USER=bob DB_PWD=abcd"]
+    rows = check(spark, texts)
+    kinds = kinds_of(rows)
+    assert kinds[0] == ["access", "weak_secret"] and rows[0].spans.endswith(f":{len(aws)}")
+    assert kinds[1] == ["weak_secret", "identifier"]
+    assert kinds[2] == ["weak_secret", "access"]
+    assert kinds[3] == kinds[4] == ["identifier", "weak_secret"]
+    assert kinds[5] == ["access", "weak_secret"]
+    assert kinds[6] == kinds[7] == kinds[8] == kinds[9] == []
+    assert kinds[10] == ["endpoint", "identifier", "weak_secret"]
