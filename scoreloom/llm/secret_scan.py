@@ -2,9 +2,9 @@
 
 Strong patterns stand by themselves. Weak parts (names of accounts, short or oddly named secrets,
 endpoints) are everywhere in clean text; they are reported only where complementary parts lie within
-``scope`` code points: an identifier next to a secret, a weak secret next to an identifier or an
+``scope`` code points, between the end of one and the start of the other: an identifier next to a secret, a weak secret next to an identifier or an
 endpoint, an endpoint next to both. Linking is an interval join of parts, on the document and a bin
-of ``scope`` code points, with neighbouring bins for the ends.
+of ``scope`` code points of its start and its end, with neighbouring bins.
 
 Spark gives the texts of matches but not their places; these come from the lengths of what ``split``
 leaves between the matches of the same pattern.
@@ -92,12 +92,13 @@ def joined(spans: Column) -> Column:
 def linked(parts: DataFrame, scope: int) -> DataFrame:
     """Those weak parts that have their complements within scope. parts: h1, h2 (the row), start, kind, end."""
     roles = F.array(*(F.lit(_ROLES[k]) for k in KINDS))
-    parts = parts.withColumn("role", F.element_at(roles, F.col("kind") + 1)).withColumn("bin", F.floor(F.col("start") / scope))
-    near = parts.select("h1", "h2", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("role").alias("r2"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    weak = parts.where(F.col("kind") >= len(STRONG))
+    parts = parts.withColumn("role", F.element_at(roles, F.col("kind") + 1)).withColumn("bins", F.array_distinct(F.array(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
+    around = F.array_distinct(F.flatten(F.transform("bins", lambda b: F.array(b - 1, b, b + 1))))
+    near = parts.select("h1", "h2", F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("role").alias("r2"), F.explode(around).alias("bin"))
+    weak = parts.where(F.col("kind") >= len(STRONG)).withColumn("bin", F.explode("bins"))
     # a secret under two patterns is no complement of itself: roles differ, and spans that overlap don't count
     apart = (F.col("s2") >= F.col("end")) | (F.col("e2") <= F.col("start"))
-    both = weak.join(near, ["h1", "h2", "bin"]).where((F.abs(F.col("s2") - F.col("start")) <= scope) & (F.col("r2") != F.col("role")) & apart)
+    both = weak.join(near, ["h1", "h2", "bin"]).where((F.greatest("start", "s2") - F.least("end", "e2") <= scope) & (F.col("r2") != F.col("role")) & apart)
     has = both.groupBy("h1", "h2", "start", "kind", "end", "role").agg(F.bool_or(F.col("r2") == "secret").alias("s"), F.bool_or(F.col("r2") == "identifier").alias("i"), F.bool_or(F.col("r2") == "endpoint").alias("e"))
     return has.where("(role = 'identifier' AND s) OR (role = 'secret' AND (i OR e)) OR (role = 'endpoint' AND s AND i)")
 

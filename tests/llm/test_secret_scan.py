@@ -85,3 +85,11 @@ def test_names_with_further_parts_and_bare_strings(spark):
     assert kinds[5] == ["access", "weak_secret"]
     assert kinds[6] == kinds[7] == kinds[8] == kinds[9] == []
     assert kinds[10] == ["endpoint", "identifier", "weak_secret"]
+
+
+def test_long_parts_link_by_the_gap(spark):
+    long = "private_key=" + "Zz" * 150
+    texts = [f"{long}\nuser=bob", f"user=bob\n{long}", f"{long}{' ' * 200}user=bob", f"{long}{' ' * 201}user=bob", f"user=bob{' ' * 200}{long}", f"user=bob{' ' * 201}{long}", f"pwd=abcd{' ' * 190}{'x ' * 40}host=db.example.org"]
+    kinds = kinds_of(check(spark, texts))
+    both = ["identifier", "weak_secret"]
+    assert [sorted(kinds[i]) for i in range(len(texts))] == [both, both, both, [], both, [], []]
