@@ -132,14 +132,33 @@ _MAY_AT = re.compile(r"(?i)[\s\[({<]at[\s\])}>]|[\[({<]\s{0,3}@|@")
 _MAY_DOT = re.compile(r"(?i)[\s\[({<]dot[\s\])}>]|[\[({<]\s{0,3}\.\s{0,3}[\])}>]")
 
 
+_MAY_BARE = re.compile(r"(?i)\sat\s{1,3}[a-z0-9-]++\.[a-z]")
+#: Words that stand before "at" in prose, as in "look at example.com".
+_PROSE = frozenset(
+    "a all am and anyone are arrive arrived available be been begin bought buy call come contact directly email everyone file files find found free go going had has have he help her here him home host hosted i in info is it join "
+    "learn live located login look looked looking looks mail me meet message more not now of off on online or order out page people pointed posted read register released see seen she shop sign site so sold someone start store that the them then there they this up us visit was we website were work working write you".split()
+)
+_PLAIN_DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+(?:[a-z]{2,}|[A-Z]{2,})\Z")
+
+
+def _address(name: str, domain: str) -> bool:
+    """Whether a bare "at" between these makes an address: "dot" is spelled or bracketed in the domain, or it is a plain one after a word that is none of prose."""
+    return bool(_MAY_DOT.search(domain)) or (bool(_PLAIN_DOMAIN.match(domain)) and name.lower() not in _PROSE)
+
+
 def at_and_dot(text: str) -> list[tuple[int, int, str]]:
-    """Spelled or bracketed marks of addresses; a bare "at" counts only if a "dot" in disguise follows in the same address."""
-    if not (_MAY_DOT.search(text) or re.search(r"(?i)[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]", text)) or not _MAY_AT.search(text):
+    """Spelled or bracketed marks of addresses, and of four groups of digits."""
+    found = sorted([*_in_addresses(text), *_in_digits(text)])
+    return [x for k, x in enumerate(found) if not k or x[0] >= found[k - 1][1]]
+
+
+def _in_addresses(text: str) -> list[tuple[int, int, str]]:
+    if not (_MAY_BARE.search(text) or _MAY_DOT.search(text) or re.search(r"(?i)[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]", text)) or not _MAY_AT.search(text):
         return []
     out = []
     for m in _DISGUISED.finditer(text):
         sign = m[1]
-        if sign.strip().lower() == "at" and not _MAY_DOT.search(m[0][m.end(1) - m.start() :]):
+        if sign.strip().lower() == "at" and not _address(text[m.start() : m.start(1)], text[m.end(1) : m.end()]):
             continue
         marks = [(x.start(), x.end(), ".") for a, b in ((m.start(), m.start(1)), (m.end(1), m.end())) for x in _DOTS.finditer(text, a, b)]
         out += sorted((a, b, new) for a, b, new in [*marks, (m.start(1), m.end(1), "@")] if text[a:b] != new)
@@ -149,18 +168,51 @@ def at_and_dot(text: str) -> list[tuple[int, int, str]]:
 #: Digits as words.
 _WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "(?:" + "|".join(_WORDS) + ")"
-_SPELLED = re.compile(rf"(?i)\b(?:plus[\s,-]{{1,3}})?{_WORD}(?:[\s,.-]{{1,3}}{_WORD}){{6,}}\b")
 _ONE = re.compile(rf"(?i)plus|{_WORD}")
+_ANY_WORD = re.compile(rf"(?i)\b{_WORD}\b")
+_TOKEN = rf"(?:[0-9]++|{_WORD}(?![A-Za-z0-9]))"
+_BETWEEN = r"[\s,.()-]{1,3}"
+_RUN = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus{_BETWEEN})?{_TOKEN}(?:{_BETWEEN}{_TOKEN})*+")
+_PART = re.compile(rf"(?i)plus|{_WORD}|[0-9]++")
+_GROUP = rf"(?:[0-9]++|{_WORD}(?:[\s-]{{1,3}}{_WORD}){{0,2}}(?![A-Za-z0-9]))"
+_GROUPS = re.compile(rf"(?i)(?<![A-Za-z0-9]){_GROUP}(?:{_DOT}{_GROUP}){{3,}}+")
+
+
+def _in_digits(text: str) -> list[tuple[int, int, str]]:
+    """Dots in disguise between four groups of digits or more, and spelled digits of these groups."""
+    if not (_MAY_DOT.search(text) or _ANY_WORD.search(text)):
+        return []
+    out = []
+    for m in _GROUPS.finditer(text):
+        here = m.start()
+        for dot in [*_DOTS.finditer(text, m.start(), m.end()), None]:
+            words = list(_ONE.finditer(text, here, dot.start() if dot else m.end()))
+            for x, y in zip(words, [*words[1:], None]):
+                out.append((x.start(), x.end(), _WORDS[x[0].lower()]))
+                if y:
+                    out.append((x.end(), y.start(), ""))
+            if dot:
+                if dot[0] != ".":
+                    out.append((dot.start(), dot.end(), "."))
+                here = dot.end()
+    return out
 
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
-    """Runs of seven digit words or more, after "plus" or not, each as one piece a word; what stands between goes."""
+    """Digit words in runs of seven or more, after "plus" or not, and in shorter runs that adjoin digits, each as one piece a word; what stands beside a word in a run goes, but for a dot."""
+    if not _ANY_WORD.search(text):
+        return []
     out = []
-    for m in _SPELLED.finditer(text):
-        words = list(_ONE.finditer(text, m.start(), m.end()))
-        for x, y in zip(words, [*words[1:], None]):
-            out.append((x.start(), x.end(), "+" if x[0].lower() == "plus" else _WORDS[x[0].lower()]))
-            if y:
+    for m in _RUN.finditer(text):
+        parts = list(_PART.finditer(text, m.start(), m.end()))
+        spelled = [not x[0][0].isdigit() for x in parts]
+        if not any(spelled) or all(spelled) and sum(x[0].lower() != "plus" for x in parts) < 7:
+            continue
+        for k, x in enumerate(parts):
+            if spelled[k]:
+                out.append((x.start(), x.end(), "+" if x[0].lower() == "plus" else _WORDS[x[0].lower()]))
+            if k + 1 < len(parts) and (spelled[k] or spelled[k + 1]):
+                y = parts[k + 1]
                 dot = text[x.end() : y.start()].strip()
                 out.append((x.end(), y.start(), "." if dot == "." else ""))
     return out

@@ -89,3 +89,40 @@ def test_table(spark):
     rows = P.detect(docs).collect()
     assert len(rows) == len(CASES) + 3 and sum(r.n_email for r in rows if r.doc_id is None) == 1
     assert P.detect(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("host 192[.]168[.]0[.]1 is", "ip", "192[.]168[.]0[.]1"),
+        ("host 192 dot 168 dot 0 dot 1 is", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host one nine two dot one six eight dot zero dot one is", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("host one dot 2 (dot) three.4 is", "ip", "one dot 2 (dot) three.4"),
+        ("call +1 five five five 0123 456 now", "phone", "+1 five five five 0123 456"),
+        ("call plus one 555 zero one two three 456 now", "phone", "plus one 555 zero one two three 456"),
+        ("card 4111 one one one one 1111 1111 ok", "card", "4111 one one one one 1111 1111"),
+        ("card four one one one 1111-1111, one one one one ok", "card", "four one one one 1111-1111, one one one one"),
+        ("write to jane at example.com now", "email", "jane at example.com"),
+        ("jane.doe at mail.example.co.uk", "email", "jane.doe at mail.example.co.uk"),
+    ],
+)
+def test_disguised_dots_and_parts(text, kind, found):
+    at = text.find(found)
+    assert P.disguised(text, P.find(text)) == [(at, P.KINDS.index(kind), at + len(found))]
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "300 dot 1 dot 1 dot 1", "1 dot 2 dot 3", "in 2010 one of 12 was there", "4111 one one one one 1111 1112", "he came at noon.Then he left", "+1 five five"])
+def test_other_text_stays_clean(text):
+    assert P.disguised(text, P.find(text)) == []
+
+
+def test_plain_spans_are_kept_beside_words():
+    text = "one 4111 1111 1111 1111 one 10.0.0.1 two +1 743 555 3824 three a@b.co"
+    assert len(P.find(text)) == 4
+
+
+def test_new_patterns_take_no_long_time():
+    began = time.time()
+    for t in ("1 one " * 30_000, "one dot " * 30_000, "1[.]" * 30_000, "one " + "9" * 100_000, "a at b.c " * 20_000, "one." * 40_000, "one two three dot " * 20_000):
+        P.disguised(t, P.find(t))
+    assert time.time() - began < 20
