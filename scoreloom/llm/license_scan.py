@@ -55,6 +55,37 @@ TEMPLATES = [
     ("public-domain", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under Creative Commons Zero, CC0."),
     ("proprietary", "Copyright the authors. All rights reserved."),
     ("proprietary", "This document is confidential and proprietary; no part may be reproduced without prior written permission of the copyright holder."),
+    # short forms
+    ("mit", "Distributed under MIT."),
+    ("mit", "MIT License"),
+    ("apache", "Distributed under Apache 2.0."),
+    ("apache", "Apache License 2.0"),
+    ("gpl", "Licensed under GPLv2."),
+    ("gpl", "Released under GPLv2 or later."),
+    ("gpl", "Licensed under GPLv3."),
+    ("gpl", "Released under GPLv3 or later."),
+    ("gpl", "This program is free software under the GNU GPL, version 3 or later."),
+    ("gpl", "Licensed under the GNU GPL version 2."),
+    ("gpl", "This work is licensed under the GNU General Public License, version 2."),
+    ("lgpl", "Licensed under LGPLv2.1."),
+    ("lgpl", "Released under LGPLv3 or later."),
+    ("lgpl", "Licensed under the GNU LGPL version 3."),
+    ("bsd", "Released under the BSD 2-Clause License."),
+    ("bsd", "Licensed under BSD-3-Clause."),
+    ("mpl", "Licensed under MPL 2.0."),
+    ("cc-by", "Licensed under CC BY 4.0."),
+    ("cc-by", "Licensed under CC BY-SA 4.0."),
+    ("cc-by", "Licensed under CC BY-NC 4.0."),
+    ("cc-by", "Licensed under CC BY-ND 4.0."),
+    ("cc-by", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by", "Licensed under CC BY-NC-ND 4.0."),
+    ("cc-by", "Released under Creative Commons Attribution 4.0 International."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("public-domain", "Released under CC0 1.0."),
+    ("public-domain", "Dedicated to the public domain under CC0."),
+    ("proprietary", "All rights reserved."),
+    ("proprietary", "(c) 2019 The Company. All rights reserved."),
 ]
 #: Fixed texts: sentences with licence words that name no licence.
 GENERAL = [

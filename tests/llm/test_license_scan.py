@@ -72,3 +72,21 @@ def test_python_is_not_used(spark, classifier):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = L.scan(docs, classifier)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_finds_the_fourth_planted_notice(spark):
+    known = KNOWN | {"Licensed under CC BY-NC 4.0.": "cc-by"}
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in L.query(spark, sf).collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert any("Licensed under CC BY-NC 4.0." in t.split("\n") for t in docs.values())
+    for i, t in docs.items():
+        want = [f"{k}:{known[x]}" for k, x in enumerate(t.split("\n"), 1) if x in known]
+        assert rows[i].findings == ",".join(want), (i, rows[i])
+
+
+def test_short_forms(spark, classifier):
+    forms = [("cc-by", "Licensed under CC BY-NC 4.0."), ("cc-by", "Licensed under CC BY-ND 4.0"), ("gpl", "Licensed under GPLv2."), ("cc-by", "Licensed under CC BY 4.0"), ("lgpl", "Licensed under LGPLv3."), ("public-domain", "Licensed under CC0 1.0.")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id int, text string")
+    got = {r.doc_id: r.families for r in L.scan(docs, classifier).collect()}
+    assert [got[i] for i in range(len(forms))] == [f for f, _ in forms]
