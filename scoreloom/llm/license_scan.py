@@ -1,7 +1,7 @@
 """Licence scans with a trained paragraph classifier, in DataFrame functions and JVM models only.
 
-Lines with a licence cue are candidates; each is looked at by itself and joined with the two lines
-after it, as notices are often wrapped. A multinomial logistic regression over hashed word unigrams
+Lines in which a licence word or a bigram of a template begins are candidates; each is looked at by
+itself and joined with the one and the two lines after it, as notices are often wrapped. A multinomial logistic regression over hashed word unigrams
 and bigrams gives each a family or "unknown". It is trained on the template texts below, thinned in
 many ways, against general sentences about licences and lines of the corpus. What counts as unknown is
 calibrated on thinned texts that the training did not see. A family is reported only if a template of
@@ -10,6 +10,7 @@ it shares enough word bigrams with the paragraph.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -84,8 +85,8 @@ TEMPLATES = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     ("public-domain", "Released under CC0 1.0."),
     ("public-domain", "Dedicated to the public domain under CC0."),
-    ("proprietary", "All rights reserved."),
-    ("proprietary", "(c) 2019 The Company. All rights reserved."),
+    ("proprietary", "(c) All rights reserved."),
+    ("proprietary", "(c) 2020 The Company Inc. All rights reserved."),
 ]
 #: Fixed texts: sentences with licence words that name no licence.
 GENERAL = [
@@ -101,10 +102,41 @@ GENERAL = [
     "The company licensed its technology to several manufacturers.",
     "Copyright law differs from country to country.",
     "Poetic license allowed the author to change the dates.",
+    "Free software and open source are not the same thing.",
+    "The software is sold to schools at a lower price.",
+    "This program is shown on Sunday at the end of the day.",
+    "You should have received a copy of the letter along with this parcel.",
+    "To the extent possible the work is done by hand.",
+    "They worked under the terms of the new contract.",
+    "The creative commons of the village is open to any person.",
+    "The general public may visit the source of the river.",
+    "In 2020 or later the third version of the list was published by the foundation.",
+    "All rights reserved.",
+    "All rights of the workers were reserved for a later meeting.",
 ]
 FAMILIES = sorted({f for f, _ in TEMPLATES})
+#: Bigrams of these alone name no licence.
+_COMMON = frozenset("a all along an and any are as at be by can either following for have i in is it its no not of on or other otherwise shall should that the this to was where with you your".split())
+
+
+def _cues() -> str:
+    """Licence words, and every bigram of the templates but those of common words alone, as one pattern by first letters and first words.
+
+    A reading without a bigram of a template can't be confirmed, so lines without a cue lose nothing but readings that share common bigrams only.
+    """
+    tree: dict[str, dict[str, set[str]]] = {}
+    for _, text in TEMPLATES:
+        own = re.findall(r"[^\W_]+", text.lower())
+        for x, y in zip(own, own[1:]):
+            if not (x in _COMMON and y in _COMMON):
+                tree.setdefault(x[0], {}).setdefault(x[1:], set()).add(y)
+    by_word = lambda rest: "|".join(rf"{x}[\W_]+(?:{'|'.join(sorted(ys))})" for x, ys in sorted(rest.items()))
+    pairs = "|".join(f"{c}(?:{by_word(rest)})" for c, rest in sorted(tree.items()))
+    return rf"(?i)licen[cs]e|copyright|redistribut|spdx|warrant|permission|public domain|permitted|(?<![a-z0-9])(?:{pairs})(?![a-z0-9])"
+
+
 #: Cues; every template has one, which a test holds.
-CUES = r"(?i)licen[cs]e|copyright|redistribut|spdx|warrant|permission|public domain|permitted"
+CUES = _cues()
 _DIMENSIONS = 1 << 14
 
 
@@ -168,14 +200,15 @@ def _best(scored: DataFrame) -> DataFrame:
 
 
 def classify(paragraphs: DataFrame, classifier: Classifier, confirm: float = 0.5) -> DataFrame:
-    """``paragraphs`` (tokens and more) with family ("unknown" if unsure or unconfirmed), p and match (the best template's share of common bigrams)."""
+    """``paragraphs`` (tokens and more) with family ("unknown" if unsure or unconfirmed), p match (the best template's share of common bigrams) and common (the most common bigrams with one)."""
     spark = paragraphs.sparkSession
     scored = _best(classifier.model.transform(_hashed(paragraphs))).drop("features", "rawPrediction", "probability", "prediction")
     templates = _table(spark, TEMPLATES).groupBy("family").agg(F.collect_list(F.array_distinct(bigrams(words(F.col("text"))))).alias("__templates"))
     scored = scored.join(F.broadcast(templates.withColumnRenamed("family", "guess")), "guess", "left")
     own = F.array_distinct(bigrams(F.col("tokens")))
     match = F.array_max(F.transform("__templates", lambda t: F.size(F.array_intersect(own, t)) / F.greatest(F.least(F.size(t), F.size(own)), F.lit(1))))
-    scored = scored.withColumn("match", F.coalesce(match, F.lit(0.0)))
+    common = F.array_max(F.transform("__templates", lambda t: F.size(F.array_intersect(own, t))))
+    scored = scored.withColumn("match", F.coalesce(match, F.lit(0.0))).withColumn("common", F.coalesce(common, F.lit(0)))
     sure = (F.col("p") >= classifier.least) & (F.col("match") >= confirm)
     return scored.withColumn("family", F.when(sure, F.col("guess")).otherwise(UNKNOWN)).drop("guess", "__templates")
 
@@ -183,7 +216,7 @@ def classify(paragraphs: DataFrame, classifier: Classifier, confirm: float = 0.5
 def scan(docs: DataFrame, classifier: Classifier | None = None, confirm: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_candidates (lines with a cue), n_licences (those given a family), families (sorted, comma-joined), findings (line:family, lines counted from 1, comma-joined) of every row.
 
-    A line takes the surer of its two readings. Null texts have no line. Rows are told apart by hashes of id and text, so repeated rows get equal results and rows of one id their own. Without a classifier, one is trained here.
+    A line takes the surest of its three readings: alone, with the next line, with the next two. Null texts have no line. Rows are told apart by hashes of id and text, so repeated rows get equal results and rows of one id their own. Without a classifier, one is trained here.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     if classifier is None:
@@ -191,19 +224,30 @@ def scan(docs: DataFrame, classifier: Classifier | None = None, confirm: float =
         some = base.orderBy(F.xxhash64("doc_id"), "doc_id").limit(200)
         classifier = fit(some.select(F.explode(F.split("t", "\n")).alias("text")).where("length(text) > 20"))
     lines = F.split(F.col("t"), "\n")
-    found = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), F.concat_ws(" ", F.slice(lines, i + 1, 3)).alias("wide"))), lambda x: x["text"].rlike(CUES))
-    none = F.array().cast("array<struct<line:int,text:string,wide:string>>")
+    # a cue may end in the line after the one it begins in
+    more = lambda i: F.regexp_extract(F.concat_ws(" ", F.slice(lines, i + 2, 2)), r"^[^\p{L}\p{N}]*[\p{L}\p{N}]+", 0)
+    found = F.filter(
+        F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.rlike(CUES).alias("own"), F.concat_ws(" ", x, more(i)).alias("begin"), x.alias("text"), F.concat_ws(" ", F.slice(lines, i + 1, 2)).alias("two"), F.concat_ws(" ", F.slice(lines, i + 1, 3)).alias("wide"))),
+        lambda x: x["own"] | x["begin"].rlike(CUES),
+    )
+    found = F.transform(found, lambda x: x.dropFields("begin"))
+    none = F.array().cast("array<struct<line:int,own:boolean,text:string,two:string,wide:string>>")
     found = cut(base.select("doc_id", F.xxhash64("doc_id", "t").alias("h1"), F.hash("t", "doc_id").alias("h2"), F.when(F.col("t").rlike(CUES), found).otherwise(none).alias("found")))
     each = found.where(F.size("found") > 0).dropDuplicates(["h1", "h2"]).select("h1", "h2", F.explode("found").alias("x"))
-    each = each.select("h1", "h2", "x.line", F.explode(F.array("x.text", "x.wide")).alias("reading"))
+    each = each.select("h1", "h2", "x.line", F.posexplode(F.array("x.text", "x.two", "x.wide")).alias("more", "reading")).withColumn("last", F.col("line") + F.col("more"))
     judged = classify(each.withColumn("tokens", words(F.col("reading"))), classifier, confirm).where(F.col("family") != UNKNOWN)
+    judged = cut(judged.select("h1", "h2", "line", "last", "family", "p", "match", "common"))
+    # a notice that begins in a later line of the reading is that line's own
+    later = judged.select("h1", "h2", "family", F.explode(F.array(F.col("line") - 1, F.col("line") - 2)).alias("line"), F.col("last").alias("l2"), F.col("common").alias("c2"))
+    whole = judged.join(later, ["h1", "h2", "family", "line"]).where("l2 <= last AND c2 >= common").select("h1", "h2", "family", "line", "last").distinct()
+    judged = judged.join(whole, ["h1", "h2", "family", "line", "last"], "left_anti")
     by_line = judged.groupBy("h1", "h2", "line").agg(F.max_by("family", F.struct("p", "match", "family")).alias("family"))
     by_row = by_line.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("line", "family"))).alias("hits"))
     out = found.join(by_row, ["h1", "h2"], "left")
     hits = F.coalesce("hits", F.array().cast("array<struct<line:int,family:string>>"))
     return out.select(
         "doc_id",
-        F.size("found").cast("long").alias("n_candidates"),
+        F.size(F.filter("found", lambda x: x["own"])).cast("long").alias("n_candidates"),
         F.size(hits).cast("long").alias("n_licences"),
         F.array_join(F.sort_array(F.array_distinct(F.transform(hits, lambda x: x["family"]))), ",").alias("families"),
         F.array_join(F.transform(hits, lambda x: F.concat_ws(":", x["line"].cast("string"), x["family"])), ",").alias("findings"),

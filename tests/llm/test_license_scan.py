@@ -90,3 +90,20 @@ def test_short_forms(spark, classifier):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id int, text string")
     got = {r.doc_id: r.families for r in L.scan(docs, classifier).collect()}
     assert [got[i] for i in range(len(forms))] == [f for f, _ in forms]
+
+
+def test_notices_without_licence_words(spark, classifier):
+    forms = [
+        ("gpl", "Distributed under GPLv3 or later."),
+        ("cc-by", "Available under CC BY-SA 4.0."),
+        ("gpl", "This program is free software under the GNU GPL version 2."),
+        ("cc-by", "This work is released under Creative Commons Attribution 4.0 International."),
+        ("proprietary", "(c) 2020 Acme Inc. All rights reserved."),
+        ("gpl", "prose stands here\nThis program is free software under the GNU\nGPL version 2."),
+        ("", "This program is about the under side of the later version of life."),
+        ("", "The rights of the people under the law."),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id int, text string")
+    rows = {r.doc_id: r for r in L.scan(docs, classifier).collect()}
+    assert [rows[i].families for i in range(len(forms))] == [f for f, _ in forms]
+    assert rows[5].findings.startswith("2:gpl")
