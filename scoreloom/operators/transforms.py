@@ -124,8 +124,11 @@ def small_bins(stats: DataFrame, share: float = 0.05, by: Sequence[str] = ()) ->
 
 
 def _fine(stats: DataFrame) -> list[list]:
-    """Fine bins as [lowest bin, goods, bads]; a table of at most some hundred rows, as made by a binning operator."""
-    return [[r.bin, r.goods, r.bads] for r in stats.orderBy("bin").limit(1000).collect()]
+    """Fine bins as [lowest bin, goods, bads]; a table of at most some hundred rows, as made by a binning operator. More than 1,000 are an error."""
+    rows = stats.orderBy("bin").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1,000 fine bins; bin the variable more coarsely first")
+    return [[r.bin, r.goods, r.bads] for r in rows]
 
 
 def chi_merge(stats: DataFrame, most_bins: int = 5, p_value: float = 0.05) -> DataFrame:

@@ -273,3 +273,9 @@ def test_labels(spark):
     rows = spark.createDataFrame([(0.0,), (0.02,), (0.3,), (0.5,), (None,)], "v double")
     assert [r[0] for r in rows.select(labels.label(F.col("v"), labels.IV)).collect()] == ["Not predictive", "Weak", "Strong", "Suspicious (possible overfitting)", None]
     assert [r[0] for r in rows.select(labels.label(F.col("v"), labels.GINI_THREE, True)).collect()] == ["Poor", "Poor", "Poor", "Acceptable", None]
+
+
+@pytest.mark.parametrize("f", [T.chi_merge, T.optimal_bins])
+def test_too_many_fine_bins_are_an_error(spark, f):
+    with pytest.raises(ValueError, match="1,000"):
+        f(spark.range(1001).selectExpr("cast(id AS int) AS bin", "1L AS goods", "1L AS bads"))
