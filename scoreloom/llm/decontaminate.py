@@ -52,7 +52,7 @@ class Index:
         parts, counts = [], []
         for _, data, offsets in K.slices(pa.record_batch([joined], ["t"]), 0):
             starts, ends, first = K.spans(data, offsets, K.ALNUM)
-            parts.append(K.span_hash(K.prefix_sums(data, K.BYTE_FOLDED), starts, ends))
+            parts.append(K.hashes(data, starts, ends, fold=True))
             counts.append(np.diff(first))
         words = np.concatenate(parts) if parts else np.zeros(0, K.U)
         counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
@@ -155,7 +155,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
             for batch in batches:
                 for part, data, offsets in K.slices(batch, at):
                     starts, ends, first = K.spans(data, offsets, K.ALNUM)
-                    words = K.span_hash(K.prefix_sums(data, K.BYTE_FOLDED), starts, ends)
+                    words = K.hashes(data, starts, ends, fold=True)
                     place, length, item = ix.hits(words, first)
                     spans: dict[int, list[int]] = {}
                     items: dict[int, set[str]] = {}

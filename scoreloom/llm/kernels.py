@@ -5,8 +5,12 @@ that temporary arrays stay small whatever the batch or the texts are (one longer
 itself). Within a block, words, lines and n-grams are found and hashed with NumPy over the UTF-8
 bytes of all texts at once.
 
-A token's hash is a polynomial over its bytes modulo 2**64, read off prefix sums and then mixed;
-equal tokens have equal hashes wherever they stand, in whichever worker.
+A token's hash is the sum of its bytes, each times a pseudo-random 64-bit number of its place within
+the token, and is then mixed; equal tokens have equal hashes wherever they stand, in whichever
+worker. Unlike a polynomial modulo 2**64, whose coefficients are powers of one number, it has no
+strings that are sure to collide: two given tokens do with a chance of 2**-57 or less over the choice
+of the numbers. The bytes of one very long text are hashed by segments; finding its words takes about
+four bytes of memory a byte of text, and each word or line about 40 more.
 """
 
 from __future__ import annotations
@@ -18,11 +22,6 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-_MASK = (1 << 64) - 1
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     h = h ^ (h >> U(30))
@@ -33,29 +32,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, U)
-    out[0] = 1
-    k = 1
-    while k < n:
-        m = min(k, n - k)
-        out[k : k + m] = out[:m] * U(pow(base, k, 1 << 64))
-        k += m
-    return out
-
-
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
-_LOWER = np.arange(256)
+#: A factor for each place in a token; a longer token is cut to pieces of this many bytes.
+_LONGEST = 1 << 16
+_FACTORS = mix(np.arange(1, _LONGEST + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-BYTE_CASED, BYTE_FOLDED = _BYTE, _BYTE[_LOWER]
-_POW = [np.zeros(0, U), np.zeros(0, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        n = max(n, 2 * BLOCK)
-        _POW[:] = [_powers(_P, n), _powers(_P_INV, n)]
-    return _POW[0], _POW[1]
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -89,18 +70,51 @@ def slices(batch: pa.RecordBatch, text: int, most: int = BLOCK) -> Iterator[tupl
         a = b
 
 
-def prefix_sums(data: np.ndarray, table: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(table[data] * up[: len(data)], out=out[1:])
+def _short(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums over spans of 1 to _LONGEST bytes, in order and apart from each other."""
+    low = starts[0]
+    at = np.arange(ends[-1] - low) - np.repeat(starts - low, np.diff(starts, append=ends[-1]))
+    values = (data[low : ends[-1]].astype(U) + U(1)) * _FACTORS[np.minimum(at, _LONGEST - 1)]
+    edges = np.empty(2 * len(starts), np.int64)
+    edges[::2], edges[1::2] = starts - low, ends - low
+    return np.add.reduceat(values, edges[:-1])[::2]
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Hash of each span, which are in order and apart from each other; empty spans hash alike. fold: A-Z as a-z."""
+    out = np.zeros(len(starts), U)
+    size = ends - starts
+    filled = np.flatnonzero(size)
+    if len(filled):
+        a, b = starts[filled], ends[filled]
+        if (long := size[filled] > _LONGEST).any():
+            # pieces of long spans, which are hashed again as numbers
+            count = -(-(b - a) // _LONGEST)
+            own = np.repeat(np.arange(len(a)), count)
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            a, b = a[own] + nth * _LONGEST, np.minimum(a[own] + (nth + 1) * _LONGEST, b[own])
+        sums = np.empty(len(a), U)
+        k = 0
+        while k < len(a):
+            m = max(k + 1, int(np.searchsorted(b, a[k] + BLOCK, "right")))
+            part = data[a[k] : b[m - 1]]
+            sums[k:m] = _short(_LOWER[part] if fold else part, a[k:m] - a[k], b[k:m] - a[k])
+            k = m
+        if long.any():
+            sums = np.add.reduceat(mix(sums + nth.astype(U) * U(0xD6E8FEB86659FD93)), np.cumsum(count) - count)
+        out[filled] = sums
+    return mix(out + size.astype(U) * U(0xA0761D6478BD642F))
+
+
+def count_in(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Number of marked bytes of each text."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    some = offsets[1:] > offsets[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(mask, offsets[:-1][some], dtype=np.int64)
     return out
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
-
-
 def spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes in ``member``, cut at text ends: starts, ends, and each text's first run."""
     inside = member[data]

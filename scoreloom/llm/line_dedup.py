@@ -104,7 +104,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 n = np.searchsorted(words, ends) - np.searchsorted(words, starts)
                 filled = np.flatnonzero(n)
                 own = np.searchsorted(filled, line).astype(np.int32)
-                hashes = K.span_hash(K.prefix_sums(data, K.BYTE_CASED), starts[filled], ends[filled])
+                hashes = K.hashes(data, starts[filled], ends[filled])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(own, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(own, pa.array(n[filled].astype(np.int32)))], names=["doc", "hashes", "words"])
 
     return docs.mapInArrow(run, f"doc {dict(docs.dtypes)['doc']}, hashes array<bigint>, words array<int>")

@@ -45,7 +45,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     bag = np.concatenate([[0], np.cumsum(passages)])
     if not bag[-1]:
         return np.zeros((0, WIDTH), np.float32), bag
-    words = K.span_hash(K.prefix_sums(data, K.BYTE_FOLDED), starts, ends)
+    words = K.hashes(data, starts, ends, fold=True)
     owner = K.owners(first)
     within = np.arange(len(words)) - first[owner]
     passage = bag[owner] + within // PASSAGE

@@ -55,14 +55,11 @@ def repeated(hashes: np.ndarray, first: np.ndarray, later_only: bool = False) ->
 
 def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     starts, ends, first = K.spans(data, offsets, K.NOT_SPACE)
-    sums = K.prefix_sums(data, K.BYTE_CASED)
-    words = K.span_hash(sums, starts, ends)
+    words = K.hashes(data, starts, ends)
     out = {"n_words": np.diff(first)}
-    points = K.code_points(data)
-    out["word_chars"] = K.per_text(points[ends] - points[starts], first)
+    out["word_chars"] = K.count_in(K.NOT_SPACE[data] & ((data & 0xC0) != 0x80), offsets)
     for name, members in _CLASSES.items():
-        running = np.concatenate([np.zeros(1, np.int64), np.cumsum(members[data], dtype=np.int64)])
-        out[name] = running[offsets[1:]] - running[offsets[:-1]]
+        out[name] = K.count_in(members[data], offsets)
     owner = K.owners(first)
     grams, inside = K.ngrams(words, REPEAT), K.whole(first, REPEAT, owner)
     # windows of each text are its first n-4 places
@@ -80,7 +77,7 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     filled = np.searchsorted(starts, b) > np.searchsorted(starts, a)
     kept = np.flatnonzero(filled)
     own = np.searchsorted(kept, line)
-    out["n_dup_lines"] = np.diff(np.concatenate([[0], np.cumsum(repeated(K.span_hash(sums, a[kept], b[kept]), own, True))])[own])
+    out["n_dup_lines"] = np.diff(np.concatenate([[0], np.cumsum(repeated(K.hashes(data, a[kept], b[kept]), own, True))])[own])
     out["n_lines"] = np.diff(own)
     return out
 

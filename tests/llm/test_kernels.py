@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -22,7 +23,7 @@ def test_words_lines_and_hashes(texts, most):
     seen, hashes = [], {}
     for ids, data, offsets in blocks(texts, most):
         starts, ends, first = K.spans(data, offsets, K.NOT_SPACE)
-        words = K.span_hash(K.prefix_sums(data, K.BYTE_CASED), starts, ends)
+        words = K.hashes(data, starts, ends)
         a, b, line = K.lines(data, offsets)
         points = K.code_points(data)
         for k, i in enumerate(ids):
@@ -49,3 +50,17 @@ def test_ngrams(texts, n):
     got = [(int(g), tuple(flat[k : k + n].tolist())) for k, (g, ok) in enumerate(zip(grams, inside)) if ok]
     assert [w for _, w in got] == [tuple(t[k : k + n]) for t in texts for k in range(len(t) - n + 1)]
     assert len({g for g, _ in got}) == len({w for _, w in got})
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 200_000])
+def test_no_collision_of_thue_morse_words(n):
+    a = thue_morse(n)
+    b = a.translate({97: "b", 98: "a"})
+    data = np.frombuffer((a + " " + b + " " + a).encode(), np.uint8)
+    starts, ends, _ = K.spans(data, np.array([0, len(data)]), K.NOT_SPACE)
+    x, y, z = K.hashes(data, starts, ends).tolist()
+    assert x == z != y

@@ -85,7 +85,53 @@ def test_chains_and_groups_around_the_threshold(spark, n):
             docs.append((i := i + 1, " ".join(copy)))
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert rows(N.near_duplicates(df, n)) == sorted(brute(docs, n), key=repr)
+    want = sorted(brute(docs, n), key=repr)
+    assert rows(N.near_duplicates(df, n)) == want
+    # lists and groups of many blocks
+    assert rows(N.near_duplicates(df, n, list_block=3, set_block=150)) == want
+
+
+def test_a_large_group_around_the_threshold(spark):
+    """5,000 variants of one text, of which few pairs are similar enough, and as many that one hub holds together."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    docs = []
+    for i in range(5000):
+        words = [f"w{k}" for k in range(60)]
+        for _ in range(rng.choice([2, 3, 3, 4, 4, 4])):
+            words[rng.randrange(60)] = f"v{rng.randrange(40)}"
+        docs.append((i, " ".join(words)))
+    for i in range(5000, 7000):
+        words = [f"u{k}" for k in range(60)]
+        for _ in range(2):
+            words[rng.randrange(60)] = f"v{rng.random()}"
+        docs.append((i, " ".join(words)))
+    sets = [shingles(t, 2) for _, t in docs]
+    number = {}
+    for s in sets:
+        for x in s:
+            number.setdefault(x, len(number))
+    held = Counter(x for s in sets for x in s)
+    common = [x for x in number if held[x] > 1]
+    column = {x: k for k, x in enumerate(common)}
+    marks = np.zeros((len(docs), len(common)), np.float32)
+    for k, s in enumerate(sets):
+        marks[k, [column[x] for x in s if x in column]] = 1
+    size = np.array([len(s) for s in sets], np.float32)
+    groups, pairs = Sets(), 0
+    for k in range(0, len(docs), 500):
+        both = marks[k : k + 500] @ marks.T
+        a, b = np.nonzero(100 * both >= 80 * (size[k : k + 500, None] + size - both))
+        for i, j in zip((a + k).tolist(), b.tolist()):
+            pairs += i < j and j < 5000
+            groups.join(docs[i][0], docs[j][0])
+    want = [groups.find(i) for i, _ in docs]
+    assert pairs > 1000 and len(set(want[:5000])) > 500 and len(set(want[5000:])) == 1
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 2).collect()}
+    assert [got[i] for i, _ in docs] == want
 
 
 def test_edge_cases(spark):
