@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import cut, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,6 +26,7 @@ def components(pairs: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select("m", F.explode(F.array("a", "b")).alias("a")).where("a <> m").select("a", F.col("m").alias("b")).distinct()
         edges = cut(small)
+        release(edges.sparkSession)
         now = _mark(edges)
         if now == mark:
             break

@@ -236,6 +236,7 @@ def _connected(members: DataFrame, block: int, run: Callable[[DataFrame], DataFr
         hubs = hubs.select("g", F.explode(F.sequence(F.lit(0), c("k") - 1)).alias("i"), every.alias("h")).select("g", "i", F.explode("h").alias("h"))
         first = first.union(hubs.select(F.xxhash64("g", "i"), F.lit(False), "h.rep", "h.rep", "h.w"))
     links = cut(run(first))
+    release(members.sparkSession)
     if not some:
         return links
     roots = components(links)
@@ -267,7 +268,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     counts = posts.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     own = posts.join(counts, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("own"))
     lists = own.where(F.size("own") >= MATCHES).select("rep", F.explode(F.slice("own", 1, F.size("own") - MATCHES + 1)).alias("x")).select(c("x.key").alias("g"), "rep")
-    lists = cut(lists.distinct())
+    lists = cut(lists)
     sketches = reps.select("rep", "n", "sketch")
     candidates = _connected(lists.withColumn("w", F.lit(1)), list_block, lambda rows: _collisions(_dealt(rows.join(sketches, "rep").select("task", "second", "rep", "root", "n", "sketch")), kind, percent))
     groups = components(candidates).join(reps.groupBy("rep").agg(F.sum("n").alias("w")), c("id") == c("rep")).select("rep", "root", "w")
@@ -290,11 +291,13 @@ def _thin(groups: DataFrame, lists: DataFrame, block: int) -> DataFrame:
     """(g, rep, w) of groups (rep, root, w). A group of several blocks whose lists have fewer pairs of members than the group is dealt out by these lists: chains of pairs may have made it large."""
     whole = groups.select(F.xxhash64("root").alias("g"), "rep", "w")
     wide = cut(groups.groupBy("root").agg(F.sum("w").alias("w"), F.count("*").alias("held")).where(F.col("w") > block).select("root", "held"))
-    if wide.isEmpty():
+    if not (n := wide.count()):
         return whole
-    inner = lists.join(groups, "rep").join(wide, "root").select("root", "g", "rep", "w", "held")
+    # each wide group holds more than a block of shingles, so there are few of them
+    few = F.broadcast if 64 * n <= BROADCAST_BYTES else lambda x: x
+    inner = lists.join(groups.join(few(wide), "root"), "rep").select("root", "g", "rep", "w", "held")
     pairs = inner.groupBy("root", "g", "held").agg(F.count("*").alias("n")).groupBy("root", "held").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
-    thin = cut(pairs.where(F.col("pairs") < F.col("held").cast("double") * F.col("held")).select("root"))
+    thin = few(cut(pairs.where(F.col("pairs") < F.col("held").cast("double") * F.col("held")).select("root")))
     whole = groups.join(thin, "root", "left_anti").select(F.xxhash64("root").alias("g"), "rep", "w")
     return whole.union(inner.join(thin, "root").select(F.xxhash64("root", "g"), "rep", "w"))
 
