@@ -25,7 +25,7 @@ def auc(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (
     dist = running(distribution(df, y, score, by), "score", {"neg_upto": F.col("neg")}, by)
     half = F.col("pos") * (F.col("neg_upto") - F.col("neg") / F.lit(2.0))
     out = dist.groupBy(*by).agg(F.sum(half).alias("__u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    a = F.coalesce(F.col("__u") / F.nullif((F.col("n_pos") * F.col("n_neg")).cast("double"), F.lit(0.0)), F.lit(0.5))
+    a = F.coalesce(F.col("__u") / F.nullif(F.col("n_pos").cast("double") * F.col("n_neg"), F.lit(0.0)), F.lit(0.5))
     out = out.withColumn("auc", a).withColumn("gini", 2 * F.col("auc") - 1).drop("__u")
     return out.withColumn("gini_label", labels.label(F.col("gini"), labels.GINI)).withColumn("gini_label_short", labels.label(F.col("gini"), labels.GINI_THREE, inclusive=True))
 
@@ -78,29 +78,33 @@ def lorenz(df: DataFrame, y: str = "y", score: str = "score", key: str = "key",
     return rows.select("point", share("at", "n").alias("cum_pop"), F.coalesce(share("cum", "P"), F.lit(0.0)).alias("cum_bads"))
 
 
+def _area(cum: str) -> Column:
+    """The sum of running totals, which grows with the square of the rows: exact, beyond what a long holds."""
+    return F.sum(F.col(cum).cast("decimal(20,0)")).cast("double")
+
+
 def lorenz_gini_area(df: DataFrame, y: str = "y", score: str = "score", key: str = "key") -> DataFrame:
     """gini_area: 1 - 2 * the trapezoid area under the curve through every row. Not 2 auc - 1: (1 - event rate) times it, but for ties."""
     ranked, _ = _ranked(df, y, score, key, False)
-    out = ranked.agg(F.count("*").alias("n"), F.sum("y").alias("P"), F.sum("cum").alias("C"))
-    return out.select((1 - (2 * F.col("C") - F.col("P")) / F.nullif((F.col("n") * F.col("P")).cast("double"), F.lit(0.0))).alias("gini_area"))
+    out = ranked.agg(F.count("*").alias("n"), F.sum("y").cast("double").alias("P"), _area("cum").alias("C"))
+    return out.select((1 - (2 * F.col("C") - F.col("P")) / F.nullif(F.col("n") * F.col("P"), F.lit(0.0))).alias("gini_area"))
 
 
 def concentration(df: DataFrame, shares: Sequence[float] = (0.1, 0.2, 0.3, 0.5), y: str = "y", score: str = "score", key: str = "key", descending: bool = False) -> DataFrame:
     """share, captured: the part of events in that share of rows, of lowest score, or of highest if descending."""
     ranked, totals = _ranked(df, y, score, key, descending)
     wanted = attach(df.sparkSession.range(1).select(F.explode(F.array(*(F.lit(float(p)) for p in shares))).alias("share")), totals).withColumn("at", F.floor(F.col("share") * F.col("n")))
-    # events among the first rows, without joining them
-    held = ranked.where("y = 1").crossJoin(F.broadcast(wanted.select("share", "at")))
-    counts = held.groupBy("share").agg(F.sum((F.col("place") <= F.col("at")).cast("long")).alias("hits"))
-    out = wanted.join(counts, "share", "left")
-    return out.select("share", (F.coalesce("hits", F.lit(0)) / F.nullif("P", F.lit(0)).cast("double")).alias("captured"))
+    # events up to the last of the first rows, which is one row a share
+    held = ranked.select(F.col("place").alias("at"), "cum").join(F.broadcast(wanted.where("at > 0").select("share", "at")), "at").select("share", "cum")
+    out = wanted.join(held, "share", "left")
+    return out.select("share", (F.coalesce("cum", F.lit(0)) / F.nullif("P", F.lit(0)).cast("double")).alias("captured"))
 
 
 def accuracy_ratio(df: DataFrame, y: str = "y", score: str = "score", key: str = "key") -> DataFrame:
     """accuracy_ratio: the CAP curve's area above the diagonal over that of a perfect score."""
     ranked, _ = _ranked(df, y, score, key, True)
-    out = ranked.agg(F.count("*").alias("n"), F.sum("y").alias("P"), F.sum("cum").alias("C"))
-    n, p = F.col("n").cast("double"), F.nullif(F.col("P"), F.lit(0)).cast("double")
+    out = ranked.agg(F.count("*").alias("n"), F.sum("y").cast("double").alias("P"), _area("cum").alias("C"))
+    n, p = F.col("n").cast("double"), F.nullif(F.col("P"), F.lit(0.0))
     area = (2 * F.col("C") - F.col("P")) / (2 * n * p)
     return out.select(((area - 0.5) / F.nullif((1 - p / n) / 2, F.lit(0.0))).alias("accuracy_ratio"))
 
@@ -115,8 +119,9 @@ def trapezoid_gini(points: DataFrame, x: str = "cum_pop", y: str = "cum_bads") -
 def impurity(df: DataFrame, classes: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """(by, n, impurity): 1 - the sum of squared class shares of each node."""
     counts = df.groupBy(*by, classes).agg(F.sum(weight if weight is not None else F.lit(1)).alias("__c"))
-    c, total = F.col("__c"), F.sum("__c")
-    return counts.groupBy(*by).agg(total.alias("n"), (1 - F.sum(c * c) / F.nullif((total * total).cast("double"), F.lit(0.0))).alias("impurity"))
+    c, total = F.col("__c").cast("double"), F.sum("__c")
+    whole = total.cast("double")
+    return counts.groupBy(*by).agg(total.alias("n"), (1 - F.sum(c * c) / F.nullif(whole * whole, F.lit(0.0))).alias("impurity"))
 
 
 def impurity_reduction(df: DataFrame, classes: str, split: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from .order import attach
-from .transforms import by_edges
+from .transforms import BUFFERED, by_edges, quantiles
 
 FLOOR = 1e-4
 
@@ -68,7 +68,9 @@ def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str], kind: st
 
 
 def frozen_edges(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
-    """(variable, edges): the n-quantiles of each column, from one pass."""
+    """(variable, edges): the n-quantiles of each column, from one pass; of a table above BUFFERED rows from ranks of distinct values."""
+    if df.count() > BUFFERED:
+        return quantiles(unpivot(df, columns, []), "value", [k / n for k in range(n + 1)], ["variable"], "rank", few_groups=True)
     shares = F.array(*(F.lit(k / n) for k in range(n + 1)))
     one = df.agg(*(F.percentile(F.col(c).cast("double"), shares).alias(c) for c in columns))
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).alias("edges")) for c in columns)))
@@ -77,9 +79,11 @@ def frozen_edges(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
 
 def iv_ranking(df: DataFrame, columns: Sequence[str], target: str, n: int = 10) -> DataFrame:
     """variable, iv and iv_label of numeric columns in n equal-frequency bins, greatest first."""
-    long = unpivot(df, columns, [target])
-    long = long.join(F.broadcast(frozen_edges(df, columns, n)), "variable")
-    stats = bin_statistics(long.withColumn("bin", by_edges(F.col("value"), F.col("edges"), n)), "bin", target, ["variable"])
+    # a row a variable; bins go side by side and the rows unpivot as small numbers
+    edges = frozen_edges(df, columns, n).agg(F.map_from_entries(F.collect_list(F.struct("variable", "edges"))).alias("__edges"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.when(F.col(c).isNotNull(), by_edges(F.col(c).cast("double"), F.col("__edges")[c], n)).alias("bin")) for c in columns)))
+    long = attach(df.select(target, *columns), edges).select(F.col(target).alias("__y"), pairs.alias("__p")).select("__y", "__p.*")
+    stats = bin_statistics(long, "bin", "__y", ["variable"])
     return information_value(stats, ["variable"]).orderBy(F.desc("iv"), "variable")
 
 

@@ -39,7 +39,7 @@ def fit_summary(dev: DataFrame, n_parameters: int, null: str = "null_deviance")
 def gini_variance(a: Column, n_pos: Column, n_neg: Column) -> Column:
     """Four times the Hanley-McNeil variance of the AUC."""
     q1, q2 = a / (2 - a), 2 * a * a / (1 + a)
-    return 4 * (a * (1 - a) + (n_pos - 1) * (q1 - a * a) + (n_neg - 1) * (q2 - a * a)) / F.nullif((n_pos * n_neg).cast("double"), F.lit(0.0))
+    return 4 * (a * (1 - a) + (n_pos - 1) * (q1 - a * a) + (n_neg - 1) * (q2 - a * a)) / F.nullif(n_pos.cast("double") * n_neg, F.lit(0.0))
 
 
 def gini_interval(df: DataFrame, y: str = "y", score: str = "score", level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:

@@ -30,9 +30,9 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence | None = Non
 
 def expected_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Adds expected, deviation (observed - expected) and represented ("over", "under", "even")."""
-    total = lambda *keys: F.sum("observed").over(Window.partitionBy(*keys))
+    total = lambda *keys: F.sum("observed").over(Window.partitionBy(*keys)).cast("double")
     grand = total(*(by or [F.lit(0)]))
-    e = total(*by, "row_key") * total(*by, "col_key") / F.nullif(grand, F.lit(0)).cast("double")
+    e = total(*by, "row_key") * total(*by, "col_key") / F.nullif(grand, F.lit(0.0))
     out = cells.withColumn("expected", e).withColumn("deviation", F.col("observed") - F.col("expected"))
     return out.withColumn("represented", F.when(F.col("deviation") > 0, "over").when(F.col("deviation") < 0, "under").otherwise("even"))
 

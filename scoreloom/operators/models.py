@@ -11,19 +11,38 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_digits, uniform
 from .order import attach
 
+#: A class is cut to 65,536 slices of its hashes.
+SLICE_BITS = 16
+SLICES = 1 << SLICE_BITS
+
 
 def stratified_split(df: DataFrame, target: str, key: str, test_share: float = 0.3, seed: int = 42) -> DataFrame:
-    """Adds is_test: an exact share of each class, rounded down, by hashed key. A window partition is a class; for very large tables use hashed_split."""
-    w = Window.partitionBy(target)
-    ordered = w.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return df.withColumn("is_test", F.row_number().over(ordered) <= F.floor(F.count("*").over(w) * F.lit(test_share)))
+    """Adds is_test: an exact share of each class, rounded down, of the least hashed keys.
+
+    Counts by the first digits of the hash tell which slice of each class the limit falls in; only rows of
+    that slice, one in SLICES, are ordered.
+    """
+    rows = df.withColumn("__h", hash_digits(15, F.col(key), F.lit(seed))).withColumn("__slice", F.shiftright("__h", 60 - SLICE_BITS))
+    counts = rows.groupBy(target, "__slice").agg(F.count("*").alias("__c"))
+    slices = Window.partitionBy(target)
+    upto = F.sum("__c").over(slices.orderBy("__slice"))
+    limits = counts.select(target, "__slice", upto.alias("__upto"), F.col("__c"), F.floor(F.sum("__c").over(slices) * F.lit(test_share)).alias("__k"))
+    limits = limits.where((F.col("__upto") >= F.col("__k")) & (F.col("__upto") - F.col("__c") < F.col("__k")) | (F.col("__k") == 0) & (F.col("__upto") == F.col("__c")))
+    limits = limits.select(target, F.col("__slice").alias("__at"), (F.col("__k") - F.col("__upto") + F.col("__c")).alias("__left"))
+    rows = attach(rows, limits, [target])
+    edge = rows.where(F.col("__slice") == F.col("__at"))
+    placed = F.row_number().over(Window.partitionBy(target, "__slice").orderBy("__h", key))
+    edge = edge.withColumn("is_test", placed <= F.col("__left"))
+    rest = rows.where(F.col("__slice") != F.col("__at")).withColumn("is_test", F.col("__slice") < F.col("__at"))
+    return edge.unionByName(rest).drop("__h", "__slice", "__at", "__left")
 
 
 def hashed_split(df: DataFrame, key: str, test_share: float = 0.3, seed: int = 42) -> DataFrame:
     """Adds is_test by hash of the key alone, without a shuffle."""
-    return df.withColumn("is_test", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(test_share * 1_000_000))
+    return df.withColumn("is_test", uniform(F.col(key), F.lit(seed)) < test_share)
 
 
 def class_weights(df: DataFrame, target: str, out: str = "weight") -> DataFrame:
@@ -34,14 +53,15 @@ def class_weights(df: DataFrame, target: str, out: str = "weight") -> DataFrame:
 
 
 def fit_logistic(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (), balanced: bool = True, c: float = 1.0, max_iter: int = 1000, scaling: str = "minmax") -> PipelineModel:
-    """L2 logistic regression of strength 1 / (c n), on scaled numbers and alphabetical codes. scaling: "minmax", "zscore" or "none"."""
+    """L2 logistic regression of strength 1 / (c n), on scaled numbers and alphabetical codes. scaling: "minmax", "zscore" or "none". Rows with a null number or target take no part in fitting."""
+    train = train.dropna(subset=[*numeric, target])
     n = train.count()
     stages = [StringIndexer(inputCols=list(categorical), outputCols=[f"__i_{x}" for x in categorical], stringOrderType="alphabetAsc", handleInvalid="keep")] if categorical else []
-    stages.append(VectorAssembler(inputCols=list(numeric), outputCol="__numbers", handleInvalid="skip"))
+    stages.append(VectorAssembler(inputCols=list(numeric), outputCol="__numbers", handleInvalid="keep"))
     if scaling != "none":
         kind = MinMaxScaler if scaling == "minmax" else StandardScaler
         stages.append(kind(inputCol="__numbers", outputCol="__scaled", **({"withMean": True} if scaling == "zscore" else {})))
-    stages.append(VectorAssembler(inputCols=["__scaled" if scaling != "none" else "__numbers", *(f"__i_{x}" for x in categorical)], outputCol="__features"))
+    stages.append(VectorAssembler(inputCols=["__scaled" if scaling != "none" else "__numbers", *(f"__i_{x}" for x in categorical)], outputCol="__features", handleInvalid="keep"))
     weights = {"weightCol": "weight"} if balanced else {}
     stages.append(LogisticRegression(featuresCol="__features", labelCol=target, probabilityCol="__probability", predictionCol="__prediction", rawPredictionCol="__raw", regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=max_iter, **weights))
     rows = class_weights(train, target) if balanced else train
@@ -49,9 +69,10 @@ def fit_logistic(train: DataFrame, target: str, numeric: Sequence[str], categori
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
-    """``df`` with the probability of class 1."""
+    """``df`` with the probability of class 1; rows with a null number have none."""
     scored = model.transform(df)
-    return scored.withColumn(out, vector_to_array("__probability")[1]).select(*df.columns, out)
+    p = vector_to_array("__probability")[1]
+    return scored.withColumn(out, F.when(~F.isnan(p), p)).select(*df.columns, out)
 
 
 def coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -69,3 +90,11 @@ def intercept_only(df: DataFrame, target: str, balanced: bool = False, out: str
     if balanced:
         return df.withColumn(out, F.lit(0.5))
     return attach(df, df.agg(F.avg(F.col(target).cast("double")).alias(out)))
+
+
+def apply_scorecard(df: DataFrame, intercept: float, weights: dict[str, float], out: str = "score") -> DataFrame:
+    """The probability of class 1 by known coefficients of numeric columns, without a fitted model; null where a column is."""
+    z = F.lit(float(intercept))
+    for column, w in weights.items():
+        z = z + F.col(column).cast("double") * F.lit(float(w))
+    return df.withColumn(out, 1 / (1 + F.exp(-z)))

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Rows of a range, ranges of a table at most (beyond, they hold more rows), and sampled rows a range.
+ROWS_PER_RANGE, MOST_RANGES, SAMPLED = 2_000_000, 1 << 15, 32
 
 
-def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``df`` with the columns of ``stats``, which has a row for each group, or one row without ``by``."""
+def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = (), small: bool = False) -> DataFrame:
+    """``df`` with the columns of ``stats``, which has a row for each group, or one row without ``by``. small: stats has MOST_RANGES rows at most."""
     if not by:
         return df.crossJoin(F.broadcast(stats))
     renamed = stats.select(*(F.col(k).alias(f"__k_{k}") for k in by), *(c for c in stats.columns if c not in by))
@@ -19,33 +20,43 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame
     on = same[0]
     for c in same[1:]:
         on = on & c
-    return df.join(renamed, on).drop(*(f"__k_{k}" for k in by))
+    return df.join(F.broadcast(renamed) if small else renamed, on).drop(*(f"__k_{k}" for k in by))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), tie: Sequence[str] = (), descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """Adds, for each name in ``sums``, the running total of its expression up to and including the row.
+def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), tie: Sequence[str] = (), descending: bool = False, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Adds, for each name in ``sums``, the running total of its expression up to and including the row, in each group of ``by``.
 
-    Rows are ordered by ``order`` (a number) and then ``tie``, which should be a key. With ``by``, each
-    group is a window partition. Without, rows are cut into ranges of ``order`` at approximate quantiles;
-    totals of ranges give each range its offset, and windows run within ranges. Equal values of ``order``
-    are in one range, so the result does not depend on where the cuts are.
+    Rows are ordered by ``order`` (a number) and then ``tie``, which should be a key. They are counted
+    first; a table of up to ``rows_per_range`` rows is one window. A larger one is cut into ranges of about
+    that many rows of the order (by, order, tie), wherever groups or equal values begin, so that neither a
+    large group nor a value that very many rows share is one task. Cuts are places of a sample by hash;
+    totals of ranges give each range its offset, and windows run within ranges. Rows that are equal in all
+    of these columns are in one range, so the result does not depend on where the cuts are.
     """
     key = F.col(order).desc() if descending else F.col(order).asc()
     keys = [key, *(F.col(t).asc() for t in tie)]
     upto = (Window.unboundedPreceding, Window.currentRow)
-    if by:
-        w = Window.partitionBy(*by).orderBy(*keys).rowsBetween(*upto)
+    n = df.count()
+    if n <= rows_per_range:
+        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*keys).rowsBetween(*upto)
         return df.withColumns({name: F.sum(x).over(w) for name, x in sums.items()})
-    shares = [k / buckets for k in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), F.array(*map(F.lit, shares)), F.lit(1000)).alias("__cuts"))
-    value = F.col(order).cast("double")
-    bucket = F.size(F.filter("__cuts", lambda c: c < value))
-    cutted = df.crossJoin(F.broadcast(cuts)).withColumn("__range", -bucket if descending else bucket).drop("__cuts")
-    totals = cutted.groupBy("__range").agg(*(F.sum(x).alias(f"__t_{name}") for name, x in sums.items()))
-    # a row for each range
-    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("__range").alias("__r"), *(F.coalesce(F.sum(f"__t_{name}").over(before), F.lit(0)).alias(f"__o_{name}") for name in sums))
-    w = Window.partitionBy("__range").orderBy(*keys).rowsBetween(*upto)
-    out = cutted.join(F.broadcast(offsets), F.col("__range").eqNullSafe(F.col("__r")))
-    out = out.withColumns({name: F.sum(x).over(w) + F.col(f"__o_{name}") for name, x in sums.items()})
-    return out.drop("__range", "__r", *(f"__o_{name}" for name in sums))
+    # as the window orders: ascending nulls first, descending nulls and then the least last
+    first = [F.col(order).isNull(), ~F.isnan(F.col(order).cast("double")), -F.col(order)] if descending else [F.col(order)]
+    whole = F.struct(*(F.col(k) for k in by), *first, *(F.col(t) for t in tie))
+    ranges = min(MOST_RANGES, -(-n // rows_per_range))
+    every = max(1, n // (ranges * SAMPLED))
+    sample = df.select(whole.alias("__w")).where(F.pmod(F.xxhash64("__w"), F.lit(every)) == 0)
+    # some SAMPLED rows a range
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__w"))
+    cuts = sample.select("__w", place.alias("__at")).where(F.col("__at") % SAMPLED == 0).agg(F.sort_array(F.collect_set("__w")).alias("__cuts"))
+    steps = F.array(*(F.lit(1 << k) for k in range(MOST_RANGES.bit_length(), -1, -1)))
+    search = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("__cuts", at + step - 1) < F.col("__w"), at + step).otherwise(at))
+    cutted = df.withColumn("__w", whole).crossJoin(F.broadcast(cuts)).withColumn("__range", search).drop("__cuts", "__w")
+    totals = cutted.groupBy(*by, "__range").agg(*(F.sum(x).alias(f"__t_{name}") for name, x in sums.items()))
+    # a row for each range of a group
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, F.col("__range"), *(F.coalesce(F.sum(f"__t_{name}").over(before), F.lit(0)).alias(f"__o_{name}") for name in sums))
+    w = Window.partitionBy(*by, "__range").orderBy(*keys).rowsBetween(*upto)
+    out = cutted.withColumns({name: F.sum(x).over(w) for name, x in sums.items()})
+    out = attach(out, offsets, [*by, "__range"], small=not by)
+    return out.withColumns({name: F.col(name) + F.col(f"__o_{name}") for name in sums}).drop("__range", *(f"__o_{name}" for name in sums))

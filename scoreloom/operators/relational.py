@@ -8,12 +8,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import attach
+from .transforms import BUFFERED, quantiles
+
 
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, variable, count, mean, std, min, p25, p50, p75, max): sample deviation, exact quartiles."""
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns)))
     long = df.select(*by, each.alias("__p")).select(*by, "__p.variable", "__p.value").where("value IS NOT NULL")
-    out = long.groupBy(*by, "variable").agg(F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"), F.max("value").alias("max"))
+    numbers = [F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")]
+    shares = [0.25, 0.5, 0.75]
+    if df.count() <= BUFFERED:
+        out = long.groupBy(*by, "variable").agg(*numbers, F.percentile("value", F.array(*map(F.lit, shares))).alias("__q"))
+    else:
+        quartiles = quantiles(long, "value", shares, [*by, "variable"], "rank").withColumnRenamed("edges", "__q")
+        out = attach(long.groupBy(*by, "variable").agg(*numbers), quartiles, [*by, "variable"])
     return out.select(*by, "variable", "count", "mean", "std", "min", F.col("__q")[0].alias("p25"), F.col("__q")[1].alias("p50"), F.col("__q")[2].alias("p75"), "max")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +32,102 @@ def calinski_harabasz(df: DataFrame, features: str, label: str) -> DataFrame:
     return attach(wcss, between).withColumn("calinski_harabasz", ch_index(F.col("bcss"), F.col("wcss"), F.col("n"), F.col("k")))
 
 
+def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None], 0.0)
+
+
+def _starting_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on a sample."""
+    rng = np.random.default_rng(seed)
+    chosen = [sample[rng.integers(len(sample))]]
+    for _ in range(k - 1):
+        far = _squared(sample, np.array(chosen)).min(1)
+        chosen.append(sample[rng.choice(len(sample), p=far / far.sum()) if far.sum() else rng.integers(len(sample))])
+    return np.array(chosen)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    column = column.drop_null()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def fit_kmeans(df: DataFrame, features: str, models: Sequence[tuple[int, int]], max_iter: int = 100, tolerance: float = 1e-6, sample: int = 5000) -> list[tuple[np.ndarray, float]]:
+    """Centres and cost of each (k, seed), all fitted side by side: a pass over the rows moves the centres of every model that still moves.
+
+    Starts are drawn by k-means++ from the ``sample`` rows of least hash, a bound on what the driver holds. Each
+    task adds up its rows; a row a model, centre and dimension comes back. Rows without features take no part.
+    """
+    rows = df.select(F.col(features).cast("array<double>").alias("x")).where("x IS NOT NULL")
+    first = np.array([r.x for r in rows.orderBy(F.xxhash64("x"), "x").limit(sample).collect()])
+    if not len(first):
+        raise ValueError("no rows to cluster")
+    found = [(_starting_centres(first, k, seed), np.inf) for k, seed in models]
+    moving = list(range(len(models)))
+
+    def sums(batches: Iterator[pa.RecordBatch], here: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        totals = {m: (np.zeros_like(c), np.zeros(len(c)), np.zeros(len(c))) for m, c in here}
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            for m, c in here if len(x) else ():
+                d = _squared(x, c)
+                near = d.argmin(1)
+                total, n, cost = totals[m]
+                np.add.at(total, near, x)
+                n += np.bincount(near, minlength=len(c))
+                cost += np.bincount(near, d[np.arange(len(x)), near], len(c))
+        out = [(m, j, float(t[1][j]), float(t[2][j]), t[0][j].tolist()) for m, t in totals.items() for j in range(len(t[1]))]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())))], names=["m", "j", "n", "cost", "total"])
+
+    for step in range(max_iter + 1):
+        here = [(m, found[m][0]) for m in moving]
+        parts = rows.mapInArrow(lambda batches, here=here: sums(batches, here), "m int, j int, n double, cost double, total array<double>")
+        parts = parts.select("m", "j", "n", "cost", F.posexplode("total").alias("d", "x")).groupBy("m", "j", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("cost").alias("cost")).collect()
+        new, cost = {m: c.copy() for m, c in here}, dict.fromkeys(moving, 0.0)
+        for r in parts:
+            if r.n:  # a centre without rows stays where it is
+                new[r.m][r.j, r.d] = r.x / r.n
+            cost[r.m] += r.cost if r.d == 0 else 0.0
+        still = []
+        for m, c in here:
+            moved = ((new[m] - c) ** 2).sum(1).max()
+            if moved > tolerance * tolerance and step < max_iter:
+                still.append(m)
+                found[m] = new[m], cost[m]
+            else:
+                found[m] = c, cost[m]
+        moving = still
+        if not moving:
+            break
+    return found
+
+
 def kmeans(df: DataFrame, features: str, k: int, seeds: Sequence[int] = (42,), out: str = "cluster") -> DataFrame:
-    """Clusters of the best of several starts, by cost."""
-    rows = df.withColumn("__v", array_to_vector(F.col(features).cast("array<double>")))
-    models = [KMeans(k=k, seed=s, featuresCol="__v", predictionCol=out).fit(rows) for s in seeds]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).drop("__v")
-
-
-def k_sweep(df: DataFrame, features: str, ks: Sequence[int] = range(2, 8), seeds: Sequence[int] = (42,)) -> DataFrame:
-    """k, calinski_harabasz, is_best (the first maximum). The rows are read once for each fit; cache them before."""
-    found = [calinski_harabasz(kmeans(df, features, k, seeds), features, "cluster").select(F.lit(k).alias("asked_k"), "calinski_harabasz") for k in ks]
-    table = reduce(DataFrame.unionByName, found)
-    best = table.agg(F.max_by("asked_k", F.struct("calinski_harabasz", -F.col("asked_k"))).alias("best"))
-    return attach(table, best).select(F.col("asked_k").alias("k"), "calinski_harabasz", (F.col("asked_k") == F.col("best")).alias("is_best"))
+    """Clusters of the best of several starts, by cost; null where features are."""
+    centres, _ = min(fit_kmeans(df, features, [(k, s) for s in seeds]), key=lambda m: m[1])
+
+    @F.pandas_udf("int")
+    def nearest(x: pd.Series) -> pd.Series:
+        there = x.notna().to_numpy()
+        near = pd.Series(pd.NA, index=x.index, dtype="Int32")
+        if there.any():
+            near[there] = _squared(np.array(x[there].tolist(), np.float64), centres).argmin(1)
+        return near
+
+    return df.withColumn(out, nearest(F.col(features).cast("array<double>")))
+
+
+def k_sweep(df: DataFrame, features: str, ks: Sequence[int] = range(2, 8), seeds: Sequence[int] = range(42, 52)) -> DataFrame:
+    """k, calinski_harabasz, is_best (the first maximum), of the best of the starts for each k; all are fitted side by side."""
+    models = [(k, s) for k in ks for s in seeds]
+    fitted = fit_kmeans(df, features, models)
+    costs = [(k, min(cost for (k2, _), (_, cost) in zip(models, fitted) if k2 == k)) for k in ks]
+    long = df.where(F.col(features).isNotNull()).select(F.posexplode(F.col(features).cast("array<double>")).alias("d", "x"))
+    whole = long.groupBy("d").agg(F.count("*").alias("n"), F.var_pop("x").alias("v")).agg(F.max("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("tss"))
+    table = attach(df.sparkSession.createDataFrame(costs, "k int, wcss double"), whole)
+    table = table.select("k", ch_index(F.col("tss") - F.col("wcss"), F.col("wcss"), F.col("n"), F.col("k")).alias("calinski_harabasz"))
+    best = table.agg(F.max_by("k", F.struct("calinski_harabasz", -F.col("k"))).alias("best"))
+    return attach(table, best).select("k", "calinski_harabasz", (F.col("k") == F.col("best")).alias("is_best"))
 
 
 def profile(df: DataFrame, cluster: str, means: Sequence[str], target: str | None = None) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .order import attach, running
 
+#: Rows up to which quantiles count distinct values in a buffer.
+BUFFERED = 5_000_000
+
 
 def min_max_scale(df: DataFrame, column: str, out: str, by: Sequence[str] = (), low: float | None = None, high: float | None = None, symmetric: bool = False) -> DataFrame:
     """(x - min) / (max - min), 0 where all are equal; with low and high by these bounds; symmetric: to [-1, 1]."""
@@ -46,29 +49,39 @@ def equal_width_edges(df: DataFrame, column: str, n: int, by: Sequence[str] = ()
     return stats.select(*by, edges.alias("edges"))
 
 
-def equal_frequency_edges(df: DataFrame, column: str, n: int, by: Sequence[str] = (), method: str = "percentile") -> DataFrame:
-    """Linearly interpolated n-quantiles, n + 1 edges.
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), method: str = "auto", few_groups: bool = False) -> DataFrame:
+    """(by, edges): linearly interpolated quantiles of the values that are not null.
 
-    method: "percentile" holds counts of distinct values in one aggregate buffer a group; "rank" ranks the
-    table by ranges instead, exact as well and without such a buffer (no groups); "approx" is a sketch.
+    method: "percentile" holds counts of distinct values in one aggregate buffer a group; "rank" ranks
+    distinct values by ranges instead, exact as well and without such a buffer; "auto" is the first for a
+    table of up to BUFFERED rows, else the second; "approx" is a sketch. few_groups: so few that a row a
+    group and share can be broadcast.
     """
-    x = F.col(column).cast("double")
-    shares = [k / n for k in range(n + 1)]
+    x = F.col(value).cast("double")
+    if method == "auto":
+        method = "percentile" if df.count() <= BUFFERED else "rank"
     if method == "approx":
         return df.groupBy(*by).agg(F.percentile_approx(x, F.array(*map(F.lit, shares)), F.lit(10_000)).alias("edges"))
     if method == "percentile":
         return df.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, shares))).alias("edges"))
-    if by:
-        raise ValueError("method 'rank' has no groups")
-    rows = df.select(x.alias("x")).where("x IS NOT NULL")
-    counts = running(rows.groupBy("x").agg(F.count("*").alias("c")), "x", {"upto": F.col("c")})
-    total = rows.agg(F.count("*").alias("n"))
-    places = attach(df.sparkSession.range(n + 1).select("id"), total).withColumn("at", F.col("id") / F.lit(float(n)) * (F.col("n") - 1))
-    places = places.select("id", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("place")).distinct()
-    held = F.broadcast(places).join(counts, (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c")))
-    edges = held.groupBy("id", "at").agg(F.min_by("x", "place").alias("a"), F.max_by("x", "place").alias("b"))
-    edges = edges.select("id", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("e"))
-    return edges.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "e"))), lambda s: s["e"]).alias("edges"))
+    rows = df.select(*by, x.alias("__x")).where("__x IS NOT NULL").groupBy(*by, "__x").agg(F.count("*").alias("__c"))
+    counts = running(rows, "__x", {"__upto": F.col("__c")}, by)
+    total = rows.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("id"), F.lit(float(p)).alias("p")) for k, p in enumerate(shares))))
+    places = total.withColumn("__s", each).select(*by, F.col("__s.id").alias("__id"), (F.col("__s.p") * (F.col("__n") - 1)).alias("__at"))
+    places = places.select(*(F.col(k).alias(f"__k_{k}") for k in by), "__id", "__at", F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at")))).alias("__place"))
+    on = (F.col("__place") < F.col("__upto")) & (F.col("__place") >= F.col("__upto") - F.col("__c"))
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    held = counts.join(F.broadcast(places) if few_groups or not by else places, on)
+    edges = held.groupBy(*by, "__id", "__at").agg(F.min_by("__x", "__place").alias("a"), F.max_by("__x", "__place").alias("b"))
+    edges = edges.select(*by, "__id", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("__at") - F.floor("__at"))).alias("e"))
+    return edges.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("__id", "e"))), lambda s: s["e"]).alias("edges"))
+
+
+def equal_frequency_edges(df: DataFrame, column: str, n: int, by: Sequence[str] = (), method: str = "auto") -> DataFrame:
+    """The n-quantiles, n + 1 edges; method as for ``quantiles``."""
+    return quantiles(df, column, [k / n for k in range(n + 1)], by, method)
 
 
 def apply_edges(df: DataFrame, column: str, edges: DataFrame, n: int, out: str = "bin", by: Sequence[str] = (), right_closed: bool = False) -> DataFrame:
@@ -82,7 +95,7 @@ def equal_width_bins(df: DataFrame, column: str, n: int, out: str = "bin", by: S
     return apply_edges(df, column, equal_width_edges(df, column, n, by), n, out, by)
 
 
-def equal_frequency_bins(df: DataFrame, column: str, n: int, out: str = "bin", by: Sequence[str] = (), method: str = "percentile") -> DataFrame:
+def equal_frequency_bins(df: DataFrame, column: str, n: int, out: str = "bin", by: Sequence[str] = (), method: str = "auto") -> DataFrame:
     """Left-closed bins between quantiles; equal values share a bin, so some numbers may stay empty."""
     return apply_edges(df, column, equal_frequency_edges(df, column, n, by, method), n, out, by)
 
@@ -99,9 +112,8 @@ def fixed_bins(df: DataFrame, column: str, edges: Sequence[float], labels: Seque
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     """Codes 0, 1, ... in alphabetical order of the values; null has none."""
-    # a row for each distinct value
     codes = df.select(F.col(column).alias("__v")).where("__v IS NOT NULL").distinct()
-    codes = codes.withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__v")) - 1)
+    codes = running(codes, "__v", {"__code": F.lit(1)}).select("__v", (F.col("__code") - 1).cast("int").alias(out))
     return df.join(codes, F.col(column) == F.col("__v"), "left").drop("__v")
 
 
@@ -176,8 +188,13 @@ def optimal_bins(stats: DataFrame, n: int = 5) -> DataFrame:
     spark, bins = stats.sparkSession, _fine(stats)
     goods, bads = sum(b[1] for b in bins) or 1, sum(b[2] for b in bins) or 1
 
+    good_upto, bad_upto = [0], [0]
+    for _, g, b in bins:
+        good_upto.append(good_upto[-1] + g)
+        bad_upto.append(bad_upto[-1] + b)
+
     def value(i, j):
-        g, b = sum(x[1] for x in bins[i:j]) / goods, sum(x[2] for x in bins[i:j]) / bads
+        g, b = (good_upto[j] - good_upto[i]) / goods, (bad_upto[j] - bad_upto[i]) / bads
         return (g - b) * log(max(g, 1e-4) / max(b, 1e-4))
 
     best = {(0, 0): (0.0, [])}

@@ -237,12 +237,35 @@ def _(spark, sf):
     return rounded(T.small_bins(df.groupBy("label").agg(F.count("*").alias("total"))), "share")
 
 
-@query("chi_merge")
+_TWENTY = f"""
+e AS (SELECT quantile_cont(o_totalprice, [{', '.join(repr(k / 20) for k in range(21))}]) AS e FROM orders),
+o AS (SELECT list_sum(list_transform(range(1, 20), lambda k: CASE WHEN o_totalprice >= e[k + 1] THEN 1 ELSE 0 END)) AS bin, CAST(o_orderstatus = 'F' AS INTEGER) AS y FROM orders, e),
+f AS (SELECT CAST(bin AS INTEGER) AS bin, CAST(sum(1 - y) AS BIGINT) AS goods, CAST(sum(y) AS BIGINT) AS bads, row_number() OVER (ORDER BY bin) - 1 AS k FROM o GROUP BY bin)"""
+_CELL = "(CASE WHEN ({r}) * ({c}) = 0 THEN 0 ELSE (({o}) - CAST({r} AS DOUBLE) * ({c}) / ({n})) ** 2 / (CAST({r} AS DOUBLE) * ({c}) / ({n})) END)"
+_PAIR = "list_transform(range(1, len(s)), lambda k: " + " + ".join(_CELL.format(o=f"{side}[{at}]", r=f"(g[{at}] + b[{at}])", c=f"({side}[k] + {side}[k + 1])", n="(g[k] + b[k] + g[k + 1] + b[k + 1])") for at in ("k", "k + 1") for side in ("g", "b")) + ")"
+
+
+@query("chi_merge", f"""
+WITH RECURSIVE {_TWENTY},
+m(s, g, b, step) AS (
+  SELECT list(bin ORDER BY bin), list(goods ORDER BY bin), list(bads ORDER BY bin), 0 FROM f
+  UNION ALL
+  SELECT list_slice(s, 1, spot) || list_slice(s, spot + 2, len(s)), list_slice(g, 1, spot - 1) || [g[spot] + g[spot + 1]] || list_slice(g, spot + 2, len(g)), list_slice(b, 1, spot - 1) || [b[spot] + b[spot + 1]] || list_slice(b, spot + 2, len(b)), step + 1
+  FROM (SELECT *, list_position(x, list_min(x)) AS spot FROM (SELECT *, {_PAIR} AS x FROM m WHERE len(s) > 1)) WHERE len(s) > 5 OR list_min(x) < 3.841458820694124),
+last AS (SELECT s FROM m ORDER BY step DESC LIMIT 1)
+SELECT bin, CAST(list_max(list_filter(s, lambda x: x <= bin)) AS INTEGER) AS merged_bin FROM f, last""")
 def _(spark, sf):
     return T.chi_merge(_order_bins(spark, sf, 20))
 
 
-@query("optimal_binning")
+@query("optimal_binning", f"""
+WITH RECURSIVE {_TWENTY},
+p AS (SELECT a.k AS i, c.k + 1 AS j, sum(m.goods) / (SELECT sum(goods) FROM f) AS g, sum(m.bads) / (SELECT sum(bads) FROM f) AS b FROM f a JOIN f c ON a.k <= c.k JOIN f m ON m.k BETWEEN a.k AND c.k GROUP BY 1, 2),
+v AS (SELECT i, j, (g - b) * ln(greatest(g, 0.0001) / greatest(b, 0.0001)) AS v FROM p),
+r(parts, j, cuts, total) AS (SELECT 1, j, [i], v FROM v WHERE i = 0 UNION ALL SELECT parts + 1, v.j, list_append(cuts, v.i), total + v.v FROM r JOIN v ON v.i = r.j WHERE parts < 5),
+best AS (SELECT cuts FROM r WHERE j = (SELECT count(*) FROM f) ORDER BY round(total, 12) DESC, parts LIMIT 1),
+c AS (SELECT bin, list_max(list_filter(cuts, lambda x: x <= k)) AS at FROM f, best)
+SELECT c.bin, f.bin AS merged_bin FROM c JOIN f ON f.k = c.at""")
 def _(spark, sf):
     return T.optimal_bins(_order_bins(spark, sf, 20))
 
@@ -619,7 +642,7 @@ def _(spark, sf):
 
 @query("kmeans_sweep")
 def _(spark, sf):
-    return S.k_sweep(table(spark, sf, "embeddings").select("vec_id", "embedding").cache(), "embedding", range(2, 5))
+    return S.k_sweep(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", range(2, 8), range(42, 52))
 
 
 @query("kmeans_clusters")
@@ -634,27 +657,37 @@ def _training(spark, sf):
     return M.stratified_split(df, "y", "o_orderkey")
 
 
-@query("stratified_split")
+@query("stratified_split", """
+WITH h AS (SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS y, CAST(('0x' || substr(md5(o_orderkey || ':42'), 1, 15)) AS BIGINT) AS h FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, o_orderkey) AS place, count(*) OVER (PARTITION BY y) AS n FROM h)
+SELECT o_orderkey, y, place <= floor(n * CAST(0.3 AS DOUBLE)) AS is_test FROM r""")
 def _(spark, sf):
-    return _training(spark, sf).groupBy("y", "is_test").agg(F.count("*").alias("n"))
+    return _training(spark, sf).select("o_orderkey", "y", "is_test")
+
+
+@query("scorecard_score", """
+SELECT o_orderkey, round(1 / (1 + exp(-(-1.25 + o_totalprice * 0.000004 + dayofyear(o_orderdate) * 0.002))), 6) AS score FROM orders""")
+def _(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.dayofyear("o_orderdate").alias("day"))
+    return rounded(M.apply_scorecard(df, -1.25, {"o_totalprice": 0.000004, "day": 0.002}).select("o_orderkey", "score"), "score")
 
 
 @query("logistic_score")
 def _(spark, sf):
-    df = _training(spark, sf).cache()
+    df = _training(spark, sf)
     model = M.fit_logistic(df.where(~F.col("is_test")), "y", ["o_totalprice", "day"], ["o_orderpriority"])
     return M.predict(model, df.where("is_test").drop("is_test"))
 
 
 @query("logistic_coefficients")
 def _(spark, sf):
-    df = _training(spark, sf).where(~F.col("is_test")).cache()
+    df = _training(spark, sf).where(~F.col("is_test"))
     return M.coefficients(M.fit_logistic(df, "y", ["o_totalprice", "day"], ["o_orderpriority"], scaling="zscore"), df)
 
 
 @query("challenger_comparison")
 def _(spark, sf):
-    df = _training(spark, sf).cache()
+    df = _training(spark, sf)
     train, test = df.where(~F.col("is_test")), df.where("is_test").drop("is_test")
     full = M.predict(M.fit_logistic(train, "y", ["o_totalprice", "day"], ["o_orderpriority"]), test, "current")
     return V.compare_scores(M.predict(M.fit_logistic(train, "y", ["o_totalprice"], balanced=False), full, "challenger"), "current", "challenger")
@@ -789,24 +822,85 @@ def _(spark, sf):
 
 # ---- generators
 
-@query("synthetic_leads")
+def _u(seed: int, name: str) -> str:
+    return f"(CAST(('0x' || substr(md5('{seed}:' || id || ':{name}'), 1, 13)) AS BIGINT) / 4503599627370496.0)"
+
+
+def _z(seed: int, name: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {_u(seed, name + ':a')})) * cos(2 * 3.141592653589793 * {_u(seed, name + ':b')}))"
+
+
+def _choice_sql(x: str, shares: dict) -> str:
+    upto, out = 0.0, ""
+    for value, p in shares.items():
+        upto += p
+        out += f" WHEN {x} < {upto!r} THEN {value!r}"
+    return f"CASE{out} ELSE {list(shares)[-1]!r} END"
+
+
+def _by_value(x: str, values: dict) -> str:
+    return "CASE " + " ".join(f"WHEN {x} = {k!r} THEN {float(v)!r}" for k, v in values.items()) + " ELSE 0.0 END"
+
+
+def _clip(x: str, low: float, high: float) -> str:
+    return f"least(greatest({x}, {low!r}), {high!r})"
+
+
+def _leads_sql(n: int, seed: int, production: bool) -> str:
+    income, tenure, age = ("monthly_income * 0.95", "employment_tenure * CAST(0.80 AS DOUBLE)", "age - 2") if production else ("monthly_income", "employment_tenure", "age")
+    a = "((age - 18) / CAST(52.0 AS DOUBLE))"
+    bins = "" if production else ", " + "CASE" + "".join(f" WHEN monthly_income <= {top} THEN '{name}'" for top, name in zip(synthetic.INCOME_EDGES[1:], synthetic.INCOME_LABELS)) + " END AS income_bin"
+    return f"""
+WITH r AS (SELECT {_u(seed, 'u4')} AS u4, {_z(seed, 'e')} AS e, {_clip(f"exp(9.8 + 0.6 * {_z(seed, 'i')})", 3000.0, 50000.0)} AS monthly_income,
+  CAST(trunc({_clip(f"-ln(1 - {_u(seed, 't')}) * 60", 0.0, 360.0)}) AS INTEGER) AS employment_tenure, CAST(trunc({_clip(f"38 + 12 * {_z(seed, 'g')}", 18.0, 70.0)}) AS INTEGER) AS age,
+  {_choice_sql(_u(seed, 'u0'), synthetic.EMPLOYMENT)} AS employment_type, {_choice_sql(_u(seed, 'u1'), synthetic.CHANNEL_PRODUCTION if production else synthetic.CHANNEL)} AS acquisition_channel,
+  {_choice_sql(_u(seed, 'u2'), synthetic.MARITAL)} AS marital_status, {_choice_sql(_u(seed, 'u3'), synthetic.GENDER)} AS gender FROM range({n}) AS t(id)),
+s AS (SELECT * REPLACE ({income} AS monthly_income, {tenure} AS employment_tenure, {age} AS age) FROM r),
+p AS (SELECT *, {_clip(f"0.005 + (monthly_income - 3000) / CAST(47000.0 AS DOUBLE) * 0.015 + least(employment_tenure / CAST(180.0 AS DOUBLE), 1.0) * 0.008 + 0.006 * (1 - 4 * ({a} - 0.5) * ({a} - 0.5)) + {_by_value('employment_type', synthetic.EMPLOYMENT_EFFECT)} + {_by_value('acquisition_channel', synthetic.CHANNEL_EFFECT)}", 0.0, 1.0)} AS p FROM s)
+SELECT round(monthly_income, 4) AS monthly_income, employment_tenure, age, employment_type, acquisition_channel, marital_status, gender, CAST(u4 < {_clip('p + 0.05 * e', 0.0, 1.0)} AS INTEGER) AS converted{bins} FROM p"""
+
+
+@query("synthetic_leads", _leads_sql(5000, 42, False))
 def _(spark, sf):
-    return synthetic.leads(spark, 5000)
+    return rounded(synthetic.leads(spark, 5000), "monthly_income", places=4)
 
 
-@query("synthetic_leads_production")
+@query("synthetic_leads_production", _leads_sql(3000, 123, True))
 def _(spark, sf):
-    return synthetic.leads(spark, 3000, seed=123, production=True)
+    return rounded(synthetic.leads(spark, 3000, seed=123, production=True), "monthly_income", places=4)
+
+
+def _band_sql() -> str:
+    upto, out = 0, ""
+    for b, k in sorted(C.CLIENTS.items()):
+        upto += k
+        out += f" WHEN id < {upto} THEN {b}"
+    return f"CASE{out} END"
+
+
+_FEW, _MORE = {1: 0.6, 2: 0.3, 3: 0.1}, {1: 0.3, 2: 0.5, 3: 0.2}
+_MEAN, _DEV = ({k: v[j] for k, v in synthetic.INCOME_BY_BAND.items()} for j in (0, 1))
+_PORTFOLIO_SQL = f"""
+WITH r AS (SELECT id, {_band_sql()} AS b, {', '.join(f"{_z(42, f'g{k}')} AS g{k}" for k in range(4))}, {', '.join(f"{_u(42, f'u{k}')} AS u{k}" for k in range(3))} FROM range({sum(C.CLIENTS.values())}) AS t(id)),
+s AS (SELECT *, round({_clip(f"({_by_value('b', _MEAN)} + {_by_value('b', _DEV)} * g0) * 1000", 100.0, 20000.0)}, 2) AS income, CAST(trunc({_clip('22 + 5 * b + 5 * g1', 18.0, 65.0)}) AS INTEGER) AS age FROM r),
+q AS (SELECT *, round({_clip('greatest(0.0, (age - 22) / CAST(10.0 AS DOUBLE) + 0.5 * g2)', 0.0, 20.0)}, 2) AS tenure, CASE WHEN b <= 2 THEN {_choice_sql('u0', _FEW)} ELSE {_choice_sql('u0', _MORE)} END AS products,
+  CAST(trunc({_clip('350 + 80 * b + 50 * g3', 300.0, 850.0)}) AS INTEGER) AS score, round({_clip('-ln(1 - u1) * (1.5 - CAST(0.2 AS DOUBLE) * b)', 0.1, 3.0)}, 2) AS debt, CAST(trunc({_clip('-ln(1 - u2) * (b / CAST(0.5 AS DOUBLE))', 0.0, 60.0)}) AS INTEGER) AS late FROM s),
+k AS (SELECT *, -CAST(0.3 AS DOUBLE) * income / 1000 - CAST(0.2 AS DOUBLE) * score / 100 + CAST(0.3 AS DOUBLE) * debt - CAST(0.1 AS DOUBLE) * tenure - CAST(0.1 AS DOUBLE) * late / 10 AS risk FROM q),
+m AS (SELECT *, 1 / (1 + exp(-(risk - avg(risk) OVER (PARTITION BY b)) / coalesce(nullif(stddev_pop(risk) OVER (PARTITION BY b), 0), 1))) AS p FROM k),
+f AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(p, 9) DESC, id) <= {_by_value('b', C.DEFAULTS)} AS bad FROM m)
+"""
 
 
-@query("synthetic_portfolio")
+@query("synthetic_portfolio", f"""{_PORTFOLIO_SQL}
+SELECT id + 1 AS cliente_id, CAST(b AS INTEGER) AS banda, income AS ingreso_recurrente, age AS edad, tenure AS antiguedad_laboral, CAST(products AS INTEGER) AS num_productos, score AS score_comportamiento, debt AS ratio_deuda_ingreso, late AS meses_ultimo_atraso, CAST(bad AS INTEGER) AS "default", round(p, 4) AS prob_default FROM f""")
 def _(spark, sf):
     return synthetic.portfolio(spark)
 
 
-@query("portfolio_validation", f"""
-SELECT CAST(b AS INTEGER) AS banda, CAST(n AS BIGINT) AS rows, CAST(n AS BIGINT) AS n, CAST(d AS BIGINT) AS flagged, CAST(d AS BIGINT) AS k, CAST(0 AS BIGINT) AS rows_off, CAST(0 AS BIGINT) AS flagged_off
-FROM (VALUES {', '.join(f'({b}, {C.CLIENTS[b]}, {C.DEFAULTS[b]})' for b in C.CLIENTS)}) AS t(b, n, d)""")
+@query("portfolio_validation", f"""{_PORTFOLIO_SQL},
+t(banda, rows, flagged) AS (VALUES {', '.join(f'({b}, {C.CLIENTS[b]}, {C.DEFAULTS[b]})' for b in C.CLIENTS)}),
+c AS (SELECT b AS banda, count(*) AS n, CAST(sum(CAST(bad AS INTEGER)) AS BIGINT) AS k FROM f GROUP BY 1)
+SELECT CAST(banda AS INTEGER) AS banda, CAST(rows AS BIGINT) AS rows, n, CAST(flagged AS BIGINT) AS flagged, k, CAST(n - rows AS BIGINT) AS rows_off, CAST(k - flagged AS BIGINT) AS flagged_off FROM t JOIN c USING (banda)""")
 def _(spark, sf):
     targets = spark.createDataFrame([(b, C.CLIENTS[b], C.DEFAULTS[b]) for b in C.CLIENTS], "banda int, rows long, flagged long")
     return R.validate_counts(synthetic.portfolio(spark), targets, "banda", "default")
@@ -836,7 +930,7 @@ def _(spark, sf):
     return rounded(P.psi_between(part("customer", "c_nationkey"), part("supplier", "s_nationkey")), "psi")
 
 
-@query("hashed_split")
+@query("hashed_split", "SELECT o_orderkey, CAST(('0x' || substr(md5(o_orderkey || ':42'), 1, 13)) AS BIGINT) / 4503599627370496.0 < 0.3 AS is_test FROM orders")
 def _(spark, sf):
     return M.hashed_split(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 

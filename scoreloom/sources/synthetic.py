@@ -1,10 +1,11 @@
-"""Synthetic leads and portfolios of any size: columns of seeded random functions, made where they are used."""
+"""Synthetic leads and portfolios of any size. Every number is hashed from the seed, the row's id and the column, so a row is the same however the table is partitioned."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import normal, uniform
 from ..operators.markov import CLIENTS, DEFAULTS
 from ..operators.order import attach
 from ..operators.transforms import clip, fixed_bins
@@ -25,13 +26,13 @@ INCOME_LABELS = ["0-8K", "8K-15K", "15K-25K", "25K-40K", "40K+"]
 INCOME_BY_BAND = {1: (0.5, 0.2), 2: (1.2, 0.3), 3: (2.5, 0.5), 4: (4.5, 0.8), 5: (7.5, 1.5)}
 
 
-def lognormal(mu: float, sigma: float, seed: int) -> Column:
-    return F.exp(F.lit(mu) + F.lit(sigma) * F.randn(seed))
+def lognormal(mu: float, sigma: float, z: Column) -> Column:
+    return F.exp(F.lit(mu) + F.lit(sigma) * z)
 
 
-def exponential(scale: Column | float, seed: int) -> Column:
+def exponential(scale: Column | float, u: Column) -> Column:
     scale = scale if isinstance(scale, Column) else F.lit(float(scale))
-    return -F.log(1 - F.rand(seed)) * scale
+    return -F.log(1 - u) * scale
 
 
 def choice(uniform: Column, shares: dict) -> Column:
@@ -60,7 +61,8 @@ def conversion_probability(df: DataFrame, out: str = "p") -> DataFrame:
 def leads(spark: SparkSession, n: int, seed: int = 42, production: bool = False, noise: float = 0.05) -> DataFrame:
     """Leads and whether they convert; production: lower incomes and tenures, younger, other channels, no income_bin."""
     channel = CHANNEL_PRODUCTION if production else CHANNEL
-    df = spark.range(n).select("id", *(F.rand(seed + 10 + k).alias(f"u{k}") for k in range(5)), F.randn(seed + 20).alias("e"), lognormal(9.8, 0.6, seed).alias("i"), exponential(60.0, seed + 1).alias("t"), F.randn(seed + 2).alias("g"))
+    u, z = (lambda name, f=f: f(F.lit(seed), F.col("id"), F.lit(name)) for f in (uniform, normal))
+    df = spark.range(n).select("id", *(u(f"u{k}").alias(f"u{k}") for k in range(5)), z("e").alias("e"), lognormal(9.8, 0.6, z("i")).alias("i"), exponential(60.0, u("t")).alias("t"), z("g").alias("g"))
     df = df.select(
         "u4", "e",
         clip(F.col("i"), 3000.0, 50000.0).alias("monthly_income"),
@@ -84,23 +86,23 @@ def portfolio(spark: SparkSession, clients: dict = CLIENTS, defaults: dict = DEF
     for b, k in sorted(clients.items()):
         upto += k
         band = F.when(F.col("id") < upto, b) if band is None else band.when(F.col("id") < upto, b)
-    df = spark.range(n).select((F.col("id") + 1).alias("cliente_id"), band.otherwise(max(clients)).alias("banda"), *(F.randn(seed + k).alias(f"g{k}") for k in range(4)), F.rand(seed + 10).alias("u0"), F.rand(seed + 11).alias("u1"), F.rand(seed + 12).alias("u2"))
+    u, z = (lambda name, f=f: f(F.lit(seed), F.col("id"), F.lit(name)) for f in (uniform, normal))
+    df = spark.range(n).select((F.col("id") + 1).alias("cliente_id"), band.otherwise(max(clients)).alias("banda"), *(z(f"g{k}").alias(f"g{k}") for k in range(4)), *(u(f"u{k}").alias(f"u{k}") for k in range(3)))
     b = F.col("banda").cast("double")
     mean, dev = (_lookup(F.col("banda"), {k: v[j] for k, v in INCOME_BY_BAND.items()}) for j in (0, 1))
-    draw = lambda u, scale: -F.log(1 - F.col(u)) * scale
     df = df.withColumns({"ingreso_recurrente": F.round(clip((mean + dev * F.col("g0")) * 1000, 100.0, 20000.0), 2), "edad": clip(22 + 5 * b + 5 * F.col("g1"), 18.0, 65.0).cast("int")})
     df = df.withColumns({
         "antiguedad_laboral": F.round(clip(F.greatest(F.lit(0.0), (F.col("edad") - 22) / 10.0 + 0.5 * F.col("g2")), 0.0, 20.0), 2),
         "num_productos": F.when(b <= 2, choice(F.col("u0"), {1: 0.6, 2: 0.3, 3: 0.1})).otherwise(choice(F.col("u0"), {1: 0.3, 2: 0.5, 3: 0.2})),
         "score_comportamiento": clip(350 + 80 * b + 50 * F.col("g3"), 300.0, 850.0).cast("int"),
-        "ratio_deuda_ingreso": F.round(clip(draw("u1", 1.5 - 0.2 * b), 0.1, 3.0), 2),
-        "meses_ultimo_atraso": clip(draw("u2", b / 0.5), 0.0, 60.0).cast("int"),
+        "ratio_deuda_ingreso": F.round(clip(exponential(1.5 - 0.2 * b, F.col("u1")), 0.1, 3.0), 2),
+        "meses_ultimo_atraso": clip(exponential(b / 0.5, F.col("u2")), 0.0, 60.0).cast("int"),
     })
     c = F.col
     risk = -0.3 * c("ingreso_recurrente") / 1000 - 0.2 * c("score_comportamiento") / 100 + 0.3 * c("ratio_deuda_ingreso") - 0.1 * c("antiguedad_laboral") - 0.1 * c("meses_ultimo_atraso") / 10
     df = df.withColumn("risk", risk)
     stats = df.groupBy("banda").agg(F.avg("risk").alias("mu"), F.stddev_pop("risk").alias("sd"))
     df = attach(df, stats, ["banda"]).withColumn("prob_default", 1 / (1 + F.exp(-(c("risk") - c("mu")) / F.coalesce(F.nullif("sd", F.lit(0.0)), F.lit(1.0)))))
-    rank = F.row_number().over(Window.partitionBy("banda").orderBy(F.desc("prob_default"), "cliente_id"))
+    rank = F.row_number().over(Window.partitionBy("banda").orderBy(F.round("prob_default", 9).desc(), "cliente_id"))
     df = df.withColumn("default", (rank <= _lookup(c("banda"), defaults)).cast("int")).withColumn("prob_default", F.round("prob_default", 4))
     return df.select("cliente_id", "banda", "ingreso_recurrente", "edad", "antiguedad_laboral", "num_productos", "score_comportamiento", "ratio_deuda_ingreso", "meses_ultimo_atraso", "default", "prob_default")

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -279,3 +280,76 @@ def test_labels(spark):
 def test_too_many_fine_bins_are_an_error(spark, f):
     with pytest.raises(ValueError, match="1,000"):
         f(spark.range(1001).selectExpr("cast(id AS int) AS bin", "1L AS goods", "1L AS bads"))
+
+
+def sf_by_fraction(x, d):
+    """The upper tail for whole d by the finite sums that it has."""
+    h = x / 2
+    if d % 2 == 0:
+        return math.fsum(math.exp(k * math.log(h) - h - math.lgamma(k + 1)) for k in range(d // 2))
+    return math.erfc(math.sqrt(h)) + math.fsum(math.exp((k - 0.5) * math.log(h) - h - math.lgamma(k + 0.5)) for k in range(1, d // 2 + 1))
+
+
+@pytest.mark.parametrize(("x", "d"), [(1500.0, 2000), (1500.0, 10), (1500.0, 1), (1400.5, 1400), (2100.0, 2000), (300.0, 7), (80.0, 3), (40.0, 1), (1e-6, 1), (5.0, 6), (10_000.0, 10_001)])
+def test_chi2_tail(spark, x, d):
+    p = spark.range(1).select(chi2_sf(F.lit(x), F.lit(d)).alias("p")).first().p
+    assert p == pytest.approx(sf_by_fraction(x, d), rel=1e-8, abs=1e-300)
+
+
+def test_counts_beyond_what_products_hold(spark):
+    n = 5_000_000_000
+    cells = spark.createDataFrame([("a", "x", n), ("a", "y", n), ("b", "x", n), ("b", "y", 2 * n)], "row_key string, col_key string, observed long")
+    assert X.independence(cells).first().is_significant
+    g = spark.range(1).select(V.gini_variance(F.lit(0.7), F.lit(n), F.lit(n)).alias("v")).first().v
+    assert 0 < g < 1e-8
+    assert G.impurity(cells, "col_key", weight=F.col("observed")).first().impurity == pytest.approx(1 - (4 + 9) / 25)
+    assert spark.range(3).select((F.lit(n) * 1_000_000_000).alias("cum")).agg(G._area("cum").alias("c")).first().c == pytest.approx(1.5e19)
+
+
+def test_predict_keeps_rows_with_nulls(spark):
+    rows = [(i, float(i % 7), None if i % 10 == 3 else float(i), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    scored = M.predict(M.fit_logistic(df, "y", ["a", "b"]), df)
+    assert scored.count() == 60 and scored.where("score IS NULL").count() == 6 and scored.where("score IS NULL AND b IS NULL").count() == 6
+
+
+def test_running_by_ranges_equals_one_window(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["g1", "g1", "g1", None, "g2"]), rng.choice([0.5, 0.5, 0.5, 1.5, None, float("nan"), rng.random()]), rng.randrange(5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key long, g string, score double, x int").repartition(3)
+    for by in ([], ["g"]):
+        for descending in (False, True):
+            args = ("score", {"cum": F.col("x"), "place": F.lit(1)}, by, ["key"], descending)
+            one = sorted((r.key, r.cum, r.place) for r in running(df, *args).collect())
+            many = sorted((r.key, r.cum, r.place) for r in running(df, *args, rows_per_range=40).collect())
+            assert one == many
+
+
+def test_a_constant_score_is_more_than_one_task(spark):
+    df = spark.range(20_000).select(F.col("id").alias("key"), F.lit(0.5).alias("score"))
+    out = running(df, "score", {"place": F.lit(1)}, tie=["key"], rows_per_range=1000)
+    with_range = out.withColumn("part", F.spark_partition_id())
+    assert with_range.select("part").distinct().count() > 1
+    assert out.agg(F.max("place"), F.sum("place")).first() == (20_000, 20_000 * 20_001 // 2)
+    assert out.where("place <> key + 1").count() == 0
+
+
+def test_quantiles_by_rank_equal_percentiles(spark):
+    df = spark.range(997).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 > 0, F.col("id") * F.col("id") % 101).cast("double").alias("x"))
+    shares = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    for by in ([], ["g"]):
+        a, b = (sorted((r[:-1], r[-1]) for r in T.quantiles(df, "x", shares, by, m).collect()) for m in ("rank", "percentile"))
+        assert [k for k, _ in a] == [k for k, _ in b]
+        assert all(x == pytest.approx(y) for (_, x), (_, y) in zip(a, b))
+
+
+def test_kmeans_finds_planted_clusters(spark):
+    rng = random.Random(2)
+    rows = [(i, [10.0 * (i % 4) + rng.gauss(0, 0.5), -5.0 * (i % 2) + rng.gauss(0, 0.5)]) for i in range(400)] + [(400, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    sweep = {r.k: r for r in S.k_sweep(df, "v", range(2, 7), range(3)).collect()}
+    assert [k for k, r in sweep.items() if r.is_best] == [4]
+    out = {r.id: r.cluster for r in S.kmeans(df, "v", 4, (1, 2)).collect()}
+    assert out[400] is None and len({(i % 4, c) for i, c in out.items() if i < 400}) == 4
+    own = S.calinski_harabasz(S.kmeans(df.where("id < 400"), "v", 4, (1, 2)), "v", "cluster").first().calinski_harabasz
+    assert own == pytest.approx(sweep[4].calinski_harabasz, rel=1e-6)
