@@ -6,15 +6,17 @@ endpoints) are everywhere in clean text; they are reported only where complement
 endpoint, an endpoint next to both. Linking is an interval join of parts, on the document and a bin
 of ``scope`` code points of its start and its end, with neighbouring bins.
 
-Spark gives the texts of matches but not their places; these come from the lengths of what ``split``
-leaves between the matches of the same pattern.
+Spark gives the texts of matches but not their places; these come from a mark that is put before each
+match, and that is then looked for among the text's characters. So the cost of a text is linear in its
+length and its matches; a text with matches is held as an array of its characters meanwhile, about 40
+bytes a character.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cut import cut
@@ -40,6 +42,7 @@ _BITS = 4.0
 #: Cheap necessary conditions of the patterns that need a mark.
 _NEEDS = {"assign": "[:=]", "identifier": "[:=]", "weak_secret": "[:=]", "endpoint": "[:=]"}
 KINDS = (*STRONG, *WEAK)
+_MARK = "\u0001"
 _ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "weak_secret": "secret", "endpoint": "endpoint"}
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -63,25 +66,19 @@ def weak_secrets(text: Column) -> Column:
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int, fits: Callable[[Column], Column] | None = None, needs: str | None = None) -> Column:
     p = F.lit(pattern)
-    matches = F.regexp_extract_all(text, p, 0)
-    values = F.regexp_extract_all(text, p, group) if group else matches
-    pieces = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("p"), matches.alias("m"), values.alias("v"))
-    number = KINDS.index(kind)
-
-    def step(found: Column, x: Column) -> Column:
-        start = found["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        whole = F.length(x["v"]) >= least
-        return F.struct(end.alias("at"), F.when(whole & fits(x["v"]) if fits else whole, F.concat(found["out"], F.array(span))).otherwise(found["out"]).alias("out"))
-
-    empty = F.array().cast(_SPAN)
-    folded = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda found: found["out"])
+    own = F.translate(text, _MARK, "\u0002")  # no pattern tells these two apart
+    lengths = F.transform(F.regexp_extract_all(own, p, 0), F.length)
+    chars = F.split(F.regexp_replace(own, p, F.lit(_MARK + "$0")), "")
+    marks = F.filter(F.transform(chars, lambda c, i: F.when(c == _MARK, i)), lambda i: i.isNotNull())
+    number = F.lit(KINDS.index(kind))
+    spans = F.transform(F.arrays_zip(marks.alias("i"), lengths.alias("n")), lambda x, k: F.struct((x["i"] - k).alias("start"), number.alias("kind"), (x["i"] - k + x["n"]).alias("end")))
+    values = F.regexp_extract_all(own, p, group)
+    whole = lambda v: (F.length(v) >= least) & fits(v) if fits else F.length(v) >= least
+    spans = F.transform(F.filter(F.arrays_zip(spans.alias("s"), values.alias("v")), lambda x: whole(x["v"])), lambda x: x["s"])
     there = text.rlike(pattern)
     if needs := needs or _NEEDS.get(kind):
         there = text.rlike(needs) & there
-    return F.coalesce(F.when(there, folded), empty)
+    return F.coalesce(F.when(there, spans), F.array()).cast(_SPAN)
 
 
 def joined(spans: Column) -> Column:
@@ -103,6 +100,19 @@ def linked(parts: DataFrame, scope: int) -> DataFrame:
     return has.where("(role = 'identifier' AND s) OR (role = 'secret' AND (i OR e)) OR (role = 'endpoint' AND s AND i)")
 
 
+def _ranked(spans: Column, rank: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(rank).alias("rank")))
+
+
+def _overlapped(rank: int) -> Column:
+    """Whether a span of that rank overlaps this one: the spans of a row, ordered, that begin before or with it, and those after it. A window holds one row's spans."""
+    ordered = Window.partitionBy("h1", "h2").orderBy("start", "rank", "kind", "end")
+    own = F.col("rank") == rank
+    before = F.max(F.when(own, F.col("end"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(own, F.col("start"))).over(ordered.rowsBetween(1, Window.unboundedFollowing))
+    return (F.coalesce(before, F.lit(-1)) > F.col("start")) | (F.coalesce(after < F.col("end"), F.lit(False)))
+
+
 def scan(docs: DataFrame, scope: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_linked of every row.
 
@@ -114,10 +124,12 @@ def scan(docs: DataFrame, scope: int = 200, doc_id: str = "doc_id", text: str =
     found = cut(found)
     strong = F.concat(*(F.col(k) for k in STRONG))
     named = F.concat(*(F.col(k) for k in WEAK))
-    outside = lambda some, of: F.filter(some, lambda w: ~F.exists(of, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    weak = F.concat(named, outside(F.col("bare"), named))
-    alone = outside(weak, strong)
-    parts = found.where(F.size(weak) > 0).select("h1", "h2", F.explode(F.concat(strong, alone)).alias("x")).select("h1", "h2", "x.start", "x.kind", "x.end").distinct()
+    some = found.where((F.size(named) > 0) | (F.size("bare") > 0))
+    ranked = F.concat(*(_ranked(x, rank) for rank, x in enumerate((strong, named, F.col("bare")))))
+    parts = some.select("h1", "h2", F.explode(ranked).alias("x")).select("h1", "h2", "x.*").distinct()
+    outside = [*(~_overlapped(r) for r in (0, 1))]
+    alone = (F.col("rank") == 0) | outside[0] & ((F.col("rank") == 1) | outside[1])
+    parts = parts.withColumn("alone", alone).where("alone").select("h1", "h2", "start", "kind", "end").distinct()
     links = linked(parts, scope).groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "kind", "end")).alias("links"))
     out = found.join(links, ["h1", "h2"], "left")
     ordered = F.sort_array(strong)

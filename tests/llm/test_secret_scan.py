@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -93,3 +96,55 @@ def test_long_parts_link_by_the_gap(spark):
     kinds = kinds_of(check(spark, texts))
     both = ["identifier", "weak_secret"]
     assert [sorted(kinds[i]) for i in range(len(texts))] == [both, both, both, [], both, [], []]
+
+
+def test_time_of_many_matches(spark):
+    def took(n):
+        docs = spark.createDataFrame([(1, "token=abcdef1 " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = S.scan(docs).collect()[0]
+        assert row.n_assign == n and row.spans.endswith(f"assign:{14 * n - 14}:{14 * n - 1}")
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(80_000) < 2.6 * max(3.0, took(40_000))
+
+
+def whole(text, scope=200):
+    """All spans by plain loops over the same patterns: every weak part against every complement."""
+    text = text or ""
+    found = lambda p, g, least: [m for m in re.finditer(p, text, re.A) if len(m[g]) >= least]
+    strong = [(m.start(), k, m.end()) for k, (p, g, least) in enumerate(S.STRONG.values()) for m in found(p, g, least)]
+    named = [(m.start(), k + 3, m.end()) for k, (p, g, least) in enumerate(S.WEAK.values()) for m in found(p, g, least)]
+
+    def entropy(v):
+        v = v.rstrip("=")
+        return -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v))
+
+    bare = [(m.start(), 4, m.end()) for m in found(S._BARE, 0, 32) if entropy(m[0]) >= S._BITS]
+    over = lambda x, some: any(a < x[2] and x[0] < b for a, _, b in some)
+    weak = {x for x in named + [b for b in bare if not over(b, named)] if not over(x, strong)}
+    role = ("secret", "identifier", "secret", "identifier", "secret", "endpoint")
+    out = list(strong)
+    for x in weak:
+        near = {role[y[1]] for y in [*strong, *weak] if role[y[1]] != role[x[1]] and max(x[0], y[0]) - min(x[2], y[2]) <= scope and not over(x, [y])}
+        if {"identifier": "secret" in near, "secret": bool(near & {"identifier", "endpoint"}), "endpoint": {"secret", "identifier"} <= near}[role[x[1]]]:
+            out.append(x)
+    return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(set(out)))
+
+
+def test_linked_spans_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in S.query(spark, sf).collect():
+        assert r.spans == whole(docs[r.doc_id])
+    rng = random.Random(5)
+    pieces = ["user = alice", "db_pass=hunter2", "host: db.example.org", "AKIA" + "Q" * 16, "token=abcdef99", "https://a.example.org/x", "x " * 40, "x " * 90, "\n", "\u0001", "0123456789abcdef" * 2, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKEY", "secret_key: abcdefgh", "login=bob", "private_key=" + "Ab9" * 90, "é"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25))) for _ in range(150)]
+    got = {r.doc_id: r.spans for r in S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [whole(t) for t in texts] and sum("identifier" in x for x in got.values()) > 30
+
+
+def test_python_is_not_used(spark):
+    plan = S.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
