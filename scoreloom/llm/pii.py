@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -124,9 +124,10 @@ def plain_letters(text: str) -> list[tuple[int, int, str]]:
 _OPEN, _CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _AT = rf"(?:\s{{0,3}}{_OPEN}(?:at|@){_CLOSE}\s{{0,3}}|\s{{1,3}}at\s{{1,3}}|@)"
 _DOT = rf"(?:\s{{0,3}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,3}}|\s{{1,3}}dot\s{{1,3}}|\.)"
-#: An address in disguise has up to five parts before the "at" and seven after it.
+#: An address in disguise: names between dots, a sign, and a domain. Runs of names are disjoint, so the search is linear.
 _NAME = r"[A-Za-z0-9](?:[A-Za-z0-9_%+-]|\.(?=[A-Za-z0-9]))*+"
-_DISGUISED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-]){_NAME}(?:{_DOT}{_NAME}){{0,4}}?({_AT})[a-z0-9-]++(?:{_DOT}[a-z0-9-]++){{1,6}}")
+_NAMES = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-]){_NAME}(?:{_DOT}{_NAME})*+")
+_AT_DOMAIN = re.compile(rf"(?i)({_AT})[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)++")
 _ATS, _DOTS = re.compile(rf"(?i){_AT}"), re.compile(rf"(?i){_DOT}")
 _MAY_AT = re.compile(r"(?i)[\s\[({<]at[\s\])}>]|[\[({<]\s{0,3}@|@")
 _MAY_DOT = re.compile(r"(?i)[\s\[({<]dot[\s\])}>]|[\[({<]\s{0,3}\.\s{0,3}[\])}>]")
@@ -156,11 +157,16 @@ def _in_addresses(text: str) -> list[tuple[int, int, str]]:
     if not (_MAY_BARE.search(text) or _MAY_DOT.search(text) or re.search(r"(?i)[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]", text)) or not _MAY_AT.search(text):
         return []
     out = []
-    for m in _DISGUISED.finditer(text):
-        sign = m[1]
-        if sign.strip().lower() == "at" and not _address(text[m.start() : m.start(1)], text[m.end(1) : m.end()]):
+    here = 0
+    while names := _NAMES.search(text, here):
+        here = names.end()
+        m = _AT_DOMAIN.match(text, here)
+        if not m:
             continue
-        marks = [(x.start(), x.end(), ".") for a, b in ((m.start(), m.start(1)), (m.end(1), m.end())) for x in _DOTS.finditer(text, a, b)]
+        here = m.end()
+        if m[1].strip().lower() == "at" and not _address(names[0], text[m.end(1) : here]):
+            continue
+        marks = [(x.start(), x.end(), ".") for a, b in ((names.start(), m.start()), (m.end(1), here)) for x in _DOTS.finditer(text, a, b)]
         out += sorted((a, b, new) for a, b, new in [*marks, (m.start(1), m.end(1), "@")] if text[a:b] != new)
     return out
 
@@ -174,8 +180,8 @@ _TOKEN = rf"(?:[0-9]++|{_WORD}(?![A-Za-z0-9]))"
 _BETWEEN = r"[\s,.()-]{1,3}"
 _RUN = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus{_BETWEEN})?{_TOKEN}(?:{_BETWEEN}{_TOKEN})*+")
 _PART = re.compile(rf"(?i)plus|{_WORD}|[0-9]++")
-_GROUP = rf"(?:[0-9]++|{_WORD}(?:[\s-]{{1,3}}{_WORD}){{0,2}}(?![A-Za-z0-9]))"
-_GROUPS = re.compile(rf"(?i)(?<![A-Za-z0-9]){_GROUP}(?:{_DOT}{_GROUP}){{3,}}+")
+_GROUP = rf"(?:[0-9]++|{_WORD}(?![A-Za-z0-9])(?:[\s-]{{1,3}}{_WORD}(?![A-Za-z0-9]))*+)"
+_GROUPS = re.compile(rf"(?i)(?<![A-Za-z0-9]){_GROUP}(?:{_DOT}{_GROUP})*+")
 
 
 def _in_digits(text: str) -> list[tuple[int, int, str]]:
@@ -184,6 +190,8 @@ def _in_digits(text: str) -> list[tuple[int, int, str]]:
         return []
     out = []
     for m in _GROUPS.finditer(text):
+        if len(_DOTS.findall(m[0])) < 3:
+            continue
         here = m.start()
         for dot in [*_DOTS.finditer(text, m.start(), m.end()), None]:
             words = list(_ONE.finditer(text, here, dot.start() if dot else m.end()))
@@ -199,7 +207,7 @@ def _in_digits(text: str) -> list[tuple[int, int, str]]:
 
 
 def spelled_digits(text: str) -> list[tuple[int, int, str]]:
-    """Digit words in runs of seven or more, after "plus" or not, and in shorter runs that adjoin digits, each as one piece a word; what stands beside a word in a run goes, but for a dot."""
+    """Digit words in runs of seven or more (fewer alone make no card or phone number), after "plus" or not, and in shorter runs that adjoin digits, each as one piece a word; what stands beside a word in a run goes, but for a dot."""
     if not _ANY_WORD.search(text):
         return []
     out = []
@@ -232,10 +240,14 @@ def disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, i
     if not steps:
         return []
     out = []
+    # plain spans of a kind are in order and apart, so the last that begins before an end is the one to look at
+    known = [[(a, b) for a, k, b in plain if k == kind] for kind in range(len(KINDS))]
+    begins = [[a for a, _ in spans] for spans in known]
     for start, kind, end in find(here):
         for step in reversed(steps):
             start, end = step.source(start, end)
-        if not any(k == kind and a < end and start < b for a, k, b in plain):
+        k = bisect_left(begins[kind], end) - 1
+        if k < 0 or known[kind][k][1] <= start:
             out.append((start, kind, end))
     return out
 
@@ -245,9 +257,9 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_disguised of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_disguised and n_found of every row.
 
-    Counts and the hash are of plain identifiers; spans has the disguised ones too, kind:start:end in code points, end exclusive, by start and then kind. Null texts are empty. Rows are looked at one by one, so repeated rows and ids are no matter.
+    Counts and the hash are of plain identifiers; spans has the disguised ones too, kind:start:end in code points, end exclusive, by start and then kind; n_found counts all of them. Null texts are empty. Rows are looked at one by one, so repeated rows and ids are no matter. The work is linear in a text's length; a text with disguises is held a few times over.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     nothing = hashlib.sha256(b"").hexdigest()
@@ -255,7 +267,7 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _ in K.slices(batch, 1, 4 * K.BLOCK):
-                counts, shas, spans, more = ([], [], [], []), [], [], []
+                counts, shas, spans, more, every = ([], [], [], []), [], [], [], []
                 for t in part.column(1).to_pylist():
                     plain = find(t) if t else []
                     added = disguised(t, plain) if t else []
@@ -264,10 +276,11 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                     shas.append(hashlib.sha256(_joined(plain).encode()).hexdigest() if plain else nothing)
                     spans.append(_joined(plain + added))
                     more.append(len(added))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_disguised"])
+                    every.append(len(plain) + len(added))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64()), pa.array(every, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_disguised", "n_found"])
 
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return base.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, {counts}, base_sha256 string, spans string, n_disguised bigint")
+    return base.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, {counts}, base_sha256 string, spans string, n_disguised bigint, n_found bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
