@@ -2,22 +2,26 @@
 
 Totals of documents and tokens by source, language and tokenizer version are kept as a set of
 committed delta tables. A batch of changes (inserts, deletes and revised counts) is summed to one
-signed row a group and written under a name of its own; then a record of the batch is created
-atomically, which fails if the batch has one already. So a batch counts once, however often it is
-sent and whoever else sends it, and what a failed attempt has written is never read. Totals are sums
-over committed deltas; ``compact`` replaces them by one table that says which batches it covers.
-
-Counting runs the real tokenizers over whole texts in one narrow pass.
+signed row a group and written under a name of its own, with a record of it; then the batch's seal,
+which names the data, is written beside and renamed to its place, which fails if the batch has one
+already. Only sealed data count. So a batch counts once, however often it is sent and whoever else
+sends it, and what a failed attempt has written is never summed. This needs a file system whose rename
+is atomic and does not overwrite, as HDFS has; on an object store use one writer. ``compact`` sums the
+live deltas to one table and removes their records, so that readers look at one manifest and at the
+records since then; what the manifest before has replaced is deleted, so readers may lag by one
+compaction. Seals stay for good, but only their own batch looks them up.
+
+Counting runs the real tokenizers over whole texts in one narrow pass, in time about linear in a text.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,10 @@ GROUP = ("source", "lang", "tokenizer")
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Whitespace as the pattern has it, in runs that are too long for its engine.
+_LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{20000,}+")
+
+
 @dataclass
 class Tokenizer:
     """A tokenizer version; its ranks travel to the workers with the function, so they need no file."""
@@ -53,6 +61,16 @@ class Tokenizer:
             _BUILT[self.version] = tiktoken.Encoding(self.version, pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
         return _BUILT[self.version]
 
+    def tokens(self, text: str) -> int:
+        """Number of tokens of a text. Under SPLIT, very long runs of whitespace are taken out where the pattern parts them: all but the last character, which the next token may begin with."""
+        encode, total, here = self.encoding().encode_ordinary, 0, 0
+        if self.pattern == SPLIT and len(text) >= 20000:
+            for m in _LONG_SPACE.finditer(text):
+                end = m.end() if m.end() == len(text) else m.end() - 1
+                total += len(encode(text[here : m.start()])) + len(self.encoding()._core_bpe.encode_single_piece(text[m.start() : end].encode()))
+                here = end
+        return total + len(encode(text[here:] if here else text))
+
 
 _BUILT: dict = {}
 
@@ -64,11 +82,10 @@ def count(docs: DataFrame, tokenizers: list[Tokenizer], doc_id: str = "doc_id",
     names = [t.version for t in tokenizers]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encodings = [t.encoding() for t in shared.value]
         for batch in batches:
             for part, _, offsets in K.slices(batch, 3, 4 * K.BLOCK):
                 texts = part.column(3).to_pylist()
-                own = [[len(e.encode_ordinary(t)) if t else 0 for t in texts] for e in encodings]
+                own = [[k.tokens(t) if t else 0 for t in texts] for k in shared.value]
                 flat = pa.array(np.array(own, np.int64).T.reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(names), dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(-(-np.diff(offsets) // 4)), lists], names=["doc_id", "source", "lang", "estimate", "counts"])
@@ -78,7 +95,6 @@ def count(docs: DataFrame, tokenizers: list[Tokenizer], doc_id: str = "doc_id",
 
 
 
-
 def inserts(counts: DataFrame, tokens: str = "tokens") -> DataFrame:
     return counts.select(*GROUP, F.lit(1).cast("long").alias("docs"), F.col(tokens).alias("tokens"))
 
@@ -107,55 +123,110 @@ class Rollup:
         sums.where("docs <> 0 OR tokens <> 0").write.parquet(f"{self.folder}/data/{name}")
         return name
 
-    def _record(self, kind: str, key: str, what: dict) -> bool:
-        place = self._path(f"{self.folder}/commits/{kind}-{key.encode().hex()}")
+    def _create(self, place: str, what: dict) -> bool:
+        """A file with a line of JSON, there whole or not at all; False if there is one."""
+        jvm = self.spark._jvm
+        draft = self._path(f"{self.folder}/drafts/{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray((json.dumps(what) + "\n").encode()))
+        out.close()
+        target = self._path(f"{self.folder}/{place}")
+        self._fs.mkdirs(target.getParent())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.isAbsolute() and target.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         try:
-            out = self._fs.create(place, False)
+            files.rename(draft, target, options)
         except Exception:
-            if self._fs.exists(place):
+            self._fs.delete(draft, False)
+            if self._fs.exists(target):
                 return False
             raise
-        out.write(bytearray((json.dumps(what) + "\n").encode()))
-        out.close()
         return True
 
+    def _lines(self, place: str) -> list[dict] | None:
+        """The records in a folder, which ``compact`` keeps short; None if some went away meanwhile."""
+        where = self._path(f"{self.folder}/{place}")
+        if not self._fs.exists(where) or not len(self._fs.listStatus(where)):
+            return []
+        try:
+            return [json.loads(r.value) for r in self.spark.read.text(f"{self.folder}/{place}").collect()]
+        except Exception as error:
+            if "FILE_NOT_EXIST" in str(error) or "FileNotFound" in str(error):
+                return None
+            raise
+
+    def _seal(self, batch: str) -> str:
+        return f"seals/{batch.encode().hex()}"
+
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._path(f"{self.folder}/commits/batch-{batch.encode().hex()}"))
+        return self._fs.exists(self._path(f"{self.folder}/{self._seal(batch)}"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch of signed changes (GROUP, docs, tokens); False, and no effect, if it was applied before."""
         if self.committed(batch):
             return False
-        return self._record("batch", batch, {"batch": batch, "data": self._write(changes)})
-
-    def _records(self) -> list[dict]:
-        # one short line for each batch since the folder began
-        if not self._fs.exists(self._path(f"{self.folder}/commits")):
-            return []
-        return [json.loads(r.value) for r in self.spark.read.text(f"{self.folder}/commits").collect()]
-
-    def _live(self) -> tuple[list[str], list[str]]:
-        """Data to sum, and the batches in it."""
-        records = self._records()
-        tables = max((r for r in records if "covers" in r), key=lambda r: (len(r["covers"]), r["data"]), default={"covers": [], "data": None})
-        rest = [r for r in records if "batch" in r and r["batch"] not in set(tables["covers"])]
-        return [d for d in (tables["data"], *(r["data"] for r in rest)) if d], [*tables["covers"], *(r["batch"] for r in rest)]
+        data = self._write(changes)
+        self._create(f"live/{data}", {"batch": batch, "data": data})
+        if self._create(self._seal(batch), {"data": data}):
+            return True
+        self._fs.delete(self._path(f"{self.folder}/live/{data}"), False)
+        return False
+
+    def _sealed(self, record: dict) -> bool:
+        place = self._path(f"{self.folder}/{self._seal(record['batch'])}")
+        if not self._fs.exists(place):
+            return False
+        stream = self._fs.open(place)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["data"] == record["data"]
+        finally:
+            stream.close()
+
+    def _live(self) -> tuple[dict, list[dict]]:
+        """The last manifest, and the records of sealed batches that it does not cover."""
+        latest = lambda: max(self._lines("manifests") or [], key=lambda m: m["version"], default={"version": 0, "data": None, "covers": [], "replaced": []})
+        manifest = latest()
+        while True:
+            records = self._lines("live")
+            after = latest()
+            # records go only after the manifest that covers them is there
+            if records is not None and after["version"] == manifest["version"]:
+                covered = set(manifest["covers"])
+                return manifest, [r for r in records if r["data"] not in covered and self._sealed(r)]
+            manifest = after
 
     def totals(self) -> DataFrame:
         """GROUP, n_docs and n_tokens of the groups that have any."""
-        live, _ = self._live()
+        manifest, records = self._live()
+        return self._sums(manifest, records)
+
+    def _sums(self, manifest: dict, records: list[dict]) -> DataFrame:
+        live = [d for d in (manifest["data"], *(r["data"] for r in records)) if d]
         if not live:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
-        rows = reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.folder}/data/{d}") for d in live))
+        rows = self.spark.read.schema("source string, lang string, tokenizer string, docs long, tokens long").parquet(*(f"{self.folder}/data/{d}" for d in live))
         return rows.groupBy(*GROUP).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self) -> bool:
-        """Sum up what is committed in one table. Batches that are committed meanwhile stay beside it."""
-        live, covers = self._live()
-        if len(live) < 2:
+        """Sum up what is committed in one table. Batches that are committed meanwhile stay beside it; of two compactions at once one has no effect."""
+        manifest, records = self._live()
+        self._tidy(manifest)
+        if not records:
+            return False
+        name = self._write(self._sums(manifest, records).select(*GROUP, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens")))
+        new = {"version": manifest["version"] + 1, "data": name, "covers": [r["data"] for r in records], "replaced": [d for d in (manifest["data"], *(r["data"] for r in records)) if d]}
+        if not self._create(f"manifests/{new['version']:012d}", new):
             return False
-        name = self._write(self.totals().select(*GROUP, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens")))
-        return self._record("table", name, {"covers": covers, "data": name})
+        for data in manifest["replaced"]:
+            self._fs.delete(self._path(f"{self.folder}/data/{data}"), True)
+        self._tidy(new)
+        return True
+
+    def _tidy(self, manifest: dict) -> None:
+        """Remove the records that a manifest covers, also those that a failed compaction has left, and the manifests before the last two."""
+        for data in manifest["covers"]:
+            self._fs.delete(self._path(f"{self.folder}/live/{data}"), False)
+        self._fs.delete(self._path(f"{self.folder}/manifests/{manifest['version'] - 2:012d}"), False)
 
 
 def maintained(docs: DataFrame, withdrawn: DataFrame, tokenizers: list[Tokenizer], folder: str) -> DataFrame:

@@ -65,3 +65,47 @@ def test_changes_in_any_order_give_the_same(spark, tmp_path):
         b.commit(k, v)
         b.compact()
     assert totals(a.totals()) == totals(b.totals())
+
+
+def test_long_whitespace_is_counted_exactly(spark):
+    t = T.Tokenizer.from_file("byte_bpe_50k", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    for text in ("a" + " " * 30_000 + "b", "a" + "\n\u3000" * 20_000 + "b c", " " * 25_000, "x\t" * 9 + " " * 21_000 + "\ny" + " " * 20_000):
+        assert t.tokens(text) == len(t.encoding().encode_ordinary(text))
+    docs = spark.createDataFrame([(1, "a" + " " * 2_000_000 + "b", "s", "en"), (2, "\x1c" * 30_000, "s", "en")], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r.tokens for r in T.count(docs, [t]).collect()}
+    assert got[1] > 10 and got[2] == len(t.encoding().encode_ordinary("\x1c" * 30_000))
+
+
+def test_a_crash_between_writing_and_sealing_loses_no_batch(spark, tmp_path, monkeypatch):
+    r = T.Rollup(spark, f"file://{tmp_path}/r")
+    changes = spark.createDataFrame([("s", "en", "t", 1, 5)], "source string, lang string, tokenizer string, docs long, tokens long")
+    whole = T.Rollup._create
+    for dies_at in ("live", "seals"):
+
+        def crash(self, place, what, dies_at=dies_at):
+            if place.startswith(dies_at):
+                raise RuntimeError("killed")
+            return whole(self, place, what)
+
+        monkeypatch.setattr(T.Rollup, "_create", crash)
+        try:
+            r.commit("one", changes)
+        except RuntimeError:
+            pass
+        monkeypatch.undo()
+        assert not r.committed("one") and totals(r.totals()) == {}
+    assert r.commit("one", changes) and not r.commit("one", changes)
+    assert totals(r.totals()) == {("s", "en", "t"): (1, 5)}
+
+
+def test_compaction_keeps_records_short(spark, tmp_path):
+    r = T.Rollup(spark, f"file://{tmp_path}/r")
+    changes = spark.createDataFrame([("s", "en", "t", 1, 5)], "source string, lang string, tokenizer string, docs long, tokens long")
+    for k in range(3):
+        for j in range(2):
+            assert r.commit(f"b{k}{j}", changes)
+        assert r.compact()
+        assert r._lines("live") == [] and len(r._lines("manifests")) <= 2
+    assert not r.compact()
+    assert not any(r.commit(f"b{k}{j}", changes) for k in range(3) for j in range(2))
+    assert totals(r.totals()) == {("s", "en", "t"): (6, 30)}
