@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests, one below the warehouse, which is shared as well. It is the
-    application's own, and goes with it if it is on the driver's disk.
+    Where that is unset, on one machine only, one below the warehouse, which goes with the application. On a cluster it has to be set.
     """
     if place := spark.conf.get("spark.checkpoint.dir", None):
         return place.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     place = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{spark.sparkContext.applicationId}"
     if place.startswith(("/", "file:")) and place not in _OURS:
         _OURS.add(place)
@@ -35,6 +37,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many leading underscores as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def added_prefix(df: DataFrame) -> str:
+    """Two underscores, or as many as no column of ``df`` begins with."""
+    out = "__"
+    while any(c.startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove shuffle files that only lineage before a cut has needed; it acts on what the driver's collectors find."""
     gc.collect()

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .cut import added_prefix
 
 WINDOW, GRAM = 13, 7
 _BITS = 20
@@ -133,20 +134,21 @@ def overlap(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     One row per row of ``docs``: the id, n_words, n_hit (words inside any occurrence of an item
     window), n_items, items_sha256 (of the comma-joined, string-sorted item ids), item_ids, hit_spans
     ([first, end) word numbers, merged). With ``keep`` all columns of ``docs`` come too, and these
-    are prefixed ``__``.
+    get the prefix ``added_prefix(docs)``, two underscores or as many as no column begins with.
 
     A null or empty text has no words; an item without words or without id is ignored; repeated items
     and rows each count (an id once); an empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    p = "__" if keep else ""
+    p = added_prefix(docs) if keep else ""
     base = docs if keep else docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     at = base.columns.index(text if keep else "text")
     state = [("n_words", "bigint"), ("hit_spans", "array<int>"), ("item_ids", "array<string>")]
     columns = base.columns
     out = base
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    own = ", ".join(f"`__{n}` {t}" for n, t in state)
+    w = added_prefix(docs)
+    own = ", ".join(f"`{w}{n}` {t}" for n, t in state)
     for i, (ids, texts) in enumerate(_blocks(benchmark, item_id, item_text, block_words)):
         index = spark.sparkContext.broadcast(Index(ids, texts, window, gram))
 
@@ -177,20 +179,20 @@ def overlap(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
                         for d, x in enumerate(part.column(len(columns) + 2).to_pylist()):
                             if x:
                                 items.setdefault(d, set()).update(x)
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(np.diff(first)), pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.int32())), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))], names=[*columns, *(f"__{x}" for x, _ in state)])
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(np.diff(first)), pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.int32())), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))], names=[*columns, *(f"{w}{x}" for x, _ in state)])
 
         out = out.mapInArrow(scan, f"{fields}, {own}")
-    spans = F.col("__hit_spans")
+    spans = F.col(w + "hit_spans")
     n_hit = F.aggregate(F.sequence(F.lit(0), F.size(spans) - 1), F.lit(0).cast("long"), lambda s, i: s + F.when(i % 2 == 1, F.get(spans, i)).otherwise(-F.get(spans, i)))
-    out = out.withColumn("__n_hit", F.when(F.size(spans) > 0, n_hit).otherwise(F.lit(0).cast("long")))
+    out = out.withColumn(w + "n_hit", F.when(F.size(spans) > 0, n_hit).otherwise(F.lit(0).cast("long")))
     own = [
-        F.col("__n_words").alias(f"{p}n_words"),
-        F.col("__n_hit").alias(f"{p}n_hit"),
-        F.size("__item_ids").cast("long").alias(f"{p}n_items"),
-        F.sha2(F.array_join("__item_ids", ","), 256).alias(f"{p}items_sha256"),
-        F.col("__item_ids").alias(f"{p}item_ids"),
-        F.col("__hit_spans").alias(f"{p}hit_spans"),
-        ((F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words"))).alias(f"{p}contaminated"),
+        F.col(w + "n_words").alias(f"{p}n_words"),
+        F.col(w + "n_hit").alias(f"{p}n_hit"),
+        F.size(w + "item_ids").cast("long").alias(f"{p}n_items"),
+        F.sha2(F.array_join(w + "item_ids", ","), 256).alias(f"{p}items_sha256"),
+        F.col(w + "item_ids").alias(f"{p}item_ids"),
+        F.col(w + "hit_spans").alias(f"{p}hit_spans"),
+        ((F.col(w + "n_hit") > 0) & (20 * F.col(w + "n_hit") >= F.col(w + "n_words"))).alias(f"{p}contaminated"),
     ]
     return out.select(*(F.col(f"`{c}`") for c in columns if keep or c == "doc_id"), *own)
 
@@ -208,7 +210,7 @@ def merged(flat: list[int]) -> list[int]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated (a twentieth of their words or more inside benchmark windows)."""
-    return overlap(docs, benchmark, doc_id, text, keep=True, **options).where(~F.col("__contaminated")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return overlap(docs, benchmark, doc_id, text, keep=True, **options).where(~F.col(added_prefix(docs) + "contaminated")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .cut import cut
+from .cut import cut, unused
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -47,14 +47,17 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         where = {x: j for j, x in zip(range(b0, b1), b[b0:b1]) if once_b[x] == 1}
         pairs = [(i, where[x]) for i, x in zip(range(a0, a1), a[a0:a1]) if once_a[x] == 1 and x in where]
         if not pairs:
-            # repeated lines only: each run of b is matched in order of appearance
-            j, at = b0, a0
-            while at < a1 and j < b1:
-                nxt = next((k for k in range(j, b1) if b[k] == a[at]), None) if a[at] in once_b else None
-                if nxt is not None:
-                    out.append((at, nxt))
-                    j = nxt + 1
-                at += 1
+            # repeated lines only: each line of a is matched with the next of b that is left
+            places: dict[int, list[int]] = {}
+            for j in range(b0, b1):
+                places.setdefault(b[j], []).append(j)
+            j = b0
+            for i in range(a0, a1):
+                if own := places.get(a[i]):
+                    k = bisect_left(own, j)
+                    if k < len(own):
+                        out.append((i, own[k]))
+                        j = own[k] + 1
             continue
         tails: list[int] = []
         ends: list[int] = []
@@ -201,16 +204,19 @@ def duplicate_lines(docs: DataFrame, min_block_words: int = 5, rare: int = 4, do
         todo, low, high = still(todo), high, 4 * high
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with the text of each document less its aligned common blocks, and the columns __n_lines (filled lines), __n_gone and __words_gone.
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: str = "__", **options) -> DataFrame:
+    """``docs`` with the text of each document less its aligned common blocks, and the columns n_lines (filled lines), n_gone and words_gone, with ``prefix``.
 
-    Rows of a null text or a null id stay as they are. Rows that repeat an id are one document to the search; their lines go from each of them by number, so rows of equal text stay equal. Blank lines stay unless the text loses all its filled lines, which makes it empty.
+    Rows of a null text or a null id stay as they are. Rows that repeat an id are one document to the search; their lines go from each of them by number, so rows of equal text stay equal. Blank lines stay unless the text loses all its filled lines, which makes it empty. Columns of docs that have the added names are replaced. A text is held with a number for each of its lines; aligning takes time about linear in the lines, unless their repeats nest deeply.
     """
-    gone = duplicate_lines(docs, doc_id=doc_id, text=text, **options).withColumnRenamed("doc", "__doc").withColumnRenamed("gone", "__gone")
-    kept = docs.join(gone, docs[doc_id] == gone["__doc"], "left").drop("__doc")
+    added = [prefix + c for c in ("n_lines", "n_gone", "words_gone")]
+    docs = docs.drop(*added)
+    own, lost = unused(docs, "__doc", "__gone")
+    gone = duplicate_lines(docs, doc_id=doc_id, text=text, **options).withColumnsRenamed({"doc": own, "gone": lost})
+    kept = docs.join(gone, docs[doc_id] == gone[own], "left").drop(own)
     columns = docs.columns
     at, last = columns.index(text), len(columns)
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["__n_lines bigint", "__n_gone bigint", "__words_gone bigint"])
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{c}` bigint" for c in added])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +238,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
                         drop = set(own[out].tolist())
                         texts[d] = "" if len(drop) == len(own) else "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in drop)
                 own = [*part.columns[:at], texts if isinstance(texts, pa.Array) else pa.array(texts, part.column(at).type), *part.columns[at + 1 : last]]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int64()) for x in (filled, lost, lost_words))], names=[*columns, "__n_lines", "__n_gone", "__words_gone"])
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int64()) for x in (filled, lost, lost_words))], names=[*columns, *added])
 
     return kept.mapInArrow(rewrite, fields)
 

@@ -3,8 +3,9 @@
 A source of weight w and size s, in a mixture of total size B, is to be repeated w * B / s times on
 average. Each document's number of copies is drawn from a Poisson distribution of that mean by
 inverting its distribution function at a uniform number hashed from the seed and the document's id:
-no state, no order, the same draw on every run and retry. Copies are exploded and dealt out globally
-by a hash of id, copy and seed.
+no state, no order, the same draw on every run and retry. A mean above ``MOST_MEAN`` is split into
+equal parts below it, each with a draw of its own, whose sum has exactly the distribution wanted. Copies
+are exploded and dealt out globally by a hash of id, copy and seed.
 
 All of it is DataFrame functions. The only joined side has a row for each named source and one for
 all others, so its size is bound by the parameters.
@@ -17,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .cut import unused
+
 #: Bits of a hashed number: 52 are exact in a double, 60 fit a long.
 _UNIFORM, _ORDER = 13, 15
 
@@ -25,6 +28,10 @@ SHARES = {"src0": 0.10} | {f"src{i}": 0.03 + 0.002 * i for i in range(1, 20)}
 OTHERS = 0.02
 
 
+#: Greatest mean that is inverted at once: the steps of its distribution are a list of about 800.
+MOST_MEAN = 500.0
+
+
 def hashed(digits: int, *parts: Column) -> Column:
     """The first hexadecimal digits of the MD5 of the colon-joined parts (null as ''), as a long."""
     text = F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
@@ -32,7 +39,7 @@ def hashed(digits: int, *parts: Column) -> Column:
 
 
 def poisson_steps(mean: Column) -> Column:
-    """Distribution function of the Poisson distribution at 0, 1, 2, ... until its tail is below double precision."""
+    """Distribution function of the Poisson distribution at 0, 1, 2, ... until its tail is below double precision. For means up to MOST_MEAN: lists are built by appending."""
     last = F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")
     # logarithms of the terms: k ln(mean) - mean - ln(k!), so that no mean underflows
     log_terms = F.aggregate(
@@ -48,7 +55,7 @@ def mix(docs: DataFrame, weights: dict[str, float], others: float = 0.0, epochs:
 
     weights: relative shares of sources; ``others``: the share of all remaining sources and of null sources together, each document of which has the same rate. epochs: size of the mixture, in sizes of ``docs``, as far as sources have documents. unit: "chars" of text or "docs".
 
-    Added columns (with ``prefix``): copy (1, 2, ...) and order_key; files or partitions are ranges of order_key, and rows in them are sorted by it. Rows of one id, repeated rows and rows without id among them, have one draw together. A null or empty text has no chars, but is drawn at its source's rate; a source of no size at all (empty texts only, in chars) is left out, as are sources of weight 0. Existing columns of the added names are replaced.
+    Added columns (with ``prefix``): copy (1, 2, ...) and order_key; files or partitions are ranges of order_key, and rows in them are sorted by it. Rows of one id, repeated rows among them, have one draw together; rows without id count by their text. A document costs its draws, one for each MOST_MEAN of its mean, and its copies; its text is only measured. A null or empty text has no chars, but is drawn at its source's rate; a source of no size at all (empty texts only, in chars) is left out, as are sources of weight 0. Existing columns of the added names are replaced; any others, whatever their names, stay.
     """
     total = sum(weights.values()) + others
     if not total > 0 or min([*weights.values(), others]) < 0:
@@ -63,12 +70,20 @@ def mix(docs: DataFrame, weights: dict[str, float], others: float = 0.0, epochs:
     # a row for each group of sources, not for documents
     every = F.sum("n").over(Window.partitionBy(F.lit(0))).cast("double")
     rates = sizes.select("g", (share * F.lit(float(epochs)) * every / F.nullif("n", F.lit(0)).cast("double")).alias("rate")).where("rate > 0")
-    rates = rates.select(F.col("g").alias("__g"), poisson_steps(F.col("rate")).alias("__steps"))
-    uniform = hashed(_UNIFORM, F.lit(seed), F.col(doc_id)) / F.lit(2.0**52)
-    drawn = docs.drop(prefix + "copy", prefix + "order_key").withColumn("__g", group).join(F.broadcast(rates), "__g")
-    drawn = drawn.withColumn("__n", F.size(F.filter("__steps", lambda p: p <= uniform))).where("__n > 0").drop("__g", "__steps")
-    copies = drawn.withColumn(prefix + "copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
-    keyed = copies.withColumn(prefix + "order_key", hashed(_ORDER, F.lit(seed), F.col(doc_id), F.col(prefix + "copy")))
+    base = docs.drop(prefix + "copy", prefix + "order_key")
+    g, steps, parts, drawn = unused(base, "__g", "__steps", "__parts", "__drawn")
+    split = F.greatest(F.ceil(F.col("rate") / F.lit(MOST_MEAN)), F.lit(1)).cast("int")
+    rates = rates.select(F.col("g").alias(g), split.alias(parts), poisson_steps(F.col("rate") / split).alias(steps))
+    identity = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text), F.lit("")))))
+
+    def draw(*more: Column) -> Column:
+        uniform = hashed(_UNIFORM, F.lit(seed), identity, *more) / F.lit(2.0**52)
+        return F.size(F.filter(steps, lambda p: p <= uniform))
+
+    copies = F.when(F.col(parts) == 1, draw()).otherwise(F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda n, k: n + draw(F.lit("part"), k)))
+    out = base.withColumn(g, group).join(F.broadcast(rates), g).withColumn(drawn, copies).where(F.col(drawn) > 0).drop(g, steps, parts)
+    out = out.withColumn(prefix + "copy", F.explode(F.sequence(F.lit(1), F.col(drawn)))).drop(drawn)
+    keyed = out.withColumn(prefix + "order_key", hashed(_ORDER, F.lit(seed), identity, F.col(prefix + "copy")))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the keys are uniform, so equal ranges need no sampling pass over the rows
     part = F.floor(F.col(prefix + "order_key") / F.lit(2.0 ** (4 * _ORDER)) * n).cast("int")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .cut import added_prefix
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_letters", "n_upper", "n_bangs", "n_digits", "n_bars", "n_same_next", "n_lines")
@@ -224,8 +225,8 @@ def judge(docs: DataFrame, rules: list[Rule], doc_id: str = "doc_id", text: str
 
 def filter_docs(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns only."""
-    out = with_counts(docs, text, "__q_")
-    return out.where(~base_failed("__q_") & verdict(rules, "__q_")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    prefix = added_prefix(docs)
+    return with_counts(docs, text, prefix).where(~base_failed(prefix) & verdict(rules, prefix)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def test_run_equals_brute_force(spark):
     assert kept == {d for d, v in verdict.items() if v and not test_quality_rules.brute(docs[d].text)[5]}
 
     texts = {d: docs[d].text for d in kept}
-    gone = test_line_dedup.brute(list(texts.items()))
+    gone = test_line_dedup.all_pairs(texts.items())
     for d, numbers in gone.items():
         lines = texts[d].split("\n")
         filled = [k for k, x in enumerate(lines) if x.split()]
