@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules
-from scoreloom.llm.cut import shared_folder
+from scoreloom.llm.cut import added_prefix, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the line blocks that earlier ones have, n_chars brought up to date. A document that loses its last line goes."""
-    out = line_dedup.dedup_lines(docs)
-    changed = F.col("__n_gone") > 0
-    out = out.where(~changed | (F.col("__n_gone") < F.col("__n_lines")))
+    prefix = added_prefix(docs)
+    out = line_dedup.dedup_lines(docs, prefix=prefix)
+    changed = F.col(prefix + "n_gone") > 0
+    out = out.where(~changed | (F.col(prefix + "n_gone") < F.col(prefix + "n_lines")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
