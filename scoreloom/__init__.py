@@ -1,3 +1,16 @@
 """Credit-risk scoring analytics as DataFrame-to-DataFrame operators on Spark."""
 
-__version__ = "0.1.0"
+from .functions import labels
+from .operators.discrimination import accuracy_ratio, auc, concentration, confusion, histogram, impurity, impurity_reduction, lorenz, lorenz_gini_area, operating_points, roc, trapezoid_gini
+from .operators.evidence import bin_statistics, information_value, iv_ranking, rate_table, with_woe
+from .operators.fit import compare_scores, deviance, fit_summary, gini_difference, gini_interval
+from .operators.independence import chi2_ranking, contingency, crosstab, goodness_of_fit, independence
+from .operators.lift import lift_summary, lift_table
+from .operators.models import apply_scorecard, coefficients, fit_logistic, hashed_split, predict, stratified_split
+from .operators.segments import calinski_harabasz, k_sweep, kmeans, profile
+from .operators.stability import psi, psi_between, psi_ranking, psi_table, shares
+from .operators.transforms import chi_merge, equal_frequency_bins, equal_width_bins, fixed_bins, label_encode, min_max_scale, optimal_bins, quantiles, z_score
+from .plans.flows import build_scorecard, evaluate_features, monitor_stability, project_portfolio
+
+__version__ = "0.2.0"
+__all__ = sorted(name for name in dir() if not name.startswith("_") and name not in ("functions", "operators", "plans", "sources"))

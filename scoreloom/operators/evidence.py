@@ -77,13 +77,16 @@ def frozen_edges(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
     return one.select(pairs.alias("__p")).select("__p.*")
 
 
-def iv_ranking(df: DataFrame, columns: Sequence[str], target: str, n: int = 10) -> DataFrame:
-    """variable, iv and iv_label of numeric columns in n equal-frequency bins, greatest first."""
-    # a row a variable; bins go side by side and the rows unpivot as small numbers
+def binned_columns(df: DataFrame, columns: Sequence[str], target: str, n: int) -> DataFrame:
+    """(__y, variable, bin): equal-frequency bins of each column. Columns are binned side by side, so that rows unpivot as small numbers."""
     edges = frozen_edges(df, columns, n).agg(F.map_from_entries(F.collect_list(F.struct("variable", "edges"))).alias("__edges"))
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.when(F.col(c).isNotNull(), by_edges(F.col(c).cast("double"), F.col("__edges")[c], n)).alias("bin")) for c in columns)))
-    long = attach(df.select(target, *columns), edges).select(F.col(target).alias("__y"), pairs.alias("__p")).select("__y", "__p.*")
-    stats = bin_statistics(long, "bin", "__y", ["variable"])
+    return attach(df.select(target, *columns), edges).select(F.col(target).alias("__y"), pairs.alias("__p")).select("__y", "__p.*")
+
+
+def iv_ranking(df: DataFrame, columns: Sequence[str], target: str, n: int = 10) -> DataFrame:
+    """variable, iv and iv_label of numeric columns in n equal-frequency bins, greatest first."""
+    stats = bin_statistics(binned_columns(df, columns, target, n), "bin", "__y", ["variable"])
     return information_value(stats, ["variable"]).orderBy(F.desc("iv"), "variable")
 
 

@@ -104,3 +104,23 @@ def empirical_transitions(df: DataFrame, entity: str, state: str, order: Sequenc
     steps = df.select(F.col(state).alias("from_state"), F.lead(state).over(w).alias("to_state")).where("to_state IS NOT NULL")
     counts = steps.groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("from_state")))
+
+
+def arrears_kpis(df: DataFrame, entity: str, state: Column, order: Sequence[str]) -> DataFrame:
+    """One row: migration_rate (of steps from current, into arrears), cure_rate (of steps from arrears, into current), default_rate (of steps from either, into default) and mean_steps_in_arrears (rows in arrears a spell). state: 0 current, 1 arrears, 2 default."""
+    w = Window.partitionBy(entity).orderBy(*order)
+    rows = df.select(state.alias("s"), F.lag(state).over(w).alias("before"), F.lead(state).over(w).alias("next"))
+    count = lambda c: F.sum(c.cast("long"))
+    step = F.col("next").isNotNull()
+    one = rows.agg(
+        count(step & (F.col("s") == 0)).alias("from_current"),
+        count(step & (F.col("s") == 1)).alias("from_arrears"),
+        count((F.col("s") == 0) & (F.col("next") == 1)).alias("migrated"),
+        count((F.col("s") == 1) & (F.col("next") == 0)).alias("cured"),
+        count((F.col("s") < 2) & (F.col("next") == 2)).alias("defaulted"),
+        count(F.col("s") == 1).alias("in_arrears"),
+        count((F.col("s") == 1) & (F.coalesce(F.col("before"), F.lit(-1)) != 1)).alias("spells"),
+    )
+    share = lambda a, b: F.col(a) / F.nullif(b, F.lit(0)).cast("double")
+    c = F.col
+    return one.select(share("migrated", c("from_current")).alias("migration_rate"), share("cured", c("from_arrears")).alias("cure_rate"), share("defaulted", c("from_current") + c("from_arrears")).alias("default_rate"), share("in_arrears", c("spells")).alias("mean_steps_in_arrears"))

@@ -55,3 +55,11 @@ def validate_counts(df: DataFrame, targets: DataFrame, key: str, flag: str) -> D
     return targets.join(own, key).select(key, "rows", "n", "flagged", "k", (F.col("n") - F.col("rows")).alias("rows_off"), (F.col("k") - F.col("flagged")).alias("flagged_off"))
 
 
+def head(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
+    """The first k rows in an order; without one the first k are not defined. Each task keeps k rows."""
+    return df.orderBy(*order).limit(k)
+
+
+def formatted(df: DataFrame, formats: dict[str, str]) -> DataFrame:
+    """Columns as text by printf formats, for reports; null stays null."""
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(f, F.col(c))) for c, f in formats.items()})

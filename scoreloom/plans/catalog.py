@@ -20,6 +20,7 @@ from ..operators import stability as P
 from ..operators import transforms as T
 from ..sources import synthetic
 from ..sources.tables import table
+from . import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -958,3 +959,85 @@ SELECT g AS o_orderpriority, round(iv, 6) AS iv, """ + labelled("iv", E.labels.I
 def _(spark, sf):
     df = table(spark, sf, "orders").select("o_orderpriority", F.month("o_orderdate").alias("month"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
     return rounded(E.information_value(E.bin_statistics(df, "month", "y", ["o_orderpriority"]), ["o_orderpriority"]), "iv")
+
+
+# ---- flows and series
+
+@query("flow_features", f"""
+WITH {_ranking_sql(_RANKED_COLUMNS, 'lineitem', "CAST(l_returnflag = 'R' AS INTEGER) AS y")},
+b AS (SELECT variable, y, CAST(list_sum(list_transform(range(1, 10), lambda k: CASE WHEN value >= e[k + 1] THEN 1 ELSE 0 END)) AS INTEGER) AS bin FROM long JOIN edges USING (variable)),
+s AS (SELECT variable, bin, count(*) AS total, CAST(sum(1 - y) AS BIGINT) AS goods, CAST(sum(y) AS BIGINT) AS bads FROM b GROUP BY 1, 2),
+w AS (SELECT *, goods / sum(goods) OVER (PARTITION BY variable) AS pg, bads / sum(bads) OVER (PARTITION BY variable) AS pb FROM s),
+v AS (SELECT *, ln(greatest(pg, 0.0001) / greatest(pb, 0.0001)) AS woe FROM w),
+c AS (SELECT *, (pg - pb) * woe AS part FROM v),
+t AS (SELECT *, sum(abs(part)) OVER (PARTITION BY variable) AS iv FROM c)
+SELECT variable, bin, total, goods, bads, round(woe, 6) AS woe, round(part, 6) AS iv_component, round(iv, 6) AS iv, {labelled('iv', E.labels.IV)} AS iv_label FROM t""")
+def _(spark, sf):
+    df = table(spark, sf, "lineitem").select(*_RANKED_COLUMNS, (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return rounded(flows.evaluate_features(df, _RANKED_COLUMNS, "y", 10), "woe", "iv_component", "iv")
+
+
+@query("flow_scorecard")
+def _(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("day"), "o_orderpriority", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    found = flows.build_scorecard(df, "o_orderkey", "y", ["o_totalprice", "day"], ["o_orderpriority"])
+    return found["gini"].select("gini", "lower", "upper").crossJoin(found["fit"].select("mcfadden_r2", "aic", "lr_p_value")).crossJoin(found["challenger"].select("difference", "p_value"))
+
+
+@query("flow_provisions", f"""{_MARKOV}, e AS (SELECT sum(d * clients) FILTER (WHERE month = 0) AS a, sum(d * clients) FILTER (WHERE month = 12) AS b FROM p JOIN k USING (band))
+SELECT round(a, 6) AS initial_defaults, round(b, 6) AS final_defaults, round((b - a) * 10000, 2) AS additional_provisions FROM e""")
+def _(spark, sf):
+    df = flows.project_portfolio(spark)["provisions"].select("initial_defaults", "final_defaults", "additional_provisions")
+    return rounded(rounded(df, "initial_defaults", "final_defaults"), "additional_provisions", places=2)
+
+
+@query("state_areas", f"""{_MARKOV}, u AS (SELECT band, month, unnest(['current', 'arrears', 'default']) AS state, unnest([0.0, c, c + a]) AS low, unnest([c, c + a, c + a + d]) AS high FROM p WHERE band IN (1, 3, 5))
+SELECT band, CAST(month AS INTEGER) AS month, state, round(low, 8) AS low, round(high, 8) AS high FROM u""")
+def _(spark, sf):
+    s = C.stacked(_projection(spark).where(F.col("band").isin(1, 3, 5)))
+    c, a, d = (F.col(f"upto_{x}") for x in ("current", "arrears", "default"))
+    areas = F.explode(F.array(*(F.struct(F.lit(n).alias("state"), low.alias("low"), high.alias("high")) for n, low, high in (("current", F.lit(0.0), c), ("arrears", c, a), ("default", a, d)))))
+    return rounded(s.select("band", "month", areas.alias("x")).select("band", "month", "x.*"), "low", "high", places=8)
+
+
+@query("arrears_kpis", """
+WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 0 END AS s FROM events),
+w AS (SELECT s, lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, lead(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e)
+SELECT round(count(*) FILTER (WHERE s = 0 AND n = 1) / count(*) FILTER (WHERE s = 0 AND n IS NOT NULL), 6) AS migration_rate, round(count(*) FILTER (WHERE s = 1 AND n = 0) / count(*) FILTER (WHERE s = 1 AND n IS NOT NULL), 6) AS cure_rate,
+  round(count(*) FILTER (WHERE s < 2 AND n = 2) / count(*) FILTER (WHERE s < 2 AND n IS NOT NULL), 6) AS default_rate, round(count(*) FILTER (WHERE s = 1) / count(*) FILTER (WHERE s = 1 AND coalesce(b, -1) <> 1), 6) AS mean_steps_in_arrears FROM w""")
+def _(spark, sf):
+    state = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 2).otherwise(0)
+    return rounded(C.arrears_kpis(table(spark, sf, "events"), "user_id", state, ["ts", "event_id"]), "migration_rate", "cure_rate", "default_rate", "mean_steps_in_arrears")
+
+
+@query("scaling_histograms", """
+WITH s AS (SELECT (c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()) AS x, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS z FROM customer),
+l AS (SELECT 'scaled' AS series, x AS v FROM s UNION ALL SELECT 'standard', z FROM s),
+b AS (SELECT series, v, min(v) OVER (PARTITION BY series) AS lo, max(v) OVER (PARTITION BY series) AS hi FROM l)
+SELECT series, CAST(least(floor((v - lo) / ((hi - lo) / 20.0) + 1e-9), 19) AS INTEGER) AS bin, count(*) AS n FROM b GROUP BY 1, 2""")
+def _(spark, sf):
+    df = T.z_score(T.min_max_scale(table(spark, sf, "customer"), "c_acctbal", "scaled"), "c_acctbal", "standard")
+    long = E.unpivot(df, ["scaled", "standard"], []).withColumnRenamed("variable", "series")
+    lo_hi = long.groupBy("series").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    bin = F.least(F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 20.0) + 1e-9), F.lit(19)).cast("int")
+    return T.attach(long, lo_hi, ["series"]).groupBy("series", bin.alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("bin_occupancy", """
+WITH e AS (SELECT quantile_cont(o_totalprice, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+b AS (SELECT CAST(list_sum(list_transform(range(1, 5), lambda k: CASE WHEN o_totalprice >= e[k + 1] THEN 1 ELSE 0 END)) AS INTEGER) AS f, CAST(list_sum(list_transform(range(1, 5), lambda k: CASE WHEN o_totalprice >= lo + k * ((hi - lo) / 5) THEN 1 ELSE 0 END)) AS INTEGER) AS w FROM orders, e)
+SELECT 'frequency' AS method, f AS bin, count(*) AS n FROM b GROUP BY 2 UNION ALL SELECT 'width', w, count(*) FROM b GROUP BY 2""")
+def _(spark, sf):
+    df = T.equal_width_bins(T.equal_frequency_bins(table(spark, sf, "orders"), "o_totalprice", 5, "frequency"), "o_totalprice", 5, "width")
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(m).alias("bin")) for m in ("frequency", "width"))))
+    return df.select(each.alias("x")).groupBy("x.method", "x.bin").agg(F.count("*").alias("n"))
+
+
+@query("head", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def _(spark, sf):
+    return R.head(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 20, [F.desc("o_totalprice"), F.asc("o_orderkey")])
+
+
+@query("formatted_report", "SELECT c_mktsegment, printf('%.2f', avg(c_acctbal)) AS mean, printf('%d', count(*)) AS n FROM customer GROUP BY 1")
+def _(spark, sf):
+    return R.formatted(table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("mean"), F.count("*").alias("n")), {"mean": "%.2f", "n": "%d"})

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,3 +354,42 @@ def test_kmeans_finds_planted_clusters(spark):
     assert out[400] is None and len({(i % 4, c) for i, c in out.items() if i < 400}) == 4
     own = S.calinski_harabasz(S.kmeans(df.where("id < 400"), "v", 4, (1, 2)), "v", "cluster").first().calinski_harabasz
     assert own == pytest.approx(sweep[4].calinski_harabasz, rel=1e-6)
+
+
+@pytest.mark.parametrize("balanced", [True, False])
+def test_logistic_regression_equals_newton(spark, balanced):
+    """The fitted coefficients minimise the same weighted, penalised loss as Newton's method finds."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(800, 2))
+    y = (rng.random(800) < 1 / (1 + np.exp(-(-1.5 + 1.2 * x[:, 0] - 0.7 * x[:, 1])))).astype(float)
+    df = spark.createDataFrame([(i, float(a), float(b), int(t)) for i, ((a, b), t) in enumerate(zip(x, y))], "id long, a double, b double, y int")
+    found = {r.feature: r.coefficient for r in M.coefficients(M.fit_logistic(df, "y", ["a", "b"], balanced=balanced, scaling="none"), df).collect()}
+    weight = np.where(y == 1, 400 / y.sum(), 400 / (800 - y.sum())) if balanced else np.ones(800)
+    design, beta = np.column_stack([np.ones(800), x]), np.zeros(3)
+    penalty = np.diag([0.0, 1 / 800, 1 / 800])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ beta))
+        gradient = design.T @ (weight * (p - y)) / weight.sum() + penalty @ beta
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design / weight.sum() + penalty
+        beta -= np.linalg.solve(hessian, gradient)
+    assert [found["(intercept)"], found["a"], found["b"]] == pytest.approx(beta.tolist(), abs=1e-3)
+
+
+def test_stratified_split_is_exact(spark):
+    df = spark.range(10_007).select(F.col("id").alias("key"), (F.col("id") % 7 == 0).cast("int").alias("y"))
+    for share in (0.0, 0.3, 0.999):
+        rows = {(r.y, r.is_test): r["count"] for r in M.stratified_split(df, "y", "key", share).groupBy("y", "is_test").count().collect()}
+        for y, n in ((1, 1430), (0, 8577)):
+            assert rows.get((y, True), 0) == math.floor(n * share) and rows.get((y, True), 0) + rows.get((y, False), 0) == n
+
+
+def test_flows(spark, sf):
+    from scoreloom import build_scorecard, evaluate_features, monitor_stability, project_portfolio
+
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("day"), "o_orderpriority", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    assert evaluate_features(orders, ["o_totalprice", "day"], "y").select("variable").distinct().count() == 2
+    psi = monitor_stability(orders, ["o_totalprice"], F.col("day") > 180).collect()
+    assert len(psi) == 10 and sum(r.production_pct for r in psi) == near(100.0)
+    report = build_scorecard(orders, "o_orderkey", "y", ["o_totalprice", "day"], ["o_orderpriority"])
+    assert report["scored"].count() > 400 and all(df.count() > 0 for df in report.values())
+    assert project_portfolio(spark)["provisions"].first().additional_provisions == pytest.approx(15_596_674.82, abs=0.01)
