@@ -216,8 +216,8 @@ def _full_sets(rows: DataFrame, kind: str, n: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _connected(members: DataFrame, block: int, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) that connect what ``run`` links in each group. members: g, rep, w.
+def _connected(members: DataFrame, block: int, run: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that connect what ``run`` links in each group, and the components (id, root) that they make. members: g, rep, w.
 
     A group of a weight up to ``block`` is one task. A larger one is dealt by a hash of rep to blocks, and to each block come HUBS members of the group, the same for all; of the components that this leaves, the largest isn't compared with itself any more, but all others' members with every member of other components, block by block. So a group that the hubs hold together costs its size, and only members outside its largest component cost a pass over it a block.
 
@@ -237,20 +237,25 @@ def _connected(members: DataFrame, block: int, run: Callable[[DataFrame], DataFr
         first = first.union(hubs.select(F.xxhash64("g", "i"), F.lit(False), "h.rep", "h.rep", "h.w"))
     links = cut(run(first))
     release(members.sparkSession)
-    if not some:
-        return links
     roots = components(links)
+    if not some:
+        return links, roots
     named = cut(large.join(roots, c("rep") == c("id"), "left").select("g", "rep", F.coalesce("root", "rep").alias("root"), "w"))
     parts = named.groupBy("g", "root").agg(F.sum("w").alias("w")).groupBy("g").agg(F.max_by("root", F.struct("w", "root")).alias("main"), F.max("w").alias("most"), F.sum("w").alias("total"), F.count("*").alias("parts"))
     parts = parts.where("parts > 1").select("g", "main", F.ceil((c("total") - c("most")) / block).cast("int").alias("others"), F.ceil(c("most") / block).cast("int").alias("mains"))
     named = named.join(parts, "g").withColumn("i", F.when(c("root") == c("main"), c("others") + at(c("mains"))).otherwise(at(c("others"))))
     named = named.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(c("root") == c("main"), c("others") - 1).otherwise(c("others") + c("mains") - 1))))
     second = named.select(F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j")).alias("task"), (c("i") > c("j")).alias("second"), "rep", "root", "w")
-    return links.union(cut(run(second.select("task", *row))))
+    more = cut(run(second.select("task", *row)))
+    if more.isEmpty():
+        return links, roots
+    links = links.union(more)
+    return links, components(links)
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("task").sortWithinPartitions("task")
+    # by rep within a task, so that the tasks of many lists link the same members to the same first one
+    return rows.repartition("task").sortWithinPartitions("task", "rep")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", list_block: int = LIST_BLOCK, set_block: int = SET_BLOCK) -> DataFrame:
@@ -270,16 +275,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     lists = own.where(F.size("own") >= MATCHES).select("rep", F.explode(F.slice("own", 1, F.size("own") - MATCHES + 1)).alias("x")).select(c("x.key").alias("g"), "rep")
     lists = cut(lists)
     sketches = reps.select("rep", "n", "sketch")
-    candidates = _connected(lists.withColumn("w", F.lit(1)), list_block, lambda rows: _collisions(_dealt(rows.join(sketches, "rep").select("task", "second", "rep", "root", "n", "sketch")), kind, percent))
-    groups = components(candidates).join(reps.groupBy("rep").agg(F.sum("n").alias("w")), c("id") == c("rep")).select("rep", "root", "w")
+    _, candidates = _connected(lists.withColumn("w", F.lit(1)), list_block, lambda rows: _collisions(_dealt(rows.join(sketches, "rep").select("task", "second", "rep", "root", "n", "sketch")), kind, percent))
+    groups = candidates.join(reps.groupBy("rep").agg(F.sum("n").alias("w")), c("id") == c("rep")).select("rep", "root", "w")
     release(docs.sparkSession)
-    links = _connected(_thin(cut(groups), lists, set_block), set_block, lambda rows: _full_sets(_dealt(_with_texts(rows, base)), kind, shingle, percent))
+    links, roots = _connected(_thin(cut(groups), lists, set_block), set_block, lambda rows: _full_sets(_dealt(_with_texts(rows, base)), kind, shingle, percent))
 
     # rows of one id with different sets count as one document
     again = full.select("doc_id", "c1", "c2").distinct()
     again = again.join(again.groupBy("doc_id").agg(F.count("*").alias("held")).where("held > 1"), "doc_id")
     again = again.join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).select(c("doc_id").alias("a"), c("rep").alias("b"))
-    roots = components(links.union(again))
+    again = cut(again)
+    if not again.isEmpty():
+        roots = components(links.union(again))
     named = full.select("doc_id", "c1", "c2").join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).join(roots, c("rep") == c("id"), "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     named = named.groupBy("doc_id").agg(F.min("root").alias("root"))
     out = signed.join(named, "doc_id", "left")
