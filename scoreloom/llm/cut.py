@@ -56,6 +56,12 @@ def added_prefix(df: DataFrame) -> str:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is, that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove shuffle files that only lineage before a cut has needed; it acts on what the driver's collectors find."""
     gc.collect()
