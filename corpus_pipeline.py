@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before has kept, and returns a
 DataFrame; all but the last return the columns that docs has. ``run`` writes each stage's result to
-the shared folder as Parquet and reads it again for the next.
+the shared folder as Parquet and reads it again for the next, after which only the last is kept.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules
-from scoreloom.llm.cut import added_prefix, shared_folder
+from scoreloom.llm.cut import added_prefix, remove, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    done = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if done:
+            remove(spark, done)
+        done = f"{place}/{name}"
     return docs
