@@ -138,6 +138,8 @@ def overlap(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
     A null or empty text has no words; an item without words or without id is ignored; repeated items
     and rows each count (an id once); an empty benchmark hits nothing.
+    A very long text takes linear time and some 60 bytes a word; one benchmark item is never parted, so a
+    block is as large as its largest item.
     """
     spark = docs.sparkSession
     p = added_prefix(docs) if keep else ""

@@ -1,17 +1,21 @@
 """Licence scans with a trained paragraph classifier, in DataFrame functions and JVM models only.
 
 Lines in which a licence word or a bigram of a template begins are candidates; each is looked at by
-itself and joined with the one and the two lines after it, as notices are often wrapped. A multinomial logistic regression over hashed word unigrams
-and bigrams gives each a family or "unknown". It is trained on the template texts below, thinned in
-many ways, against general sentences about licences and lines of the corpus. What counts as unknown is
-calibrated on thinned texts that the training did not see. A family is reported only if a template of
-it shares enough word bigrams with the paragraph.
+itself and joined with the one and the two lines after it, as notices are often wrapped. A multinomial
+logistic regression over hashed word unigrams and bigrams gives each a family or "unknown". It is
+trained on the template texts below, thinned in many ways, against general sentences about licences and
+lines of the corpus, some of which have cues. Probabilities are calibrated by cross-fitting: each fold
+of templates, sentences and lines is scored by a model that has seen none of its texts; the temperature
+that makes these scores most likely is kept, and the threshold below which a family is unknown is the
+least at which nineteen in twenty of the named readings were notices. A family is reported only if a
+template of it shares enough word bigrams with the paragraph.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
@@ -115,6 +119,7 @@ GENERAL = [
     "All rights of the workers were reserved for a later meeting.",
 ]
 FAMILIES = sorted({f for f, _ in TEMPLATES})
+_TEMPERATURES = (0.3, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0)
 #: Bigrams of these alone name no licence.
 _COMMON = frozenset("a all along an and any are as at be by can either following for have i in is it its no not of on or other otherwise shall should that the this to was where with you your".split())
 
@@ -138,6 +143,16 @@ def _cues() -> str:
 #: Cues; every template has one, which a test holds.
 CUES = _cues()
 _DIMENSIONS = 1 << 14
+FOLDS = 3
+
+
+def _names() -> Column:
+    return F.array(*map(F.lit, [*FAMILIES, UNKNOWN]))
+
+
+def _pairs_of(text: str) -> list[tuple[str, str]]:
+    own = re.findall(r"[^\W_]+", text.lower())
+    return list(zip(own, own[1:]))
 
 
 def words(text: Column) -> Column:
@@ -149,7 +164,10 @@ def bigrams(tokens: Column) -> Column:
 
 
 def _table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(a).alias("family"), F.lit(b).alias("text")) for a, b in rows))).alias("x")).select("x.*")
+    """(family, text, fold): the texts of each family in turn."""
+    seen: dict[str, int] = {}
+    dealt = [(f, t, seen.__setitem__(f, seen.get(f, -1) + 1) or seen[f] % FOLDS) for f, t in rows]
+    return spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(a).alias("family"), F.lit(b).alias("text"), F.lit(k).alias("fold")) for a, b, k in dealt))).alias("x")).select("x.*")
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
@@ -160,49 +178,69 @@ def _hashed(rows: DataFrame) -> DataFrame:
 def _thinned(rows: DataFrame, copies: int, seed: int) -> DataFrame:
     """Each text whole and in further copies, each less a hashed seventh of its words and now and then a half."""
     n = F.explode(F.sequence(F.lit(0), F.lit(copies))).alias("n")
-    rows = rows.select("family", "text", words(F.col("text")).alias("w"), n)
+    rows = rows.select("family", "text", "fold", words(F.col("text")).alias("w"), n)
     chance = F.pmod(F.xxhash64("text", "n", F.lit(seed)), F.lit(4))
     half = F.ceil(F.size("w") / 2).cast("int")
     part = F.when((F.col("n") > 0) & (chance == 0) & (F.size("w") > 12), F.slice("w", 1, half)).when((F.col("n") > 0) & (chance == 1) & (F.size("w") > 12), F.slice("w", half, F.size("w"))).otherwise(F.col("w"))
     kept = F.filter(part, lambda x, i: (F.col("n") == 0) | (F.pmod(F.xxhash64(x, i, F.col("n"), F.lit(seed)), F.lit(7)) > 0))
-    return rows.select("family", "text", "n", kept.alias("tokens"))
+    return rows.select("family", "text", "fold", "n", kept.alias("tokens"))
 
 
 @dataclass
 class Classifier:
     model: LogisticRegressionModel
-    least: float
+    temperature: float = 1.0
+    least: float = 0.5
     """Calibrated: a family less likely than this is unknown."""
+    reliability: list[tuple[float, float, int]] = field(default_factory=list)
+    """Of readings that the scoring model had not seen, by tenths: mean probability, share that was right, number."""
 
 
 def fit(lines: DataFrame, most_lines: int = 400, copies: int = 12, seed: int = 5) -> Classifier:
-    """Train on the fixed texts and at most ``most_lines`` of ``lines`` (text), taken by hash, as further unknowns."""
+    """Train on the fixed texts and at most ``most_lines`` of ``lines`` (text), and half as many with a cue that no template comes near, taken by hash, as further unknowns."""
     spark = lines.sparkSession
-    corpus = lines.select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(most_lines)
-    corpus = corpus.where(~F.col("text").rlike(CUES)).select(F.lit(UNKNOWN).alias("family"), "text", F.lit(0).alias("n"), F.slice(words(F.col("text")), 1, 60).alias("tokens"))
+    texts = lines.select("text").distinct()
+    order = (F.xxhash64("text"), "text")
+    # no line of a common bigram with a template is called unknown
+    own = F.array_distinct(bigrams(F.col("tokens")))
+    known = F.array(*map(F.lit, sorted({f"{x} {y}" for _, t in TEMPLATES for x, y in _pairs_of(t)})))
+    unlike = lambda df: df.select("text", F.slice(words(F.col("text")), 1, 60).alias("tokens")).where(5 * F.size(F.array_intersect(own, known)) <= F.size(own))
+    plain = texts.where(~F.col("text").rlike(CUES)).orderBy(*order).limit(most_lines)
+    cued = texts.where(F.col("text").rlike(CUES)).orderBy(*order).limit(most_lines // 2)
+    corpus = unlike(plain).union(unlike(cued)).select(F.lit(UNKNOWN).alias("family"), "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), F.lit(0).alias("n"), "tokens")
     rows = _thinned(_table(spark, TEMPLATES + [(UNKNOWN, t) for t in GENERAL]), copies, seed).union(corpus)
-    names = [*FAMILIES, UNKNOWN]
-    label = F.array_position(F.array(*map(F.lit, names)), F.col("family")).cast("double") - 1
-    rows = cut(_hashed(rows.withColumn("label", label)).select("family", "n", "label", "features").repartition(1))
-    seen = (F.col("n") % 4) != 3
-    model = LogisticRegression(maxIter=60, regParam=0.002, family="multinomial").fit(rows.where(seen))
-    unseen = _best(model.transform(rows.where(~seen)))
-    # the worst sure mistake about an unknown sets the threshold; never below a half
-    worst = unseen.where((F.col("family") == UNKNOWN) & (F.col("guess") != UNKNOWN)).agg(F.max("p")).first()[0]
-    return Classifier(model, max(0.5, worst or 0.0))
-
-
-def _best(scored: DataFrame) -> DataFrame:
-    p = vector_to_array("probability")
-    names = F.array(*map(F.lit, [*FAMILIES, UNKNOWN]))
-    top = F.array_max(p)
-    return scored.withColumn("p", top).withColumn("guess", F.element_at(names, F.array_position(p, top).cast("int")))
+    label = F.array_position(_names(), F.col("family")).cast("double") - 1
+    rows = cut(_hashed(rows.withColumn("label", label)).select("family", "fold", "n", "label", "features").repartition(1))
+    learn = LogisticRegression(maxIter=60, regParam=0.002, family="multinomial")
+    unseen = reduce(DataFrame.union, (learn.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k)).select("family", "label", "rawPrediction") for k in range(FOLDS)))
+    unseen = cut(unseen)
+    right = lambda t: F.get(_softmax(t), F.col("label").cast("int"))
+    losses = unseen.agg(*(F.avg(-F.log(F.greatest(right(t), F.lit(1e-12)))).alias(str(k)) for k, t in enumerate(_TEMPERATURES))).first()
+    temperature = _TEMPERATURES[min(range(len(losses)), key=lambda k: losses[k] if losses[k] is not None else 0.0)]
+    best = cut(_best(unseen, temperature).select("p", (F.col("guess") == F.col("family")).cast("int").alias("right"), (F.col("family") != UNKNOWN).cast("int").alias("notice"), (F.col("guess") != UNKNOWN).alias("named")))
+    tenths = best.groupBy(F.floor(F.col("p") * 10).alias("t")).agg(F.avg("p").alias("p"), F.avg("right").alias("right"), F.count("*").alias("n")).orderBy("t").collect()
+    limits = [0.5 + 0.05 * k for k in range(10)]
+    shares = best.where("named").agg(*(F.avg(F.when(F.col("p") >= t, F.col("notice"))).alias(str(k)) for k, t in enumerate(limits))).first()
+    least = next((t for t, share in zip(limits, shares) if share is not None and share >= 0.95), limits[-1])
+    return Classifier(learn.fit(rows), temperature, least, [(r.p, r.right, r.n) for r in tenths])
+
+
+def _softmax(temperature: float) -> Column:
+    raw = F.transform(vector_to_array("rawPrediction"), lambda x: x / F.lit(temperature))
+    e = F.transform(raw, lambda x: F.exp(x - F.array_max(raw)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+
+
+def _best(scored: DataFrame, temperature: float) -> DataFrame:
+    scored = scored.withColumn("probability", _softmax(temperature))
+    top = F.array_max("probability")
+    return scored.withColumn("p", top).withColumn("guess", F.element_at(_names(), F.array_position("probability", top).cast("int")))
 
 
 def classify(paragraphs: DataFrame, classifier: Classifier, confirm: float = 0.5) -> DataFrame:
     """``paragraphs`` (tokens and more) with family ("unknown" if unsure or unconfirmed), p match (the best template's share of common bigrams) and common (the most common bigrams with one)."""
     spark = paragraphs.sparkSession
-    scored = _best(classifier.model.transform(_hashed(paragraphs))).drop("features", "rawPrediction", "probability", "prediction")
+    scored = _best(classifier.model.transform(_hashed(paragraphs)), classifier.temperature).drop("features", "rawPrediction", "probability", "prediction")
     templates = _table(spark, TEMPLATES).groupBy("family").agg(F.collect_list(F.array_distinct(bigrams(words(F.col("text"))))).alias("__templates"))
     scored = scored.join(F.broadcast(templates.withColumnRenamed("family", "guess")), "guess", "left")
     own = F.array_distinct(bigrams(F.col("tokens")))
@@ -216,7 +254,7 @@ def classify(paragraphs: DataFrame, classifier: Classifier, confirm: float = 0.5
 def scan(docs: DataFrame, classifier: Classifier | None = None, confirm: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_candidates (lines with a cue), n_licences (those given a family), families (sorted, comma-joined), findings (line:family, lines counted from 1, comma-joined) of every row.
 
-    A line takes the surest of its three readings: alone, with the next line, with the next two. Null texts have no line. Rows are told apart by hashes of id and text, so repeated rows get equal results and rows of one id their own. Without a classifier, one is trained here.
+    A line takes the surest of its three readings: alone, with the next line, with the next two. Null texts have no line. Rows are told apart by hashes of id and text, so repeated rows get equal results and rows of one id their own; of readings that are equally sure the greatest family by name counts. Only candidate lines are classified; a very long line costs its words, linearly. Without a classifier, one is trained here.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     if classifier is None:

@@ -86,7 +86,7 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 def with_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with the counts of its texts as further columns; a null text has none of anything.
 
-    A window is five consecutive words of a text. Empty lines, and lines without a word, never count as repeated. Columns that are there already under these names are replaced.
+    A window is five consecutive words of a text. Empty lines, and lines without a word, never count as repeated. Columns that are there already under these names are replaced. A very long text takes time and memory about linear in its length, some 40 bytes a word.
     """
     names = [prefix + c for c in (*COUNTS, *MORE)]
     docs = docs.drop(*names)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .cut import cut, shared_folder
+from .cut import cut, remove, shared_folder
 
 GROUP = ("source", "lang", "tokenizer")
 #: Fixed value: the pattern by which these byte-level vocabularies split a text before merging.
@@ -230,14 +230,16 @@ class Rollup:
 
 
 def maintained(docs: DataFrame, withdrawn: DataFrame, tokenizers: list[Tokenizer], folder: str) -> DataFrame:
-    """Totals after four batches: all documents by estimate, exact counts for estimates, withdrawn documents (doc_id) off, and the second and third sent once more."""
+    """Totals after four batches: all documents by estimate, exact counts for estimates, withdrawn documents (doc_id) off, and the second and third sent once more. The folder goes in the end."""
     counts = cut(count(docs, tokenizers))
     gone = counts.join(withdrawn.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
     rollup = Rollup(docs.sparkSession, folder)
     for batch, changes in [("load", inserts(counts, "estimate")), ("exact", revisions(counts, "estimate")), ("withdraw", deletes(gone)), ("exact", revisions(counts, "estimate")), ("withdraw", deletes(gone))]:
         rollup.commit(batch, changes)
     rollup.compact()
-    return rollup.totals()
+    totals = cut(rollup.totals())
+    remove(docs.sparkSession, folder)
+    return totals
 
 
 def query(spark: SparkSession, sf_dir: str, vocabularies: str = "/opt/tokenizers") -> DataFrame:

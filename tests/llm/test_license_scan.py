@@ -97,3 +97,18 @@ def test_notices_without_licence_words(spark, classifier):
     rows = {r.doc_id: r for r in L.scan(docs, classifier).collect()}
     assert [rows[i].families for i in range(len(forms))] == [f for f, _ in forms]
     assert rows[5].findings.startswith("2:gpl")
+
+
+def test_probabilities_are_calibrated(classifier):
+    """On texts that the scoring model had not seen: what is said with p is right about p of the time, and what is named above the threshold nearly always."""
+    n = sum(k for _, _, k in classifier.reliability)
+    assert n > 500
+    assert sum(abs(p - right) * k for p, right, k in classifier.reliability) / n <= 0.1
+    assert 0.5 <= classifier.least <= 0.95
+
+
+def test_very_long_texts(spark, classifier):
+    notice = "Licensed under the Apache License, Version 2.0."
+    docs = spark.createDataFrame([(1, "word of prose " * 100_000 + "\n" + notice), (2, "\n".join(["plain line here"] * 20_000 + [notice]))], "doc_id int, text string")
+    rows = {r.doc_id: r for r in L.scan(docs, classifier).collect()}
+    assert rows[1].findings == "2:apache" and rows[2].findings == "20001:apache"

@@ -135,3 +135,10 @@ def test_time_of_repeated_lines():
 
     took(1000)
     assert min(took(80_000) for _ in range(3)) < 2.6 * min(took(40_000) for _ in range(3))
+
+
+def test_a_very_long_document(spark):
+    many = [f"line {k} of a very long text" for k in range(60_000)]
+    docs = [(1, "\n".join(many)), (2, "\n".join(["own first line of it", *many, "own last"])), (3, "x " * 300_000 + "\n" + many[7])]
+    got = found(spark, docs)
+    assert got == {2: list(range(1, 60_001)), 3: [1]}

@@ -80,3 +80,26 @@ def test_conflicting_and_null_labels_are_left_out(spark):
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, None), (2, 0), (2, 0), (None, 1), (3, 1)], "doc_id long, quality int").withColumn("text", F.lit("no"))
     assert sorted((r.doc_id, r.label) for r in Q.sample_of(labels, docs, "quality", 10).collect()) == [(2, 0), (3, 1)]
     assert Q.sample_of(labels, docs, "quality", 1).count() == 1
+
+
+def features(text):
+    """All features of a text, by plain Python."""
+    n, chars, symbols, dup, again, _ = brute(text)
+    w = WORD.findall(text or "")
+    of = lambda p: len(re.findall(p, text or ""))
+    lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+    count = {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": again, "n_letters": of("[A-Za-z]"), "n_upper": of("[A-Z]"), "n_bangs": of("!"), "n_digits": of("[0-9]"), "n_bars": of(r"\|"), "n_same_next": sum(a == b for a, b in zip(w, w[1:])), "n_lines": lines}
+    return count, {"n_words": float(n)} | {k: count[a] / max(count[b], 1) for k, (a, b) in Q.RATIOS.items()}
+
+
+def test_verdicts_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = Q.fit(docs, labels)
+    assert rules
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in Q.judge(docs, rules).collect():
+        count, f = features(texts[r.doc_id])
+        assert {c: r[c] for c in count} == count
+        rejected = any(all(f[name] > limit if above else f[name] <= limit for name, above, limit in rule.conditions) for rule in rules)
+        assert r.kept == (not r.base_failed and not rejected)
