@@ -7,7 +7,7 @@ trained on the template texts below, thinned in many ways, against general sente
 lines of the corpus, some of which have cues. Probabilities are calibrated by cross-fitting: each fold
 of templates, sentences and lines is scored by a model that has seen none of its texts; the temperature
 that makes these scores most likely is kept, and the threshold below which a family is unknown is the
-least at which nineteen in twenty of the named readings were notices. A family is reported only if a
+least at which nineteen in twenty of the named and confirmed readings were notices. A family is reported only if a
 template of it shares enough word bigrams with the paragraph.
 """
 
@@ -196,7 +196,7 @@ class Classifier:
     """Of readings that the scoring model had not seen, by tenths: mean probability, share that was right, number."""
 
 
-def fit(lines: DataFrame, most_lines: int = 400, copies: int = 12, seed: int = 5) -> Classifier:
+def fit(lines: DataFrame, most_lines: int = 400, copies: int = 12, seed: int = 5, confirm: float = 0.5) -> Classifier:
     """Train on the fixed texts and at most ``most_lines`` of ``lines`` (text), and half as many with a cue that no template comes near, taken by hash, as further unknowns."""
     spark = lines.sparkSession
     texts = lines.select("text").distinct()
@@ -210,17 +210,17 @@ def fit(lines: DataFrame, most_lines: int = 400, copies: int = 12, seed: int = 5
     corpus = unlike(plain).union(unlike(cued)).select(F.lit(UNKNOWN).alias("family"), "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), F.lit(0).alias("n"), "tokens")
     rows = _thinned(_table(spark, TEMPLATES + [(UNKNOWN, t) for t in GENERAL]), copies, seed).union(corpus)
     label = F.array_position(_names(), F.col("family")).cast("double") - 1
-    rows = cut(_hashed(rows.withColumn("label", label)).select("family", "fold", "n", "label", "features").repartition(1))
+    rows = cut(_hashed(rows.withColumn("label", label)).select("family", "fold", "label", "tokens", "features").repartition(1))
     learn = LogisticRegression(maxIter=60, regParam=0.002, family="multinomial")
-    unseen = reduce(DataFrame.union, (learn.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k)).select("family", "label", "rawPrediction") for k in range(FOLDS)))
+    unseen = reduce(DataFrame.union, (learn.fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k)).select("family", "label", "tokens", "rawPrediction") for k in range(FOLDS)))
     unseen = cut(unseen)
     right = lambda t: F.get(_softmax(t), F.col("label").cast("int"))
     losses = unseen.agg(*(F.avg(-F.log(F.greatest(right(t), F.lit(1e-12)))).alias(str(k)) for k, t in enumerate(_TEMPERATURES))).first()
     temperature = _TEMPERATURES[min(range(len(losses)), key=lambda k: losses[k] if losses[k] is not None else 0.0)]
-    best = cut(_best(unseen, temperature).select("p", (F.col("guess") == F.col("family")).cast("int").alias("right"), (F.col("family") != UNKNOWN).cast("int").alias("notice"), (F.col("guess") != UNKNOWN).alias("named")))
+    best = cut(_matched(_best(unseen, temperature)).select("p", (F.col("guess") == F.col("family")).cast("int").alias("right"), (F.col("family") != UNKNOWN).cast("int").alias("notice"), ((F.col("guess") != UNKNOWN) & (F.col("match") >= confirm)).alias("reported")))
     tenths = best.groupBy(F.floor(F.col("p") * 10).alias("t")).agg(F.avg("p").alias("p"), F.avg("right").alias("right"), F.count("*").alias("n")).orderBy("t").collect()
     limits = [0.5 + 0.05 * k for k in range(10)]
-    shares = best.where("named").agg(*(F.avg(F.when(F.col("p") >= t, F.col("notice"))).alias(str(k)) for k, t in enumerate(limits))).first()
+    shares = best.where("reported").agg(*(F.avg(F.when(F.col("p") >= t, F.col("notice"))).alias(str(k)) for k, t in enumerate(limits))).first()
     least = next((t for t, share in zip(limits, shares) if share is not None and share >= 0.95), limits[-1])
     return Classifier(learn.fit(rows), temperature, least, [(r.p, r.right, r.n) for r in tenths])
 
@@ -239,16 +239,19 @@ def _best(scored: DataFrame, temperature: float) -> DataFrame:
 
 def classify(paragraphs: DataFrame, classifier: Classifier, confirm: float = 0.5) -> DataFrame:
     """``paragraphs`` (tokens and more) with family ("unknown" if unsure or unconfirmed), p match (the best template's share of common bigrams) and common (the most common bigrams with one)."""
-    spark = paragraphs.sparkSession
-    scored = _best(classifier.model.transform(_hashed(paragraphs)), classifier.temperature).drop("features", "rawPrediction", "probability", "prediction")
-    templates = _table(spark, TEMPLATES).groupBy("family").agg(F.collect_list(F.array_distinct(bigrams(words(F.col("text"))))).alias("__templates"))
+    scored = _matched(_best(classifier.model.transform(_hashed(paragraphs)), classifier.temperature).drop("features", "rawPrediction", "probability", "prediction"))
+    sure = (F.col("p") >= classifier.least) & (F.col("match") >= confirm)
+    return scored.withColumn("family", F.when(sure, F.col("guess")).otherwise(UNKNOWN)).drop("guess")
+
+
+def _matched(scored: DataFrame) -> DataFrame:
+    """Adds match and common, of the templates of the guessed family."""
+    templates = _table(scored.sparkSession, TEMPLATES).groupBy("family").agg(F.collect_list(F.array_distinct(bigrams(words(F.col("text"))))).alias("__templates"))
     scored = scored.join(F.broadcast(templates.withColumnRenamed("family", "guess")), "guess", "left")
     own = F.array_distinct(bigrams(F.col("tokens")))
     match = F.array_max(F.transform("__templates", lambda t: F.size(F.array_intersect(own, t)) / F.greatest(F.least(F.size(t), F.size(own)), F.lit(1))))
     common = F.array_max(F.transform("__templates", lambda t: F.size(F.array_intersect(own, t))))
-    scored = scored.withColumn("match", F.coalesce(match, F.lit(0.0))).withColumn("common", F.coalesce(common, F.lit(0)))
-    sure = (F.col("p") >= classifier.least) & (F.col("match") >= confirm)
-    return scored.withColumn("family", F.when(sure, F.col("guess")).otherwise(UNKNOWN)).drop("guess", "__templates")
+    return scored.withColumn("match", F.coalesce(match, F.lit(0.0))).withColumn("common", F.coalesce(common, F.lit(0))).drop("__templates")
 
 
 def scan(docs: DataFrame, classifier: Classifier | None = None, confirm: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
