@@ -64,3 +64,16 @@ def test_no_collision_of_thue_morse_words(n):
     starts, ends, _ = K.spans(data, np.array([0, len(data)]), K.NOT_SPACE)
     x, y, z = K.hashes(data, starts, ends).tolist()
     assert x == z != y
+
+
+def test_hashes_do_not_depend_on_what_stands_beside():
+    def of(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, _ = K.spans(data, np.array([0, len(data)]), K.NOT_SPACE)
+        return K.hashes(data, starts, ends).tolist()
+
+    long, longer = "x" * 65_537, "y" * 3_000_000
+    alone = {w: of(w)[0] for w in ("a", "bc", long, longer, "x" * 65_536)}
+    for words in (["a", long, "bc"], [longer, "a", long], ["bc", "x" * 65_536, "a", longer]):
+        assert of(" ".join(words)) == [alone[w] for w in words]
+    assert len(set(alone.values())) == len(alone)
