@@ -148,6 +148,14 @@ def _runs(seqs: DataFrame, kind: str, least: int) -> DataFrame:
     return flat.mapInArrow(run, f"doc {kind}, like bigint, run bigint, lo int, hi int")
 
 
+def _least(rows: DataFrame, count: int, parts: int = 64) -> DataFrame:
+    """The ``count`` least a of each run (run, a). A run that very many hold is first thinned in parts by hash, so that it is not one task."""
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("a")) <= count
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(parts)))
+    thin = rows.withColumn("one", first("run", "part")).where("one")
+    return thin.withColumn("one", first("run")).where("one").select("run", "a")
+
+
 def duplicate_lines(docs: DataFrame, min_block_words: int = 5, rare: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, gone): for each document that loses lines, the sorted numbers of these among its filled lines."""
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
@@ -192,16 +200,17 @@ def duplicate_lines(docs: DataFrame, min_block_words: int = 5, rare: int = 4, do
         return gone
     # holders that align alike are one, the earliest; the first of all is done
     held = runs.join(todo.select("run").distinct(), "run", "left_semi").groupBy("run", "like").agg(F.min("doc").alias("a"))
-    held = cut(held.withColumn("n", F.row_number().over(Window.partitionBy("run").orderBy("a"))).where("n > 1"))
-    low, high = 1, 1 + rare
+    held = cut(held.select("run", "a"))
+    tried, count = held.groupBy("run").agg(F.min("a").alias("tried")), rare
     while True:
-        todo = cut(todo.join(held.where(F.col("n") > low).groupBy("run").agg(F.min("a").alias("next")), "run").where("next < doc").drop("next"))
+        ahead = held.join(tried, "run").where("a > tried").select("run", "a")
+        todo = cut(todo.join(ahead.groupBy("run").agg(F.min("a").alias("next")), "run").where("next < doc").drop("next"))
         if todo.isEmpty():
             return gone
-        some = held.where((F.col("n") > low) & (F.col("n") <= high)).select("run", "a")
+        some = cut(_least(ahead.join(todo.select("run").distinct(), "run", "left_semi"), count))
         pairs = todo.select("doc", "run").distinct().join(some, "run").where("a < doc").select("a", F.col("doc").alias("b"))
         gone = cut(by_doc(gone.select("doc", F.explode("gone").alias("at")).union(aligned(pairs))))
-        todo, low, high = still(todo), high, 4 * high
+        todo, tried, count = still(todo), some.groupBy("run").agg(F.max("a").alias("tried")), 4 * count
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: str = "__", **options) -> DataFrame:
