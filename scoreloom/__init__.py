@@ -1,16 +1,31 @@
-"""Credit-risk scoring analytics as DataFrame-to-DataFrame operators on Spark."""
+"""Credit-risk scoring analytics as DataFrame-to-DataFrame operators on Spark.
 
-from .functions import labels
-from .operators.discrimination import accuracy_ratio, auc, concentration, confusion, histogram, impurity, impurity_reduction, lorenz, lorenz_gini_area, operating_points, roc, trapezoid_gini
-from .operators.evidence import bin_statistics, information_value, iv_ranking, rate_table, with_woe
-from .operators.fit import compare_scores, deviance, fit_summary, gini_difference, gini_interval
-from .operators.independence import chi2_ranking, contingency, crosstab, goodness_of_fit, independence
-from .operators.lift import lift_summary, lift_table
-from .operators.models import apply_scorecard, coefficients, fit_logistic, hashed_split, predict, stratified_split
-from .operators.segments import calinski_harabasz, k_sweep, kmeans, profile
-from .operators.stability import psi, psi_between, psi_ranking, psi_table, shares
-from .operators.transforms import chi_merge, equal_frequency_bins, equal_width_bins, fixed_bins, label_encode, min_max_scale, optimal_bins, quantiles, z_score
-from .plans.flows import build_scorecard, evaluate_features, monitor_stability, project_portfolio
+The operators and flows can be imported from here by name. They are loaded when they are asked for, so
+that Python workers, which import this package for a function of theirs, don't load what they don't use.
+"""
+
+from importlib import import_module
 
 __version__ = "0.2.0"
-__all__ = sorted(name for name in dir() if not name.startswith("_") and name not in ("functions", "operators", "plans", "sources"))
+_PLACES = {
+    "functions": "labels",
+    "operators.discrimination": "accuracy_ratio auc concentration confusion histogram impurity impurity_reduction lorenz lorenz_gini_area operating_points roc trapezoid_gini",
+    "operators.evidence": "bin_statistics information_value iv_ranking rate_table with_woe",
+    "operators.fit": "compare_scores deviance fit_summary gini_difference gini_interval",
+    "operators.independence": "chi2_ranking contingency crosstab goodness_of_fit independence",
+    "operators.lift": "lift_summary lift_table",
+    "operators.models": "apply_scorecard coefficients fit_logistic hashed_split predict stratified_split",
+    "operators.segments": "calinski_harabasz k_sweep kmeans profile",
+    "operators.stability": "psi psi_between psi_ranking psi_table shares",
+    "operators.transforms": "chi_merge equal_frequency_bins equal_width_bins fixed_bins label_encode min_max_scale optimal_bins quantiles z_score",
+    "plans.flows": "build_scorecard evaluate_features monitor_stability project_portfolio",
+}
+_WHERE = {name: place for place, names in _PLACES.items() for name in names.split()}
+__all__ = sorted(_WHERE)
+
+
+def __getattr__(name: str):
+    if name not in _WHERE:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    place = import_module(f".{_WHERE[name]}", __name__)
+    return import_module(".functions.labels", __name__) if name == "labels" else getattr(place, name)
