@@ -73,7 +73,7 @@ def fit_kmeans(df: DataFrame, features: str, models: Sequence[tuple[int, int]],
                 d = _squared(x, c)
                 near = d.argmin(1)
                 total, n, cost = totals[m]
-                np.add.at(total, near, x)
+                total += (near[None] == np.arange(len(c))[:, None]).astype(np.float64) @ x
                 n += np.bincount(near, minlength=len(c))
                 cost += np.bincount(near, d[np.arange(len(x)), near], len(c))
         out = [(m, j, float(t[1][j]), float(t[2][j]), t[0][j].tolist()) for m, t in totals.items() for j in range(len(t[1]))]
