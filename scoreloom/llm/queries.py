@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, secret_scan, token_counts
+from . import decontaminate, license_scan, line_dedup, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, token_counts
 
 QUERIES = {
     "op1_poisson_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_multipart_secrets": secret_scan.query,
     "op9_deobfuscating_pii": pii.query,
     "op10_license_classifier": license_scan.query,
+    "op13_pattern_packing": packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
