@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontaminate, license_scan, line_dedup, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, token_counts
+from . import alignment, decontaminate, hard_negatives, license_scan, line_dedup, mixing, near_dedup, packing, pii, quality_model, quality_rules, secret_scan, token_counts
 
 QUERIES = {
     "op1_poisson_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_multipart_secrets": secret_scan.query,
     "op9_deobfuscating_pii": pii.query,
     "op10_license_classifier": license_scan.query,
+    "op11_vantage_point_negatives": hard_negatives.query,
     "op12_event_sweep_alignment": alignment.query,
     "op13_pattern_packing": packing.query,
 }
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_poisson_mixing": mixing.ORACLE_SQL,
     "op5_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op6_winnowing_decontamination": decontaminate.ORACLE_SQL,
+    "op11_vantage_point_negatives": hard_negatives.ORACLE_SQL,
 }
