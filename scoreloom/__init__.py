@@ -9,13 +9,13 @@ from importlib import import_module
 __version__ = "0.2.0"
 _PLACES = {
     "functions": "labels",
-    "operators.discrimination": "accuracy_ratio auc concentration confusion histogram impurity impurity_reduction lorenz lorenz_gini_area operating_points roc trapezoid_gini",
+    "operators.discrimination": "accuracy_ratio auc concentration confusion coverage histogram impurity impurity_reduction lorenz lorenz_gini_area operating_points roc trapezoid_gini",
     "operators.evidence": "bin_statistics information_value iv_ranking rate_table with_woe",
-    "operators.fit": "compare_scores deviance fit_summary gini_difference gini_interval",
-    "operators.independence": "chi2_ranking contingency crosstab goodness_of_fit independence",
+    "operators.fit": "compare_scores delong delong_compare deviance fit_summary gini_difference gini_interval",
+    "operators.independence": "chi2_ranking contingency counted crosstab goodness_of_fit independence",
     "operators.lift": "lift_summary lift_table",
     "operators.models": "apply_scorecard coefficients fit_logistic hashed_split predict stratified_split",
-    "operators.segments": "calinski_harabasz k_sweep kmeans profile",
+    "operators.segments": "assign calinski_harabasz centre_table fit_kmeans k_sweep kmeans profile",
     "operators.stability": "psi psi_between psi_ranking psi_table shares",
     "operators.transforms": "chi_merge equal_frequency_bins equal_width_bins fixed_bins label_encode min_max_scale optimal_bins quantiles z_score",
     "plans.flows": "build_scorecard evaluate_features monitor_stability project_portfolio",

@@ -2,6 +2,10 @@
 
 A scored table has a binary target ``y``, a numeric ``score`` and a unique ``key`` that breaks ties.
 Metrics that see only the order of distinct scores work on the aggregated score distribution.
+
+One rule for gaps holds in all measures, here, in ``fit`` and in ``lift``: a row without a score (null or
+NaN) or without a target takes no part. Measures of one row a group give the number of such rows as
+n_unscored; ``coverage`` gives it for the others.
 """
 
 from __future__ import annotations
@@ -12,19 +16,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from .once import once
 from .order import attach, running
 
 
+def scored(y: str, score: str) -> Column:
+    """Whether a row takes part: it has a target, and a score that is a number. Never null."""
+    x = F.col(score).cast("double")
+    return F.col(y).isNotNull() & x.isNotNull() & ~F.isnan(F.coalesce(x, F.lit(0.0)))
+
+
+def coverage(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """(by) n, n_unscored and scored_share: how many rows there are, and how many of them take no part."""
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum((~scored(y, score)).cast("long")), F.lit(0)).cast("long").alias("n_unscored"))
+    return out.withColumn("scored_share", 1 - F.col("n_unscored") / F.nullif(F.col("n"), F.lit(0)))
+
+
 def distribution(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
-    """(by, score, pos, neg): the counts of each distinct score."""
-    return df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) == 0).cast("long")).alias("neg"))
+    """(by, score, pos, neg): the counts of each distinct score of the rows that take part."""
+    rows = df.where(scored(y, score))
+    return rows.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) == 0).cast("long")).alias("neg"))
+
+
+def with_unscored(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """``distribution`` with n_unscored; the rows that take no part, if a group has such, are one row without a score or counts."""
+    there = scored(y, score)
+    hit = lambda v: F.sum((there & (F.col(y) == v)).cast("long"))
+    shown = F.when(there, F.col(score).cast("double"))
+    return df.groupBy(*by, shown.alias("score")).agg(F.coalesce(hit(1), F.lit(0)).cast("long").alias("pos"), F.coalesce(hit(0), F.lit(0)).cast("long").alias("neg"), F.sum((~there).cast("long")).alias("n_unscored"))
 
 
 def auc(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
-    """auc, gini (2 auc - 1) and its labels, n_pos, n_neg. Ties count half; a single class has auc 1/2 and gini 0."""
-    dist = running(distribution(df, y, score, by), "score", {"neg_upto": F.col("neg")}, by)
+    """auc, gini (2 auc - 1) and its labels, n_pos, n_neg, n_unscored. Ties count half; a single class has auc 1/2 and gini 0."""
+    dist = running(with_unscored(df, y, score, by), "score", {"neg_upto": F.col("neg")}, by)
     half = F.col("pos") * (F.col("neg_upto") - F.col("neg") / F.lit(2.0))
-    out = dist.groupBy(*by).agg(F.sum(half).alias("__u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    out = dist.groupBy(*by).agg(F.sum(half).alias("__u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.coalesce(F.sum("n_unscored"), F.lit(0)).cast("long").alias("n_unscored"))
     a = F.coalesce(F.col("__u") / F.nullif(F.col("n_pos").cast("double") * F.col("n_neg"), F.lit(0.0)), F.lit(0.5))
     out = out.withColumn("auc", a).withColumn("gini", 2 * F.col("auc") - 1).drop("__u")
     return out.withColumn("gini_label", labels.label(F.col("gini"), labels.GINI)).withColumn("gini_label_short", labels.label(F.col("gini"), labels.GINI_THREE, inclusive=True))
@@ -32,8 +58,8 @@ def auc(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = (
 
 def roc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """threshold, tpr, fpr by descending threshold, from (infinity, 0, 0). Points inside straight lines are left out."""
-    dist = distribution(df, y, score)
-    run = running(dist, "score", {"tp": F.col("pos"), "fp": F.col("neg"), "place": F.lit(1).cast("long")}, descending=True)
+    dist = once(distribution(df, y, score))
+    run = running(dist, "score", {"tp": F.col("pos"), "fp": F.col("neg"), "place": F.lit(1).cast("long")}, descending=True, held=True)
     other = lambda d: run.select((F.col("place") - d).alias("place"), F.col("pos").alias(f"pos{d}"), F.col("neg").alias(f"neg{d}"))
     # steps to a point and from it are the counts at it and at the next; bends have unlike ones
     bend = run.join(other(1), "place", "left")
@@ -54,15 +80,16 @@ def operating_points(points: DataFrame, wanted: Sequence[float] = (0.3, 0.5, 0.7
 
 
 def confusion(df: DataFrame, y: str = "y", score: str = "score", threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
-    """(by, actual, predicted, n): all four cells; predicted is score >= threshold."""
+    """(by, actual, predicted, n): all four cells of the rows that take part; predicted is score >= threshold."""
+    there = scored(y, score)
     hit = (F.col(score) >= threshold).cast("int")
-    cells = [F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), F.sum(((F.col(y) == a) & (hit == p)).cast("long")).alias("n")) for a in (0, 1) for p in (0, 1)]
+    cells = [F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), F.sum((there & (F.col(y) == a) & (hit == p)).cast("long")).alias("n")) for a in (0, 1) for p in (0, 1)]
     return df.groupBy(*by).agg(F.array(*cells).alias("c")).select(*by, F.explode("c").alias("c")).select(*by, "c.actual", "c.predicted", F.coalesce("c.n", F.lit(0)).cast("long").alias("n"))
 
 
 def _ranked(df: DataFrame, y: str, score: str, key: str, descending: bool) -> tuple[DataFrame, DataFrame]:
-    rows = df.select(F.col(score).cast("double").alias("score"), F.col(key).alias("key"), F.col(y).cast("long").alias("y"))
-    ranked = running(rows, "score", {"place": F.lit(1).cast("long"), "cum": F.col("y")}, tie=["key"], descending=descending)
+    rows = once(df.where(scored(y, score)).select(F.col(score).cast("double").alias("score"), F.col(key).alias("key"), F.col(y).cast("long").alias("y")))
+    ranked = running(rows, "score", {"place": F.lit(1).cast("long"), "cum": F.col("y")}, tie=["key"], descending=descending, held=True)
     return ranked, rows.agg(F.count("*").alias("n"), F.sum("y").alias("P"))
 
 

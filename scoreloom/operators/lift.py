@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .discrimination import scored
+from .once import once
 from .order import attach, running
 
 
@@ -12,11 +14,11 @@ def lift_table(df: DataFrame, y: str = "y", score: str = "score", key: str = "ke
     """decile (1 is highest score), count, events, event_rate, lift and the cumulative ones.
 
     Row i of m, from 0, is in the quantile of its place, ceil(i n / (m - 1)), 1 at least: quantiles of row
-    numbers, not the even split of ntile. With fewer rows than quantiles some are missing.
+    numbers, not the even split of ntile. With fewer rows than quantiles some are missing. Rows without a score or target take no part.
     """
     flag = F.col(y).cast("long")
-    rows = df.select(F.col(score).cast("double").alias("score"), F.col(key).alias("key"), (1 - flag if of_non_events else flag).alias("y"))
-    ranked = attach(running(rows, "score", {"place": F.lit(1).cast("long")}, tie=["key"], descending=True), rows.agg(F.count("*").alias("m")))
+    rows = once(df.where(scored(y, score)).select(F.col(score).cast("double").alias("score"), F.col(key).alias("key"), (1 - flag if of_non_events else flag).alias("y")))
+    ranked = attach(running(rows, "score", {"place": F.lit(1).cast("long")}, tie=["key"], descending=True, held=True), rows.agg(F.count("*").alias("m")))
     i, m = F.col("place") - 1, F.col("m")
     decile = F.when(m <= 1, 1).otherwise(F.greatest(F.floor((i * n + m - 2) / F.greatest(m - 1, F.lit(1))), F.lit(1))).cast("int")
     out = ranked.groupBy(decile.alias("decile")).agg(F.count("*").alias("count"), F.sum("y").alias("events"))

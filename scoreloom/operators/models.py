@@ -23,7 +23,7 @@ def stratified_split(df: DataFrame, target: str, key: str, test_share: float = 0
     """Adds is_test: an exact share of each class, rounded down, of the least hashed keys.
 
     Counts by the first digits of the hash tell which slice of each class the limit falls in; only rows of
-    that slice, one in SLICES, are ordered.
+    that slice, one in SLICES, are ordered. The last row that is taken, one a class, is then compared with every row where it is. ``key`` is unique.
     """
     rows = df.withColumn("__h", hash_digits(15, F.col(key), F.lit(seed))).withColumn("__slice", F.shiftright("__h", 60 - SLICE_BITS))
     counts = rows.groupBy(target, "__slice").agg(F.count("*").alias("__c"))
@@ -33,11 +33,13 @@ def stratified_split(df: DataFrame, target: str, key: str, test_share: float = 0
     limits = limits.where((F.col("__upto") >= F.col("__k")) & (F.col("__upto") - F.col("__c") < F.col("__k")) | (F.col("__k") == 0) & (F.col("__upto") == F.col("__c")))
     limits = limits.select(target, F.col("__slice").alias("__at"), (F.col("__k") - F.col("__upto") + F.col("__c")).alias("__left"))
     rows = attach(rows, limits, [target])
+    # The last row of each class that is taken: a row a class, found among the rows of one slice.
     edge = rows.where(F.col("__slice") == F.col("__at"))
-    placed = F.row_number().over(Window.partitionBy(target, "__slice").orderBy("__h", key))
-    edge = edge.withColumn("is_test", placed <= F.col("__left"))
-    rest = rows.where(F.col("__slice") != F.col("__at")).withColumn("is_test", F.col("__slice") < F.col("__at"))
-    return edge.unionByName(rest).drop("__h", "__slice", "__at", "__left")
+    placed = edge.select(target, "__left", F.struct(F.col("__h"), F.col(key).alias("__key")).alias("__own"), F.row_number().over(Window.partitionBy(target).orderBy("__h", key)).alias("__place"))
+    last = placed.groupBy(target).agg(F.max(F.when(F.col("__place") <= F.col("__left"), F.col("__own"))).alias("__last"))
+    taken = F.coalesce(F.struct(F.col("__h"), F.col(key).alias("__key")) <= F.col("__last"), F.lit(False))
+    rows = attach(rows, last, [target])
+    return rows.withColumn("is_test", (F.col("__slice") < F.col("__at")) | (F.col("__slice") == F.col("__at")) & taken).drop("__h", "__slice", "__at", "__left", "__last")
 
 
 def hashed_split(df: DataFrame, key: str, test_share: float = 0.3, seed: int = 42) -> DataFrame:

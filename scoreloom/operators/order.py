@@ -7,12 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .once import if_small, once
+
 #: Rows of a range, ranges of a table at most (beyond, they hold more rows), and sampled rows a range.
 ROWS_PER_RANGE, MOST_RANGES, SAMPLED = 2_000_000, 1 << 15, 32
 
 
-def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = (), small: bool = False) -> DataFrame:
-    """``df`` with the columns of ``stats``, which has a row for each group, or one row without ``by``. small: stats has MOST_RANGES rows at most."""
+def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = (), small: bool | None = None) -> DataFrame:
+    """``df`` with the columns of ``stats``, which has a row for each group, or one row without ``by``.
+
+    Few groups are broadcast, so that a table isn't dealt out by a key of some values: those of ``small`` statistics (MOST_RANGES rows at
+    most), or, where that isn't said, such as have been counted. Many groups are joined by a shuffle.
+    """
     if not by:
         return df.crossJoin(F.broadcast(stats))
     renamed = stats.select(*(F.col(k).alias(f"__k_{k}") for k in by), *(c for c in stats.columns if c not in by))
@@ -20,14 +26,15 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = (), small: bool
     on = same[0]
     for c in same[1:]:
         on = on & c
-    return df.join(F.broadcast(renamed) if small else renamed, on).drop(*(f"__k_{k}" for k in by))
+    renamed = F.broadcast(renamed) if small else if_small(renamed) if small is None else renamed
+    return df.join(renamed, on).drop(*(f"__k_{k}" for k in by))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), tie: Sequence[str] = (), descending: bool = False, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), tie: Sequence[str] = (), descending: bool = False, rows_per_range: int = ROWS_PER_RANGE, held: bool = False) -> DataFrame:
     """Adds, for each name in ``sums``, the running total of its expression up to and including the row, in each group of ``by``.
 
-    Rows are ordered by ``order`` (a number) and then ``tie``, which should be a key. They are counted
-    first; a table of up to ``rows_per_range`` rows is one window. A larger one is cut into ranges of about
+    Rows are ordered by ``order`` (a number) and then ``tie``, which should be a key. They are evaluated once,
+    to a checkpoint (``held``: ``df`` is one already), and counted there; a table of up to ``rows_per_range`` rows is one window. A larger one is cut into ranges of about
     that many rows of the order (by, order, tie), wherever groups or equal values begin, so that neither a
     large group nor a value that very many rows share is one task. Cuts are places of a sample by hash;
     totals of ranges give each range its offset, and windows run within ranges. Rows that are equal in all
@@ -36,6 +43,7 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str
     key = F.col(order).desc() if descending else F.col(order).asc()
     keys = [key, *(F.col(t).asc() for t in tie)]
     upto = (Window.unboundedPreceding, Window.currentRow)
+    df = df if held else once(df)
     n = df.count()
     if n <= rows_per_range:
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*keys).rowsBetween(*upto)

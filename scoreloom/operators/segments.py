@@ -7,11 +7,16 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .once import once
 from .order import attach
 
+#: Centres from which on distances are left out by bounds.
+MANY_CENTRES = 16
+
 
 def ch_index(bcss: Column, wcss: Column, n: Column, k: Column) -> Column:
     """(bcss / (k - 1)) / (wcss / (n - k)); 1 where wcss is 0, null unless 2 <= k <= n - 1."""
@@ -37,14 +42,62 @@ def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None], 0.0)
 
 
-def _starting_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ on a sample."""
+def nearest(x: np.ndarray, centres: np.ndarray, counted: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row (the first of equals) and the squared distance.
+
+    With many centres most are left out by the triangle inequality: a row's guess is the best of the group of
+    its nearest representative, and a guess that is nearer than half the way from it to any other centre is right. ``counted`` gets the number of
+    distances that were worked out.
+    """
+    k = len(centres)
+    if k < MANY_CENTRES:
+        d = _squared(x, centres)
+        if counted is not None:
+            counted.append(d.size)
+        return d.argmin(1), d[np.arange(len(x)), d.argmin(1)]
+    between = _squared(centres, centres)
+    heads = [0]
+    for _ in range(int(np.sqrt(k)) - 1):  # farthest first
+        heads.append(int(between[heads].min(0).argmax()))
+    group = between[:, heads].argmin(1)
+    head = _squared(x, centres[heads]).argmin(1)
+    near, best = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    work = len(x) * len(heads)
+    for g in range(len(heads)):
+        rows, members = np.flatnonzero(head == g), np.flatnonzero(group == g)
+        if len(rows):
+            d = _squared(x[rows], centres[members])
+            near[rows], best[rows] = members[d.argmin(1)], d.min(1)
+            work += d.size
+    np.fill_diagonal(between, np.inf)
+    # strictly nearer, by more than rounding, so that no other centre is as near
+    open_ = np.flatnonzero(best * (1 + 1e-9) + 1e-12 >= between.min(1)[near] / 4)
+    if len(open_):
+        d = _squared(x[open_], centres)
+        near[open_], best[open_] = d.argmin(1), d.min(1)
+        work += d.size
+    if counted is not None:
+        counted.append(work)
+    return near, best
+
+
+def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, seed: int, steps: int = 25) -> np.ndarray:
+    """k centres of weighted points: k-means++, then some steps of Lloyd's over the points."""
     rng = np.random.default_rng(seed)
-    chosen = [sample[rng.integers(len(sample))]]
+    chosen = [points[rng.choice(len(points), p=weights / weights.sum())]]
     for _ in range(k - 1):
-        far = _squared(sample, np.array(chosen)).min(1)
-        chosen.append(sample[rng.choice(len(sample), p=far / far.sum()) if far.sum() else rng.integers(len(sample))])
-    return np.array(chosen)
+        far = _squared(points, np.array(chosen)).min(1) * weights
+        chosen.append(points[rng.choice(len(points), p=far / far.sum()) if far.sum() else rng.integers(len(points))])
+    centres = np.array(chosen)
+    for _ in range(steps):
+        near, _ = nearest(points, centres)
+        total = np.bincount(near, weights, k)
+        moved = np.stack([np.bincount(near, weights * points[:, j], k) for j in range(points.shape[1])], 1)
+        new = np.where(total[:, None] > 0, moved / np.maximum(total, 1e-300)[:, None], centres)
+        if np.array_equal(new, centres):
+            break
+        centres = new
+    return centres
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -52,17 +105,80 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def fit_kmeans(df: DataFrame, features: str, models: Sequence[tuple[int, int]], max_iter: int = 100, tolerance: float = 1e-6, sample: int = 5000) -> list[tuple[np.ndarray, float]]:
-    """Centres and cost of each (k, seed), all fitted side by side: a pass over the rows moves the centres of every model that still moves.
+def _uniform(seed: int, step: int, task: int, rows: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) hashed from a seed and a row's place in a table that is read again as it is."""
+    h = rows.astype(np.uint64) + np.uint64((task << 40) & (2**64 - 1)) + np.uint64((seed * 0x9E3779B97F4A7C15 + step * 0xD1B54A32D192ED03) % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
 
-    Starts are drawn by k-means++ from the ``sample`` rows of least hash, a bound on what the driver holds. Each
-    task adds up its rows; a row a model, centre and dimension comes back. Rows without features take no part.
+def seeding(rows: DataFrame, seeds: Sequence[int], k: int, rounds: int = 5) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Candidates and their weights for each seed, by oversampling over all rows (k-means||), for up to k centres.
+
+    A first row is drawn evenly; each round then draws 2 k more, without replacement and with a chance by their squared distance to the
+    candidates so far: those of the least -ln(u) / d^2, of which a task puts out 2 k at most. A last pass counts the rows nearest to
+    each candidate. ``rows`` (x) is read again in each round and has to be written or checkpointed. All seeds share the passes.
     """
-    rows = df.select(F.col(features).cast("array<double>").alias("x")).where("x IS NOT NULL")
-    first = np.array([r.x for r in rows.orderBy(F.xxhash64("x"), "x").limit(sample).collect()])
-    if not len(first):
+    found: dict[int, np.ndarray] = {}
+
+    def drawn(batches: Iterator[pa.RecordBatch], step: int, held: dict[int, np.ndarray], many: int) -> Iterator[pa.RecordBatch]:
+        task, at, best = TaskContext.get().partitionId(), 0, {s: [] for s in seeds}
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            place = np.arange(at, at + len(x))
+            at += len(x)
+            for s in seeds if len(x) else ():
+                d = nearest(x, held[s])[1] if s in held else np.ones(len(x))
+                with np.errstate(divide="ignore"):
+                    key = np.where(d > 0, -np.log(_uniform(s, step, task, place)) / d, np.inf)
+                order = np.argsort(key, kind="stable")
+                order = order[np.isfinite(key[order])]
+                # copies of a row are one candidate; they share a projection
+                _, first = np.unique(x[order] @ _uniform(s, -1, 0, np.arange(x.shape[1])), return_index=True)
+                best[s] = sorted([*best[s], *((float(key[i]), x[i].tolist()) for i in order[np.sort(first)][:many])])[:many]
+        out = [(s, *e) for s in seeds for e in best[s]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.list_(pa.float64())))], names=["seed", "key", "x"])
+
+    for step in range(rounds + 1):
+        many = 1 if step == 0 else 2 * k
+        every = rows.mapInArrow(lambda b, step=step, held=dict(found), many=many: drawn(b, step, held, many), "seed bigint, key double, x array<double>")
+        every = every.groupBy("seed", "x").agg(F.min("key").alias("key"))
+        place = F.row_number().over(Window.partitionBy("seed").orderBy("key", "x"))
+        for r in every.withColumn("place", place).where(F.col("place") <= many).orderBy("seed", "place").collect():
+            point = np.array([r.x])
+            found[r.seed] = np.concatenate([found[r.seed], point]) if r.seed in found else point
+    if not found:
         raise ValueError("no rows to cluster")
-    found = [(_starting_centres(first, k, seed), np.inf) for k, seed in models]
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = {s: np.zeros(len(c)) for s, c in found.items()}
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            for s, c in found.items() if len(x) else ():
+                n[s] += np.bincount(nearest(x, c)[0], minlength=len(c))
+        out = [(s, j, v) for s in n for j, v in enumerate(n[s].tolist()) if v]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.float64()))], names=["seed", "j", "n"])
+
+    weights = {s: np.zeros(len(c)) for s, c in found.items()}
+    for r in rows.mapInArrow(weighed, "seed bigint, j int, n double").groupBy("seed", "j").agg(F.sum("n").alias("n")).collect():
+        weights[r.seed][r.j] = r.n
+    return {s: (c, weights[s]) for s, c in found.items()}
+
+
+def fit_kmeans(df: DataFrame, features: str, models: Sequence[tuple[int, int]], max_iter: int = 100, tolerance: float = 1e-6, rounds: int = 5, starts: Sequence[np.ndarray] | None = None) -> list[tuple[np.ndarray, float]]:
+    """Centres and cost of each (k, seed), all fitted side by side: a pass over the rows moves the centres of every model that still moves.
+
+    Starts come from ``seeding`` over all rows, or are given (``starts``, an array of centres a model). The rows are evaluated once, to a checkpoint
+    that every pass reads. Each task adds up its rows; a row a model, centre and dimension comes back. Rows without features take no part.
+    """
+    rows = once(df.select(F.col(features).cast("array<double>").alias("x")).where("x IS NOT NULL"))
+    if starts is None:
+        candidates = seeding(rows, sorted({s for _, s in models}), max(k for k, _ in models), rounds)
+        starts = [_plus_plus(*candidates[s], k, s) for k, s in models]
+    found = [(np.array(c, np.float64), np.inf) for c in starts]
     moving = list(range(len(models)))
 
     def sums(batches: Iterator[pa.RecordBatch], here: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -70,12 +186,11 @@ def fit_kmeans(df: DataFrame, features: str, models: Sequence[tuple[int, int]],
         for batch in batches:
             x = _matrix(batch.column(0))
             for m, c in here if len(x) else ():
-                d = _squared(x, c)
-                near = d.argmin(1)
+                near, d = nearest(x, c)
                 total, n, cost = totals[m]
                 total += (near[None] == np.arange(len(c))[:, None]).astype(np.float64) @ x
                 n += np.bincount(near, minlength=len(c))
-                cost += np.bincount(near, d[np.arange(len(x)), near], len(c))
+                cost += np.bincount(near, d, len(c))
         out = [(m, j, float(t[1][j]), float(t[2][j]), t[0][j].tolist()) for m, t in totals.items() for j in range(len(t[1]))]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())))], names=["m", "j", "n", "cost", "total"])
 
@@ -102,19 +217,32 @@ def fit_kmeans(df: DataFrame, features: str, models: Sequence[tuple[int, int]],
     return found
 
 
-def kmeans(df: DataFrame, features: str, k: int, seeds: Sequence[int] = (42,), out: str = "cluster") -> DataFrame:
-    """Clusters of the best of several starts, by cost; null where features are."""
-    centres, _ = min(fit_kmeans(df, features, [(k, s) for s in seeds]), key=lambda m: m[1])
+def centre_table(df: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(cluster, centre) of fitted centres, to be kept or looked at."""
+    return df.sparkSession.createDataFrame([(j, c.tolist()) for j, c in enumerate(centres)], "cluster int, centre array<double>")
+
 
-    @F.pandas_udf("int")
-    def nearest(x: pd.Series) -> pd.Series:
+def assign(df: DataFrame, features: str, centres: np.ndarray, out: str = "cluster", squared: str | None = None) -> DataFrame:
+    """``df`` with the nearest centre's number (the first of equals), and its squared distance if ``squared`` names a column; null where features are."""
+    centres = np.array(centres, np.float64)
+
+    @F.pandas_udf("struct<c int, d double>")
+    def of(x: pd.Series) -> pd.DataFrame:
         there = x.notna().to_numpy()
-        near = pd.Series(pd.NA, index=x.index, dtype="Int32")
+        found = pd.DataFrame({"c": pd.array([None] * len(x), "Int32"), "d": pd.array([None] * len(x), "Float64")})
         if there.any():
-            near[there] = _squared(np.array(x[there].tolist(), np.float64), centres).argmin(1)
-        return near
+            near, d = nearest(np.array(x[there].tolist(), np.float64), centres)
+            found.loc[there, "c"], found.loc[there, "d"] = near.astype(np.int32), d
+        return found
+
+    rows = df.withColumn("__near", of(F.col(features).cast("array<double>"))).withColumn(out, F.col("__near.c"))
+    return (rows.withColumn(squared, F.col("__near.d")) if squared else rows).drop("__near")
 
-    return df.withColumn(out, nearest(F.col(features).cast("array<double>")))
+
+def kmeans(df: DataFrame, features: str, k: int, seeds: Sequence[int] = (42,), out: str = "cluster") -> DataFrame:
+    """Clusters of the best of several starts, by cost; null where features are."""
+    centres, _ = min(fit_kmeans(df, features, [(k, s) for s in seeds]), key=lambda m: m[1])
+    return assign(df, features, centres, out)
 
 
 def k_sweep(df: DataFrame, features: str, ks: Sequence[int] = range(2, 8), seeds: Sequence[int] = range(42, 52)) -> DataFrame:

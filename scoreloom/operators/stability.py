@@ -20,13 +20,19 @@ def psi_component(actual: Column, expected: Column) -> Column:
 
 
 def shares(df: DataFrame, bin: str, is_actual: Column, by: Sequence[str] = (), bins: DataFrame | None = None) -> DataFrame:
-    """(by, bin, expected, actual): each period's share of rows by bin, from one aggregation. Bins of either period are there, and those of ``bins`` (bin) if given."""
-    flag = is_actual.cast("long")
+    """(by, bin, expected, actual): each period's share of rows by bin, from one aggregation. Bins of either period are there, and those of ``bins`` (bin) if given.
+
+    Rows with a missing value are a bin of their own, null, where there are such; so shares of a period always add up to 1. A row is of
+    the expected period unless ``is_actual`` is true.
+    """
+    flag = F.coalesce(is_actual, F.lit(False)).cast("long")
     counts = df.groupBy(*by, F.col(bin).alias("bin")).agg(F.sum(1 - flag).alias("__e"), F.sum(flag).alias("__a"))
     totals = counts.groupBy(*by).agg(F.sum("__e").alias("__ne"), F.sum("__a").alias("__na"))
     if bins is not None:
         grid = attach(bins, totals) if not by else totals.crossJoin(F.broadcast(bins))
+        missing = attach(counts.where("bin IS NULL"), totals, by)
         out = grid.join(counts, [*by, "bin"], "left")
+        out = out.unionByName(missing.select(out.columns))
     else:
         out = attach(counts, totals, by)
     part = lambda c, n: F.coalesce(F.col(c), F.lit(0)) / F.nullif(F.col(n), F.lit(0))
@@ -55,8 +61,8 @@ def grid(df: DataFrame, n: int) -> DataFrame:
 
 
 def psi_ranking(df: DataFrame, columns: Sequence[str], is_actual: Column, n: int = 10) -> DataFrame:
-    """variable, psi and label of numeric columns, in bins frozen on the expected rows; greatest first."""
-    df = df.withColumn("__actual", is_actual)
+    """variable, psi and label of numeric columns, in bins frozen on the expected rows and one of missing values; greatest first."""
+    df = df.withColumn("__actual", F.coalesce(is_actual, F.lit(False)))
     edges = frozen_edges(df.where(~F.col("__actual")), columns, n)
     long = unpivot(df, columns, ["__actual"]).join(F.broadcast(edges), "variable")
     binned = long.withColumn("bin", by_edges(F.col("value"), F.col("edges"), n))

@@ -433,12 +433,12 @@ _AUC_COLUMNS = f"round(auc, 6) AS auc, round(2 * auc - 1, 6) AS gini, n_pos, n_n
 
 @query("auc_gini", f"WITH {_TIED}, {_auc_sql()} SELECT {_AUC_COLUMNS} FROM a")
 def _(spark, sf):
-    return rounded(G.auc(tied(spark, sf)), "auc", "gini")
+    return rounded(G.auc(tied(spark, sf)), "auc", "gini").drop("n_unscored")
 
 
 @query("auc_gini_by_group", f"WITH {_TIED}, {_auc_sql('grp')} SELECT grp, {_AUC_COLUMNS} FROM a")
 def _(spark, sf):
-    return rounded(G.auc(tied(spark, sf), by=["grp"]), "auc", "gini")
+    return rounded(G.auc(tied(spark, sf), by=["grp"]), "auc", "gini").drop("n_unscored")
 
 
 _ROC = """
@@ -584,7 +584,7 @@ def _soft(spark, sf):
 
 @query("deviance", f"WITH {_TIED}, {_DEVIANCE} SELECT round(deviance / n, 6) AS deviance, n, events, round(null_deviance / n, 6) AS null_deviance, round(null_deviance_balanced / n, 6) AS null_deviance_balanced FROM f")
 def _(spark, sf):
-    df = V.deviance(tied(spark, sf))
+    df = V.deviance(tied(spark, sf)).drop("n_unscored")
     return rounded(df.withColumns({c: F.col(c) / F.col("n") for c in ("deviance", "null_deviance", "null_deviance_balanced")}), "deviance", "null_deviance", "null_deviance_balanced")
 
 
@@ -1041,3 +1041,6 @@ def _(spark, sf):
 @query("formatted_report", "SELECT c_mktsegment, printf('%.2f', avg(c_acctbal)) AS mean, printf('%d', count(*)) AS n FROM customer GROUP BY 1")
 def _(spark, sf):
     return R.formatted(table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("mean"), F.count("*").alias("n")), {"mean": "%.2f", "n": "%d"})
+
+
+from . import extended as extended  # noqa: E402  its queries join these

@@ -34,6 +34,9 @@ def monitor_stability(df: DataFrame, columns: Sequence[str], is_actual: Column,
 def build_scorecard(df: DataFrame, key: str, target: str, numeric: Sequence[str], categorical: Sequence[str] = (), challenger: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Split, scale, encode, fit and score, then every measure of the scored test rows (key, y, score, challenger).
 
+    Rows that a missing number leaves without a score take no part in the measures; ``coverage`` counts them. The models are compared with
+    the correlation of their scores.
+
     The scored table is what all measures read; write or cache it if they are all wanted. The challenger is an unweighted model of some of the numbers, the first by default.
     """
     split = models.stratified_split(df, target, key)
@@ -45,6 +48,7 @@ def build_scorecard(df: DataFrame, key: str, target: str, numeric: Sequence[str]
     table = lift.lift_table(scored)
     return {
         "scored": scored,
+        "coverage": discrimination.coverage(scored),
         "coefficients": models.coefficients(model, df),
         "gini": fit.gini_interval(scored),
         "roc": discrimination.roc(scored),
@@ -53,7 +57,7 @@ def build_scorecard(df: DataFrame, key: str, target: str, numeric: Sequence[str]
         "lift": table,
         "lift_summary": lift.lift_summary(table),
         "fit": fit.fit_summary(deviance, len(numeric) + len(categorical) + 1),
-        "challenger": fit.compare_scores(scored, "score", "challenger"),
+        "challenger": fit.delong_compare(scored, "score", "challenger"),
     }
 
 
