@@ -196,15 +196,18 @@ class Classifier:
     """Of readings that the scoring model had not seen, by tenths: mean probability, share that was right, number."""
 
 
-def fit(lines: DataFrame, most_lines: int = 400, copies: int = 12, seed: int = 5, confirm: float = 0.5) -> Classifier:
-    """Train on the fixed texts and at most ``most_lines`` of ``lines`` (text), and half as many with a cue that no template comes near, taken by hash, as further unknowns."""
+def fit(lines: DataFrame, most_lines: int = 400, copies: int = 12, seed: int = 5, confirm: float = 0.5, most_words: int = 60) -> Classifier:
+    """Train on the fixed texts and at most ``most_lines`` of ``lines`` (text), and half as many with a cue that no template comes near, taken by hash, as further unknowns.
+
+    Of a line among these unknowns the first ``most_words`` words are learned from: about the length of the longest template, so that length doesn't tell them apart. What is classified is never cut.
+    """
     spark = lines.sparkSession
     texts = lines.select("text").distinct()
     order = (F.xxhash64("text"), "text")
     # no line of a common bigram with a template is called unknown
     own = F.array_distinct(bigrams(F.col("tokens")))
     known = F.array(*map(F.lit, sorted({f"{x} {y}" for _, t in TEMPLATES for x, y in _pairs_of(t)})))
-    unlike = lambda df: df.select("text", F.slice(words(F.col("text")), 1, 60).alias("tokens")).where(5 * F.size(F.array_intersect(own, known)) <= F.size(own))
+    unlike = lambda df: df.select("text", F.slice(words(F.col("text")), 1, most_words).alias("tokens")).where(5 * F.size(F.array_intersect(own, known)) <= F.size(own))
     plain = texts.where(~F.col("text").rlike(CUES)).orderBy(*order).limit(most_lines)
     cued = texts.where(F.col("text").rlike(CUES)).orderBy(*order).limit(most_lines // 2)
     corpus = unlike(plain).union(unlike(cued)).select(F.lit(UNKNOWN).alias("family"), "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), F.lit(0).alias("n"), "tokens")
@@ -254,24 +257,24 @@ def _matched(scored: DataFrame) -> DataFrame:
     return scored.withColumn("match", F.coalesce(match, F.lit(0.0))).withColumn("common", F.coalesce(common, F.lit(0))).drop("__templates")
 
 
-def scan(docs: DataFrame, classifier: Classifier | None = None, confirm: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, classifier: Classifier | None = None, confirm: float = 0.5, doc_id: str = "doc_id", text: str = "text", train_docs: int = 200) -> DataFrame:
     """doc_id, n_candidates (lines with a cue), n_licences (those given a family), families (sorted, comma-joined), findings (line:family, lines counted from 1, comma-joined) of every row.
 
-    A line takes the surest of its three readings: alone, with the next line, with the next two. Null texts have no line. Rows are told apart by hashes of id and text, so repeated rows get equal results and rows of one id their own; of readings that are equally sure the greatest family by name counts. Only candidate lines are classified; a very long line costs its words, linearly. Without a classifier, one is trained here.
+    A line takes the surest of its three readings: alone, with the next line, with the next two. Null texts have no line. Rows are told apart by hashes of id and text, so repeated rows get equal results and rows of one id their own; of readings that are equally sure the greatest family by name counts. Only candidate lines are classified; a text costs time in proportion to its words and lines. Without a classifier, one is trained here, with lines of ``train_docs`` documents as unknowns.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     if classifier is None:
         # lines of the documents of the least hashed ids: the bound on what training sees
-        some = base.orderBy(F.xxhash64("doc_id"), "doc_id").limit(200)
+        some = base.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
         classifier = fit(some.select(F.explode(F.split("t", "\n")).alias("text")).where("length(text) > 20"))
     lines = F.split(F.col("t"), "\n")
+    # Each line with the next two and its number, paired once for a text and not line by line.
+    n = F.size(lines)
+    rows = F.arrays_zip(lines, F.slice(lines, F.lit(2), n), F.slice(lines, F.lit(3), n), F.sequence(F.lit(1), n))
     # a cue may end in the line after the one it begins in
-    more = lambda i: F.regexp_extract(F.concat_ws(" ", F.slice(lines, i + 2, 2)), r"^[^\p{L}\p{N}]*[\p{L}\p{N}]+", 0)
-    found = F.filter(
-        F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.rlike(CUES).alias("own"), F.concat_ws(" ", x, more(i)).alias("begin"), x.alias("text"), F.concat_ws(" ", F.slice(lines, i + 1, 2)).alias("two"), F.concat_ws(" ", F.slice(lines, i + 1, 3)).alias("wide"))),
-        lambda x: x["own"] | x["begin"].rlike(CUES),
-    )
-    found = F.transform(found, lambda x: x.dropFields("begin"))
+    more = lambda x: F.regexp_extract(F.concat_ws(" ", x["1"], x["2"]), r"^[^\p{L}\p{N}]*[\p{L}\p{N}]+", 0)
+    found = F.filter(rows, lambda x: x["0"].rlike(CUES) | F.concat_ws(" ", x["0"], more(x)).rlike(CUES))
+    found = F.transform(found, lambda x: F.struct(x["3"].alias("line"), x["0"].rlike(CUES).alias("own"), x["0"].alias("text"), F.concat_ws(" ", x["0"], x["1"]).alias("two"), F.concat_ws(" ", x["0"], x["1"], x["2"]).alias("wide")))
     none = F.array().cast("array<struct<line:int,own:boolean,text:string,two:string,wide:string>>")
     found = cut(base.select("doc_id", F.xxhash64("doc_id", "t").alias("h1"), F.hash("t", "doc_id").alias("h2"), F.when(F.col("t").rlike(CUES), found).otherwise(none).alias("found")))
     each = found.where(F.size("found") > 0).dropDuplicates(["h1", "h2"]).select("h1", "h2", F.explode("found").alias("x"))

@@ -112,3 +112,24 @@ def test_very_long_texts(spark, classifier):
     docs = spark.createDataFrame([(1, "word of prose " * 100_000 + "\n" + notice), (2, "\n".join(["plain line here"] * 20_000 + [notice]))], "doc_id int, text string")
     rows = {r.doc_id: r for r in L.scan(docs, classifier).collect()}
     assert rows[1].findings == "2:apache" and rows[2].findings == "20001:apache"
+
+
+def test_cost_is_linear_in_lines(spark, classifier):
+    """8,000 and 16,000 lines, each text with one notice, at a ratio of at most 2.6; 100,000 lines within a minute."""
+    import time
+
+    notice = "Licensed under the Apache License, Version 2.0."
+
+    def took(n):
+        docs = spark.createDataFrame([(1, "\n".join(["plain line here"] * n + [notice]))], "doc_id int, text string")
+        least = float("inf")
+        for _ in range(3 if n < 50_000 else 1):
+            began = time.perf_counter()
+            rows = L.scan(docs, classifier).collect()
+            least = min(least, time.perf_counter() - began)
+            assert rows[0].findings == f"{n + 1}:apache"
+        return least
+
+    took(1000)
+    assert took(16_000) <= 2.6 * took(8_000)
+    assert took(100_000) < 60
