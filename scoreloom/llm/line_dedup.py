@@ -29,6 +29,10 @@ from . import kernels as K
 from .cut import cut, unused
 
 
+#: Partners of an earlier document that are aligned in one group.
+GROUP = 256
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places (i, j) with a[i] == b[j], increasing in both."""
     out: list[tuple[int, int]] = []
@@ -172,19 +176,32 @@ def duplicate_lines(docs: DataFrame, min_block_words: int = 5, rare: int = 4, do
     often = runs.where(F.col("held") > rare).where("doc > first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
     few = runs.where(F.col("held") <= rare).groupBy("run").agg(F.collect_set("doc").alias("docs"))
     few = few.select(F.explode("docs").alias("b"), "docs").select("b", F.explode("docs").alias("a")).where("a < b").select("a", "b")
-    side = lambda x: seqs.select(F.col("doc").alias(x), F.col("s").alias(f"s{x}"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Streams groups: first the lines of the earlier document, then those of its partners."""
+        group = lines_of = None
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                aa, ah, ba, bh, bw = (c.to_pylist() for c in part.columns[1:])
-                gone = [common_blocks(h, x, g, y, w, min_block_words) for x, h, y, g, w in zip(aa, ah, ba, bh, bw)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "gone"])
+            docs, out = [], []
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            for k, (earlier, part, later) in enumerate(keys):
+                at, hashes, words = (batch.column(c)[k].as_py() for c in (3, 4, 5))
+                if later is None:
+                    group, lines_of = (earlier, part), (hashes, at)
+                elif group == (earlier, part):
+                    docs.append(k)
+                    out.append(common_blocks(*lines_of, hashes, at, words, min_block_words))
+            if docs:
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(docs)), pa.array(out, pa.list_(pa.int32()))], names=["doc", "gone"])
 
     def aligned(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(side("b"), "b").join(side("a"), "a").select("b", F.col("sa.at").alias("aa"), F.col("sa.hash").alias("ah"), F.col("sb.at").alias("ba"), F.col("sb.hash").alias("bh"), F.col("sb.words").alias("bw"))
-        return both.mapInArrow(align, f"doc {kind}, gone array<int>").select("doc", F.explode("gone").alias("at"))
+        """(doc, at): lines that pairs (a, b) take from b. An earlier document's lines go once to each group of ``GROUP`` partners or so, however many it has."""
+        pairs = cut(pairs.distinct())
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("parts"))
+        dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+        own = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(seqs, F.col("a") == F.col("doc")).select("a", "part", F.lit(None).cast(kind).alias("b"), "s")
+        both = own.unionByName(dealt.join(seqs, F.col("b") == F.col("doc")).select("a", "part", "b", "s"))
+        both = both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        return both.select("a", "part", "b", "s.at", "s.hash", "s.words").mapInArrow(align, f"doc {kind}, gone array<int>").select("doc", F.explode("gone").alias("at"))
 
     def by_doc(gone: DataFrame) -> DataFrame:
         return gone.distinct().groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("gone"))

@@ -142,3 +142,17 @@ def test_a_very_long_document(spark):
     docs = [(1, "\n".join(many)), (2, "\n".join(["own first line of it", *many, "own last"])), (3, "x " * 300_000 + "\n" + many[7])]
     got = found(spark, docs)
     assert got == {2: list(range(1, 60_001)), 3: [1]}
+
+
+def test_partners_of_one_document_in_groups(spark, monkeypatch):
+    """A footer held by very many documents: groups of a few partners, of which each gets the earlier lines once, give the same."""
+    footer = "this footer stands below every page of the site"
+    docs = [(d, f"own words of page {d} stand here\n{footer}") for d in range(300)]
+    want = {d: [1] for d in range(1, 300)}
+    assert found(spark, docs) == want
+    monkeypatch.setattr(L, "GROUP", 7)
+    assert found(spark, docs) == want
+    rng = random.Random(8)
+    pool = [" ".join(f"w{i}x{j}" for j in range(6)) for i in range(7)]
+    docs = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randrange(2, 9)))) for d in range(60)]
+    assert found(spark, docs) == all_pairs(docs)
