@@ -9,6 +9,7 @@ from importlib import import_module
 __version__ = "0.2.0"
 _PLACES = {
     "functions": "labels",
+    "operators.binning": "best_splits chi_merge_rounds distinct_counts merged_sketches optimal_binning sketch_edges sketch_quantiles",
     "operators.discrimination": "accuracy_ratio auc concentration confusion coverage histogram impurity impurity_reduction lorenz lorenz_gini_area operating_points roc trapezoid_gini",
     "operators.evidence": "bin_statistics information_value iv_ranking rate_table with_woe",
     "operators.fit": "compare_scores delong delong_compare deviance fit_summary gini_difference gini_interval",

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evidence import unpivot
 from .once import once
 from .order import attach, running
+from .transforms import chi_merge
 
 FLOOR = 1e-4
 #: Fine bins of a variable, and those of one whose weights of evidence have to be monotone; beyond, it is an error.
@@ -163,8 +164,6 @@ def best_splits(df: DataFrame, columns: Sequence[str], classes: str, most_classe
     cuts = whole.where("__n_l < __n_t").select("variable", "value", F.col("__n_l").alias("n_left"), (F.col("__n_t") - F.col("__n_l")).alias("n_right"), parent.alias("impurity"), F.round(parent - children, 12).alias("reduction"))
     best = cuts.groupBy("variable").agg(F.max_by(F.struct("value", "n_left", "n_right", "impurity", "reduction"), F.struct("reduction", -F.col("value"))).alias("b"))
     rows = best.select("variable", F.col("b.value").alias("threshold"), "b.n_left", "b.n_right", "b.impurity", "b.reduction")
-    from pyspark.sql import Window
-
     # a row a column
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("reduction"), "variable")))
 
@@ -190,3 +189,47 @@ def sketch_edges(sketches: DataFrame, n: int, by: Sequence[str] = ()) -> DataFra
     """(by, edges): n + 1 quantiles, each within ``rank_error(k)`` of its rank; to be used as other frozen edges are."""
     shares = F.array(*(F.lit(i / n) for i in range(n + 1)))
     return sketches.select(*by, F.kll_sketch_get_quantile_double("sketch", shares).alias("edges"))
+
+
+def _chi2(g1: Column, b1: Column, g2: Column, b2: Column) -> Column:
+    """The statistic of two neighbours' two-by-two table; 0 where a class is missing from both."""
+    det = g1 * b2 - b1 * g2
+    n = g1 + b1 + g2 + b2
+    return F.coalesce(n * det * det / F.nullif((g1 + b1) * (g2 + b2) * (g1 + g2) * (b1 + b2), F.lit(0.0)), F.lit(0.0))
+
+
+def chi_merge_rounds(stats: DataFrame, most_bins: int = 5, p_value: float = 0.05, last: int = 1000, block: int = 100_000) -> DataFrame:
+    """(bin, merged_bin) for any number of fine bins (bin, goods, bads), such as the distinct values of a column.
+
+    While more than ``last`` bins are left, a round merges every pair of neighbours that differs less than both pairs beside it, all at once; equal
+    differences are ordered by a hash of the place, so about a third of the bins goes in a round wherever they tie. Bins have consecutive
+    places, so a block of places, with two more on either side, is all that a task needs. The remaining bins are merged one pair
+    at a time (``transforms.chi_merge``), and so is a table that has no more from the start: then the result is that of the plain loop. Otherwise a
+    pair is merged when it is least nearby rather than least of all, which is a choice of order; tests hold the rounds against plain Python.
+    A null bin is left out.
+    """
+    spark = stats.sparkSession
+    fine = once(stats.where("bin IS NOT NULL").select(F.col("bin").alias("lo"), F.col("goods").cast("double").alias("g"), F.col("bads").cast("double").alias("b")))
+    state = once(running(fine, "lo", {"p": F.lit(1).cast("long")}, held=True).withColumn("p", F.col("p") - 1))
+    n = state.count()
+    while n > last:
+        own = F.expr(f"p div {block}")
+        places = F.array_distinct(F.array(own, F.expr(f"(p - 2) div {block}"), F.expr(f"(p + 2) div {block}")))
+        rows = state.select("*", F.explode(places).alias("blk")).where((F.col("blk") >= 0) & (F.col("blk") <= (n - 1) // block))
+        w = Window.partitionBy("blk").orderBy("p")
+        before = lambda c: F.lag(c).over(w)
+        key = F.when(before("p").isNotNull(), F.struct(_chi2(before("g"), before("b"), F.col("g"), F.col("b")).alias("v"), F.xxhash64("p").alias("h")))
+        rows = rows.withColumn("key", key)
+        less = lambda other: other.isNull() | (F.col("key") < other)
+        merge = F.col("key").isNotNull() & less(before("key")) & less(F.lead("key").over(w))
+        rows = once(rows.withColumn("m", merge.cast("long")).where(F.col("blk") == own).select("p", "lo", "g", "b", "m", "blk"))
+        sums = rows.groupBy("blk").agg(F.sum("m").alias("t"))
+        offset = sums.select("blk", F.coalesce(F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+        placed = attach(rows.withColumn("upto", F.sum("m").over(w)), offset, ["blk"])
+        state = once(placed.groupBy((F.col("p") - F.col("upto") - F.col("offset")).alias("p")).agg(F.min("lo").alias("lo"), F.sum("g").alias("g"), F.sum("b").alias("b")))
+        n = state.count()
+    merged = chi_merge(state.select(F.col("p").cast("int").alias("bin"), F.col("g").alias("goods"), F.col("b").alias("bads")), most_bins, p_value)
+    first = state.join(F.broadcast(merged.select(F.col("merged_bin").cast("long").alias("p")).distinct()), "p")
+    lows = first.agg(F.sort_array(F.collect_list("lo")).alias("__lows"))
+    # a handful of bins are left, at most ``last``
+    return attach(stats.where("bin IS NOT NULL").select("bin"), lows).select("bin", F.array_max(F.filter("__lows", lambda x: x <= F.col("bin"))).alias("merged_bin"))

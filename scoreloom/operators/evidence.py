@@ -78,10 +78,23 @@ def frozen_edges(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
 
 
 def binned_columns(df: DataFrame, columns: Sequence[str], target: str, n: int) -> DataFrame:
-    """(__y, variable, bin): equal-frequency bins of each column. Columns are binned side by side, so that rows unpivot as small numbers."""
-    edges = frozen_edges(df, columns, n).agg(F.map_from_entries(F.collect_list(F.struct("variable", "edges"))).alias("__edges"))
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.when(F.col(c).isNotNull(), by_edges(F.col(c).cast("double"), F.col("__edges")[c], n)).alias("bin")) for c in columns)))
-    return attach(df.select(target, *columns), edges).select(F.col(target).alias("__y"), pairs.alias("__p")).select("__y", "__p.*")
+    """(__y, variable, bin): equal-frequency bins of each column. Columns are binned side by side, so that rows unpivot as small numbers.
+
+    The edges, n - 1 numbers a column, are constants of the plan.
+    """
+    edges = {r.variable: r.edges for r in frozen_edges(df, columns, n).collect()}
+
+    def bin_of(c: str) -> Column:
+        x, found = F.col(c).cast("double"), edges.get(c)
+        if not found or found[0] is None:  # a column without values
+            return F.lit(None).cast("int")
+        out = F.lit(0)
+        for k in range(1, n):
+            out = out + (x >= F.lit(found[k])).cast("int")
+        return F.when(x.isNotNull(), out)
+
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), bin_of(c).alias("bin")) for c in columns)))
+    return df.select(F.col(target).alias("__y"), pairs.alias("__p")).select("__y", "__p.*")
 
 
 def iv_ranking(df: DataFrame, columns: Sequence[str], target: str, n: int = 10) -> DataFrame:

@@ -121,6 +121,42 @@ def arrears_kpis(df: DataFrame, entity: str, state: Column, order: Sequence[str]
         count(F.col("s") == 1).alias("in_arrears"),
         count((F.col("s") == 1) & (F.coalesce(F.col("before"), F.lit(-1)) != 1)).alias("spells"),
     )
+    return kpi_shares(one)
+
+
+def kpi_shares(counts: DataFrame) -> DataFrame:
+    """The rates of ``arrears_kpis`` from its counts."""
     share = lambda a, b: F.col(a) / F.nullif(b, F.lit(0)).cast("double")
     c = F.col
-    return one.select(share("migrated", c("from_current")).alias("migration_rate"), share("cured", c("from_arrears")).alias("cure_rate"), share("defaulted", c("from_current") + c("from_arrears")).alias("default_rate"), share("in_arrears", c("spells")).alias("mean_steps_in_arrears"))
+    return counts.select(share("migrated", c("from_current")).alias("migration_rate"), share("cured", c("from_arrears")).alias("cure_rate"), share("defaulted", c("from_current") + c("from_arrears")).alias("default_rate"), share("in_arrears", c("spells")).alias("mean_steps_in_arrears"))
+
+
+def observed_transitions(df: DataFrame, entity: str, band: Column, state: Column, order: Sequence[str]) -> DataFrame:
+    """(band, from_state, to_state, p) of all nine cells, estimated from consecutive rows of each entity; state 0 current, 1 arrears, 2 default.
+
+    Default absorbs: what follows it isn't counted, and its row is (0, 0, 1). A state that a band is never seen to leave stays as it is. The band of a step
+    is that of its first row. Rows without an entity, band or state are left out.
+    """
+    rows = df.select(F.col(entity).alias("__e"), band.cast("int").alias("band"), state.cast("int").alias("s"), *(F.col(c).alias(f"__o{k}") for k, c in enumerate(order))).dropna(subset=["__e", "band", "s"])
+    w = Window.partitionBy("__e").orderBy(*(f"__o{k}" for k in range(len(order))))
+    steps = rows.select("band", "s", F.lead("s").over(w).alias("t")).groupBy("band", "s", "t").agg(F.count("*").alias("n"))
+    # at most twelve counts a band from here on
+    cell = lambda i, j: F.coalesce(F.sum(F.when((F.col("s") == i) & (F.col("t") == j), F.col("n"))), F.lit(0)).cast("double")
+    counts = steps.groupBy("band").agg(F.array(*(F.array(*(cell(i, j) for j in range(3))) for i in range(2))).alias("__n"))
+    cells = []
+    for i in range(3):
+        for j in range(3):
+            whole = F.aggregate(F.col("__n")[i], F.lit(0.0), lambda a, b: a + b) if i < 2 else None
+            p = F.lit(float(j == 2)) if i == 2 else F.when(whole > 0, F.col("__n")[i][j] / F.nullif(whole, F.lit(0.0))).otherwise(float(i == j))
+            cells.append(F.struct(F.lit(i).alias("from_state"), F.lit(j).alias("to_state"), p.alias("p")))
+    return counts.select("band", F.explode(F.array(*cells)).alias("x")).select("band", "x.*")
+
+
+def observed_start(df: DataFrame, entity: str, band: Column, state: Column, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The portfolio as it stands: (band, state, p), the shares of the entities' latest states, and (band, clients). The band is that of an entity's latest row."""
+    rows = df.select(F.col(entity).alias("__e"), F.struct(band.cast("int").alias("band"), state.cast("int").alias("s")).alias("x"), F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order))).alias("__o"))
+    rows = rows.where("__e IS NOT NULL AND x.band IS NOT NULL AND x.s IS NOT NULL")
+    latest = rows.groupBy("__e").agg(F.max_by("x", "__o").alias("x")).select("x.*")
+    counts = latest.groupBy("band").agg(F.count("*").alias("clients"), *(F.sum((F.col("s") == i).cast("long")).alias(f"s{i}") for i in range(3)))
+    shares = F.explode(F.array(*(F.struct(F.lit(i).alias("state"), (F.col(f"s{i}") / F.col("clients")).alias("p")) for i in range(3))))
+    return counts.select("band", shares.alias("x")).select("band", "x.*"), counts.select("band", "clients")

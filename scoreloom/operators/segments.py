@@ -81,23 +81,28 @@ def nearest(x: np.ndarray, centres: np.ndarray, counted: list | None = None) ->
     return near, best
 
 
-def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, seed: int, steps: int = 25) -> np.ndarray:
-    """k centres of weighted points: k-means++, then some steps of Lloyd's over the points."""
+def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, seed: int, tries: int = 8, steps: int = 25) -> np.ndarray:
+    """k centres of weighted points: k-means++, then some steps of Lloyd's over the points; the best of some tries, as points are few."""
     rng = np.random.default_rng(seed)
-    chosen = [points[rng.choice(len(points), p=weights / weights.sum())]]
-    for _ in range(k - 1):
-        far = _squared(points, np.array(chosen)).min(1) * weights
-        chosen.append(points[rng.choice(len(points), p=far / far.sum()) if far.sum() else rng.integers(len(points))])
-    centres = np.array(chosen)
-    for _ in range(steps):
-        near, _ = nearest(points, centres)
-        total = np.bincount(near, weights, k)
-        moved = np.stack([np.bincount(near, weights * points[:, j], k) for j in range(points.shape[1])], 1)
-        new = np.where(total[:, None] > 0, moved / np.maximum(total, 1e-300)[:, None], centres)
-        if np.array_equal(new, centres):
-            break
-        centres = new
-    return centres
+    best, least = None, np.inf
+    for _ in range(tries):
+        chosen = [points[rng.choice(len(points), p=weights / weights.sum())]]
+        for _ in range(k - 1):
+            far = _squared(points, np.array(chosen)).min(1) * weights
+            chosen.append(points[rng.choice(len(points), p=far / far.sum()) if far.sum() else rng.integers(len(points))])
+        centres = np.array(chosen)
+        for _ in range(steps):
+            near, d = nearest(points, centres)
+            total = np.bincount(near, weights, k)
+            moved = np.stack([np.bincount(near, weights * points[:, j], k) for j in range(points.shape[1])], 1)
+            new = np.where(total[:, None] > 0, moved / np.maximum(total, 1e-300)[:, None], centres)
+            if np.array_equal(new, centres):
+                break
+            centres = new
+        cost = float((nearest(points, centres)[1] * weights).sum())
+        if best is None or cost < least:
+            best, least = centres, cost
+    return best
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -104,3 +104,62 @@ def test_sketches_merge(spark):
     for k, e in enumerate(edges):
         low, high = np.searchsorted(values, e, "left") / len(values), np.searchsorted(values, e, "right") / len(values)
         assert low - B.rank_error(400) <= k / 10 <= high + B.rank_error(400)
+
+
+def chi2(a, b):
+    n, det = sum(a) + sum(b), a[0] * b[1] - a[1] * b[0]
+    under = sum(a) * sum(b) * (a[0] + b[0]) * (a[1] + b[1])
+    return n * det * det / under if under else 0.0
+
+
+def rounds(fine, last):
+    """The rounds of chi_merge_rounds in plain Python: [lowest bin, goods, bads]."""
+    import xxhash
+
+    def hashed(p):
+        h = xxhash.xxh64_intdigest(p.to_bytes(8, "little"), seed=42)
+        return h - 2**64 if h >= 2**63 else h
+
+    rows = [list(x) for x in fine]
+    while len(rows) > last:
+        key = [None] + [(chi2(a[1:], b[1:]), hashed(p)) for p, (a, b) in enumerate(zip(rows, rows[1:]), 1)]
+        merge = [k > 0 and (k == 1 or key[k] < key[k - 1]) and (k + 1 == len(rows) or key[k] < key[k + 1]) for k in range(len(rows))]
+        out = []
+        for row, m in zip(rows, merge):
+            if m:
+                out[-1][1] += row[1]
+                out[-1][2] += row[2]
+            else:
+                out.append(list(row))
+        rows = out
+    return rows
+
+
+def plain(rows, most, critical=3.841458820694124):
+    rows = [list(x) for x in rows]
+    while len(rows) > 1:
+        values = [chi2(a[1:], b[1:]) for a, b in zip(rows, rows[1:])]
+        k = values.index(min(values))
+        if len(rows) <= most and values[k] >= critical:
+            break
+        rows[k : k + 2] = [[rows[k][0], rows[k][1] + rows[k + 1][1], rows[k][2] + rows[k + 1][2]]]
+    return rows
+
+
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_chi_merge_rounds_against_plain_python(spark, block):
+    rng = random.Random(5)
+    fine = []
+    for i in range(900):
+        n = rng.randrange(1, 4)
+        bads = sum(rng.random() < (0.1 if i < 300 else 0.5 if i < 600 else 0.25) for _ in range(n))
+        fine.append((i * 0.5, n - bads, bads))
+    df = spark.createDataFrame([*fine, (None, 3, 4)], "bin double, goods long, bads long").repartition(3)
+    got = B.chi_merge_rounds(df, 5, last=60, block=block).collect()
+    want = plain(rounds(fine, 60), 5)
+    assert sorted({r.merged_bin for r in got}) == [x[0] for x in want] and len(got) == 900
+    # the three regimes are found
+    assert len(want) <= 5 and all(any(abs(x[0] - edge) < 12 for x in want) for edge in (150.0, 300.0))
+    # up to ``last`` bins it is the plain loop
+    few = B.chi_merge_rounds(df.where("bin < 40"), 3, block=block).collect()
+    assert sorted({r.merged_bin for r in few}) == [x[0] for x in plain(fine[:80], 3)]
