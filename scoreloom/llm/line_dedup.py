@@ -196,7 +196,8 @@ def duplicate_lines(docs: DataFrame, min_block_words: int = 5, rare: int = 4, do
     def aligned(pairs: DataFrame) -> DataFrame:
         """(doc, at): lines that pairs (a, b) take from b. An earlier document's lines go once to each group of ``GROUP`` partners or so, however many it has."""
         pairs = cut(pairs.distinct())
-        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("parts"))
+        # written, so that AQE can split the pairs of a document with very many partners in the join
+        parts = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(GROUP))).cast("int").alias("parts")))
         dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
         own = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(seqs, F.col("a") == F.col("doc")).select("a", "part", F.lit(None).cast(kind).alias("b"), "s")
         both = own.unionByName(dealt.join(seqs, F.col("b") == F.col("doc")).select("a", "part", "b", "s"))
