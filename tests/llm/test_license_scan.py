@@ -133,3 +133,66 @@ def test_cost_is_linear_in_lines(spark, classifier):
     took(1000)
     assert took(16_000) <= 2.6 * took(8_000)
     assert took(100_000) < 60
+
+
+def murmur(data, seed=42):
+    """The 32-bit hash of a term, signed."""
+    h, mask = seed, 2**32 - 1
+    rot = lambda x, r: (x << r | x >> 32 - r) & mask
+    for k in range(0, len(data) - len(data) % 4, 4):
+        h = (rot(h ^ rot(int.from_bytes(data[k : k + 4], "little") * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask, 13) * 5 + 0xE6546B64) & mask
+    if tail := data[len(data) - len(data) % 4 :]:
+        h ^= rot(int.from_bytes(tail, "little") * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    h ^= len(data)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & mask
+    h ^= h >> 16
+    return h - 2**32 if h >= 2**31 else h
+
+
+def brute_findings(classifier, weights, intercepts, text, confirm=0.5):
+    """(n_candidates, findings) of one text in plain Python, from the fitted coefficients."""
+    import math
+
+    names = [*L.FAMILIES, L.UNKNOWN]
+    word = lambda t: re.findall(r"[^\W_]+", t.lower())
+    pairs = lambda w: {f"{a} {b}" for a, b in zip(w, w[1:])}
+    templates = {f: [pairs(word(t)) for g, t in L.TEMPLATES if g == f] for f in L.FAMILIES}
+    lines, judged, own = (text or "").split("\n"), [], 0
+    if not re.search(L.CUES, text or ""):
+        return 0, ""
+    for k, x in enumerate(lines):
+        first = re.match(r"[\W_]*[^\W_]+", " ".join(lines[k + 1 : k + 3]))
+        own += bool(re.search(L.CUES, x))
+        if not re.search(L.CUES, x) and not re.search(L.CUES, f"{x} {first[0] if first else ''}"):
+            continue
+        for more in range(3):
+            tokens = word(" ".join(lines[k : k + 1 + more]))
+            at = {murmur(t.encode()) % L._DIMENSIONS for t in {*tokens, *pairs(tokens)}}
+            raw = [(sum(row[i] for i in at) + c) / classifier.temperature for row, c in zip(weights, intercepts)]
+            e = [math.exp(v - max(raw)) for v in raw]
+            p = max(e) / sum(e)
+            guess = names[e.index(max(e))]
+            common = max((len(pairs(tokens) & t) for t in templates.get(guess, [])), default=0)
+            match = max((len(pairs(tokens) & t) / max(min(len(t), len(pairs(tokens))), 1) for t in templates.get(guess, [])), default=0.0)
+            if guess != L.UNKNOWN and p >= classifier.least and match >= confirm:
+                judged.append((k, k + more, guess, p, match, common))
+    kept = [j for j in judged if not any(o[2] == j[2] and o[0] - j[0] in (1, 2) and o[1] <= j[1] and o[5] >= j[5] for o in judged)]
+    best = {}
+    for k, _, f, p, match, _ in kept:
+        best[k] = max(best.get(k, (-1.0,)), (p, match, f))
+    return own, ",".join(f"{k + 1}:{best[k][2]}" for k in sorted(best))
+
+
+def test_findings_against_plain_python(spark, classifier):
+    """All templates, notices over several lines and beside each other, prose, and a whole table."""
+    rows = [t for _, t in L.TEMPLATES] + [t for _, t in UNSEEN] + ["\n".join([a, b]) for (_, a), (_, b) in zip(L.TEMPLATES, L.TEMPLATES[5:])]
+    rows += ["\n".join(w[k : k + 5] and " ".join(w[k : k + 5]) for k in range(0, len(w), 5)) for w in (t.split() for _, t in L.TEMPLATES)] + [None, "", "\n\nReleased under the\n\nMIT License.\n"]
+    table = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += table
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = {r.doc_id: (r.n_candidates, r.findings) for r in L.scan(docs, classifier).collect()}
+    weights, intercepts = classifier.model.coefficientMatrix.toArray().tolist(), classifier.model.interceptVector.toArray().tolist()
+    wrong = [(i, got[i], want) for i, t in enumerate(rows) if (want := brute_findings(classifier, weights, intercepts, t)) != got[i]]
+    assert not wrong, wrong[:3]
+    assert sum(bool(f) for _, f in got.values()) > 60
