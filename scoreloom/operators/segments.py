@@ -202,12 +202,13 @@ def fit_kmeans(df: DataFrame, features: str, models: Sequence[tuple[int, int]],
     for step in range(max_iter + 1):
         here = [(m, found[m][0]) for m in moving]
         parts = rows.mapInArrow(lambda batches, here=here: sums(batches, here), "m int, j int, n double, cost double, total array<double>")
-        parts = parts.select("m", "j", "n", "cost", F.posexplode("total").alias("d", "x")).groupBy("m", "j", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("cost").alias("cost")).collect()
+        parts = parts.select("m", "j", "n", "cost", F.posexplode("total").alias("d", "x")).groupBy("m", "j", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("cost").alias("cost")).toArrow()
+        own, j, d, x, n, each = (parts[c].to_numpy() for c in ("m", "j", "d", "x", "n", "cost"))
         new, cost = {m: c.copy() for m, c in here}, dict.fromkeys(moving, 0.0)
-        for r in parts:
-            if r.n:  # a centre without rows stays where it is
-                new[r.m][r.j, r.d] = r.x / r.n
-            cost[r.m] += r.cost if r.d == 0 else 0.0
+        for m, c in here:
+            at = (own == m) & (n > 0)  # a centre without rows stays where it is
+            new[m][j[at], d[at]] = x[at] / n[at]
+            cost[m] = float(each[(own == m) & (d == 0)].sum())
         still = []
         for m, c in here:
             moved = ((new[m] - c) ** 2).sum(1).max()
