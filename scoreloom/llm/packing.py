@@ -10,8 +10,8 @@
 3. The histogram, ``room`` numbers at most, is all that the driver sees. Patterns of up to three lengths
    that fill a sequence are enumerated, and their repeat counts fitted to the histogram by non-negative
    least squares, adding the patterns of steepest descent until none improves it. Counts are rounded
-   down; what then remains of the histogram is packed largest first, each sequence closed by the one or
-   two lengths that fill it best, as often as the remaining counts allow.
+   down, also at lower shares; what then remains of the histogram is packed largest first, by the one or
+   two lengths that fill a sequence best, and by best fit, and the plan of the fewest sequences is taken.
 4. A pattern's place for a length takes a range of that length's ranks. The ranges, bounded by ``room``
    and not by the data, go to all tasks, where each piece finds its own by binary search.
 """
@@ -35,7 +35,7 @@ ROOM = 1024
 #: The id that ends a document.
 END = 2
 #: Shares of the fitted repeat counts to be tried.
-SHARES = (1.0, 0.95, 0.85, 0.7, 0.5)
+SHARES = (1.0, 0.95, 0.85, 0.7, 0.5, 0.0)
 
 
 def cuts(n: int, room: int) -> list[tuple[int, int]]:
@@ -127,43 +127,58 @@ def fit(have: np.ndarray, room: int, rounds: int = 12, most: int = 128, sweeps:
 def plan(have: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, repeats) such that every counted piece has one place.
 
-    Of the shares of the fitted counts that are kept when they are rounded, the one with the fewest sequences is taken: a larger rest has more ways to close a sequence.
+    Several shares of the fitted counts are kept, as a larger rest has more ways to close a sequence, and the rest is packed in two ways; the
+    plan of the fewest sequences counts, of equal ones that which keeps most of the fit. So it is never worse than best fit alone.
     """
     left = np.zeros(room + 1, np.int64)
     for length, n in have.items():
         left[length] = n
     fitted = sorted(fit(left, room), key=lambda e: (-e[1], e[0]))
-    return min((rounded(fitted, left.copy(), share) for share in SHARES), key=lambda out: sum(n for _, n in out))
-
-
-def rounded(fitted: list[tuple[tuple[int, ...], float]], left: np.ndarray, share: float) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns by that share of their counts, rounded down, and the rest of the histogram packed largest first."""
-    out, room = [], len(left) - 1
+    best = None
+    for share in SHARES:
+        kept, rest = rounded(fitted, left, share)
+        for pack_rest in (closed, best_fit):
+            made = kept + pack_rest(rest.copy())
+            total = sum(n for _, n in made)
+            if best is None or total < best[0]:
+                best = total, made
+    return best[1]
+
+
+def rounded(fitted: list[tuple[tuple[int, ...], float]], have: np.ndarray, share: float) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Patterns by that share of their counts, rounded down, and what is left of the histogram."""
+    out, left = [], have.copy()
     for p, x in fitted:
         n = min(int(share * x), *(int(left[i]) // p.count(i) for i in p))
         if n > 0:
             out.append((p, n))
             for i in p:
                 left[i] -= n
+    return out, left
+
+
+def closed(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """A histogram packed largest first, each sequence closed by the one or two lengths that fill it best, as often as the counts allow."""
+    out, room = [], len(left) - 1
     while (there := np.flatnonzero(left)).size:
         p = [int(there[-1])]
         while True:
             free, now = room - sum(p), left.copy()
             for i in p:
                 now[i] -= 1
-            have_ = np.flatnonzero(now[: free + 1])
-            if not have_.size:
+            some = np.flatnonzero(now[: free + 1])
+            if not some.size:
                 break
-            # The best close by one length or by two; of equal fills the one with the longer first piece.
+            # of equal fills the one with the longer first piece
             reach = np.maximum.accumulate(np.where(now[: free + 1] > 0, np.arange(free + 1), 0))
-            second = reach[free - have_]
-            same = (second == have_) & (now[have_] < 2)
-            below = np.where(have_ > 0, reach[np.maximum(have_ - 1, 0)], 0)
+            second = reach[free - some]
+            same = (second == some) & (now[some] < 2)
+            below = np.where(some > 0, reach[np.maximum(some - 1, 0)], 0)
             second = np.where(same, np.minimum(below, second), second)
-            second = np.where(second > have_, 0, second)
-            fill = have_ + second
+            second = np.where(second > some, 0, second)
+            fill = some + second
             k = len(fill) - 1 - int(np.argmax(fill[::-1]))
-            p += [int(have_[k])] + [int(second[k])] * bool(second[k])
+            p += [int(some[k])] + [int(second[k])] * bool(second[k])
         n = min(int(left[i]) // p.count(i) for i in p)
         out.append((tuple(p), n))
         for i in p:
@@ -171,6 +186,31 @@ def rounded(fitted: list[tuple[tuple[int, ...], float]], left: np.ndarray, share
     return out
 
 
+def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """A histogram packed by best fit, largest first, with all sequences of one make at once: the same as piece by piece, in steps that don't grow with the counts."""
+    room = len(left) - 1
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    for i in np.flatnonzero(left)[::-1].tolist():
+        many = int(left[i])
+        while many:
+            free = min((r for r in open_ if r >= i), default=None)
+            p, n = open_[free].pop() if free is not None else ((), -(-many // (room // i)))
+            if free is not None and not open_[free]:
+                del open_[free]
+            space = room if free is None else free
+            times = space // i  # the next piece of one length fits best where the last one went
+            whole = min(n, many // times)
+            if whole:
+                open_.setdefault(space - times * i, []).append((p + (i,) * times, whole))
+                many, n = many - whole * times, n - whole
+            elif many:
+                open_.setdefault(space - many * i, []).append((p + (i,) * many, 1))
+                many, n = 0, n - 1
+            if n and free is not None:
+                open_.setdefault(free, []).append((p, n))
+    return [e for own in open_.values() for e in own]
+
+
 def ranges(plan_: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset), sorted: the places of each length, in the order of its ranks."""
     rows, used, sequence = [], {}, 0

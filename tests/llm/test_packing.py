@@ -143,3 +143,34 @@ def test_plan_is_near_the_bound_and_small(scale):
     least = -(-sum(i * n for i, n in have.items()) // 1024)
     assert sum(n for _, n in made) <= (1.003 if scale == 50 else 1.0001) * least
     assert len(packing.ranges(made)) < 12 * 1024
+
+
+def plain_best_fit(sizes, room):
+    bins = []
+    for i in sorted(sizes, reverse=True):
+        k = min((k for k, free in enumerate(bins) if free >= i), key=lambda k: bins[k], default=None)
+        if k is None:
+            bins.append(room - i)
+        else:
+            bins[k] -= i
+    return len(bins)
+
+
+def test_never_worse_than_best_fit():
+    rng = random.Random(6)
+    for _ in range(120):
+        room = rng.choice([10, 64, 200])
+        sizes = [rng.choice([rng.randrange(1, room + 1), max(1, room // 3), max(1, room // 5)]) for _ in range(rng.randrange(1, 200))]
+        have = np.zeros(room + 1, np.int64)
+        for i in sizes:
+            have[i] += 1
+        own = packing.best_fit(have.copy())
+        got = Counter()
+        for p, n in own:
+            assert sum(p) <= room and n > 0
+            for i in p:
+                got[i] += n
+        assert got == Counter(sizes)
+        want = plain_best_fit(sizes, room)
+        assert sum(n for _, n in own) == want
+        assert sum(n for _, n in packing.plan(Counter(sizes), room)) <= want
