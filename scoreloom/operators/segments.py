@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -173,11 +174,14 @@ def seeding(rows: DataFrame, seeds: Sequence[int], k: int, rounds: int = 5) -> d
     return {s: (c, weights[s]) for s, c in found.items()}
 
 
-def fit_kmeans(df: DataFrame, features: str, models: Sequence[tuple[int, int]], max_iter: int = 100, tolerance: float = 1e-6, rounds: int = 5, starts: Sequence[np.ndarray] | None = None) -> list[tuple[np.ndarray, float]]:
+def fit_kmeans(df: DataFrame, features: str, models: Sequence[tuple[int, int]], max_iter: int | None = None, tolerance: float = 1e-6, rounds: int = 5, starts: Sequence[np.ndarray] | None = None) -> list[tuple[np.ndarray, float]]:
     """Centres and cost of each (k, seed), all fitted side by side: a pass over the rows moves the centres of every model that still moves.
 
     Starts come from ``seeding`` over all rows, or are given (``starts``, an array of centres a model). The rows are evaluated once, to a checkpoint
     that every pass reads. Each task adds up its rows; a row a model, centre and dimension comes back. Rows without features take no part.
+
+    A model is done where its centres are the means of their rows, to within ``tolerance``, or after ``max_iter`` moves if that is given. It also
+    ends where a clustering comes back that it had before, told by a mark summed over hashes of rows and their centres: beyond that, only rounding moves it.
     """
     rows = once(df.select(F.col(features).cast("array<double>").alias("x")).where("x IS NOT NULL"))
     if starts is None:
@@ -185,25 +189,30 @@ def fit_kmeans(df: DataFrame, features: str, models: Sequence[tuple[int, int]],
         starts = [_plus_plus(*candidates[s], k, s) for k, s in models]
     found = [(np.array(c, np.float64), np.inf) for c in starts]
     moving = list(range(len(models)))
+    had: list[set[int]] = [set() for _ in models]
 
     def sums(batches: Iterator[pa.RecordBatch], here: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        totals = {m: (np.zeros_like(c), np.zeros(len(c)), np.zeros(len(c))) for m, c in here}
+        totals = {m: (np.zeros_like(c), np.zeros(len(c)), np.zeros(len(c)), np.zeros(1, np.uint64)) for m, c in here}
+        task, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             x = _matrix(batch.column(0))
+            place = (_uniform(0, 0, task, np.arange(at, at + len(x))) * 2.0**53).astype(np.uint64)
+            at += len(x)
             for m, c in here if len(x) else ():
                 near, d = nearest(x, c)
-                total, n, cost = totals[m]
+                total, n, cost, mark = totals[m]
+                mark += (place * (near + 1).astype(np.uint64)).sum(dtype=np.uint64)
                 total += (near[None] == np.arange(len(c))[:, None]).astype(np.float64) @ x
                 n += np.bincount(near, minlength=len(c))
                 cost += np.bincount(near, d, len(c))
-        out = [(m, j, float(t[1][j]), float(t[2][j]), t[0][j].tolist()) for m, t in totals.items() for j in range(len(t[1]))]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())))], names=["m", "j", "n", "cost", "total"])
+        out = [(m, j, float(t[1][j]), float(t[2][j]), int(t[3].view(np.int64)[0]), t[0][j].tolist()) for m, t in totals.items() for j in range(len(t[1]))]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())))], names=["m", "j", "n", "cost", "mark", "total"])
 
-    for step in range(max_iter + 1):
+    for step in count():
         here = [(m, found[m][0]) for m in moving]
-        parts = rows.mapInArrow(lambda batches, here=here: sums(batches, here), "m int, j int, n double, cost double, total array<double>")
-        parts = parts.select("m", "j", "n", "cost", F.posexplode("total").alias("d", "x")).groupBy("m", "j", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("cost").alias("cost")).toArrow()
-        own, j, d, x, n, each = (parts[c].to_numpy() for c in ("m", "j", "d", "x", "n", "cost"))
+        parts = rows.mapInArrow(lambda batches, here=here: sums(batches, here), "m int, j int, n double, cost double, mark bigint, total array<double>")
+        parts = parts.select("m", "j", "n", "cost", "mark", F.posexplode("total").alias("d", "x")).groupBy("m", "j", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.bit_xor("mark").alias("mark")).toArrow()
+        own, j, d, x, n, each, marks = (parts[c].to_numpy() for c in ("m", "j", "d", "x", "n", "cost", "mark"))
         new, cost = {m: c.copy() for m, c in here}, dict.fromkeys(moving, 0.0)
         for m, c in here:
             at = (own == m) & (n > 0)  # a centre without rows stays where it is
@@ -212,7 +221,9 @@ def fit_kmeans(df: DataFrame, features: str, models: Sequence[tuple[int, int]],
         still = []
         for m, c in here:
             moved = ((new[m] - c) ** 2).sum(1).max()
-            if moved > tolerance * tolerance and step < max_iter:
+            mark = int(marks[own == m][0])
+            if moved > tolerance * tolerance and mark not in had[m] and (max_iter is None or step < max_iter):
+                had[m].add(mark)
                 still.append(m)
                 found[m] = new[m], cost[m]
             else:

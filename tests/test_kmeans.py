@@ -66,3 +66,20 @@ def test_given_starts_and_assignment(spark):
     assert [tuple(r.centre) for r in S.centre_table(df, centres).orderBy("cluster").collect()] == [tuple(c) for c in centres]
     with pytest.raises(ValueError, match="no rows"):
         S.fit_kmeans(df.where("v IS NULL"), "v", [(2, 0)])
+
+
+def test_moves_until_the_centres_are_means(spark):
+    """Eight centres that start at one end of a line take more than a hundred moves to spread over it."""
+    x = (np.arange(1000) / 1000)[:, None]
+    (centres, cost), = S.fit_kmeans(frame(spark, x), "v", [(8, 0)], starts=[x[:8]])
+    near, d = S.nearest(x, centres)
+    assert max(abs(x[near == j].mean() - centres[j, 0]) for j in range(8)) <= 1e-6 and cost == pytest.approx(d.sum())
+
+
+def test_ends_where_rounding_alone_moves_centres(spark, monkeypatch):
+    """A tolerance below what rounding leaves in a mean, with passes that are never quite alike, ends where a clustering comes back."""
+    rng, whole = np.random.default_rng(0), S._matrix
+    monkeypatch.setattr(S, "_matrix", lambda column: whole(column) * (1 + 1e-13 * np.random.default_rng().normal()))
+    x = np.concatenate([rng.normal(size=(50, 2)), rng.normal(size=(50, 2)) + 9])
+    (centres, _), = S.fit_kmeans(frame(spark, x), "v", [(2, 0)], tolerance=0.0, starts=[x[[0, 99]]])
+    assert np.allclose(sorted(centres.tolist()), sorted([x[:50].mean(0).tolist(), x[50:].mean(0).tolist()]))
