@@ -7,8 +7,9 @@
    last such place are a group, and their overlaps are links. It keeps what lies behind the last common
    end, sums and a running hash, whatever the length of a text.
 3. How many documents hold a linked pair of ids needs the whole corpus, but links don't travel by pair.
-   A block of documents (those of about ``LINKS`` links of a task) is written with its links, and beside
-   it the block's distinct pairs and their numbers of documents. Sums by pair go back to the blocks
+   A block of documents of a task (with about ``LINKS`` pairs at most, each document's own counted) is written with its links, and beside
+   it the block's distinct pairs and their numbers of documents. Consecutive small blocks are read as one of about
+   ``MERGED`` pairs, so that documents, and not tasks, say how many there are. Sums by pair go back to the blocks
    that hold the pair, one row a block and pair, and each block reads its own sums as a dictionary. A pair that all
    documents have is so one row a block, never a row a document.
 
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -36,6 +37,7 @@ from .encoders import ByteLevel, Pieces, Vocabulary
 
 CHUNK = 4096
 LINKS = 2_000_000
+MERGED = 500_000
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -63,11 +65,10 @@ def events(docs: DataFrame, side: int, vocabulary: Vocabulary, spaced: bool) ->
                 where, starts, blocks = [], [], []
                 for k, text in enumerate(part.column(2).to_pylist()):
                     data = " " + text if text else ""
-                    ids = v.encode(text if spaced else data) if data else []
-                    if v.joined(ids) != data.encode():
+                    ids = v.exactly(text if spaced else data, data.encode()) if data else np.zeros(0, "<u4")
+                    if ids is None:
                         where.append(k), starts.append(0), blocks.append(None)
                         continue
-                    ids = np.array(ids, "<u4")
                     ends = np.cumsum(v.sizes[ids])
                     for a in range(0, max(1, len(ids)), CHUNK):
                         where.append(k), starts.append(int(ends[a - 1]) if a else 0), blocks.append(squeeze(ids[a : a + CHUNK]))
@@ -217,23 +218,24 @@ def _swept(sorted_: DataFrame, a: Vocabulary, b: Vocabulary) -> DataFrame:
     """Rows of two kinds: documents (or a part of a long one, without sums but for the last) with their distinct pairs and how often each is linked, and blocks with the numbers of documents of their pairs (``pair``, ``pair_docs``)."""
     kind = sorted_.schema["doc_id"].dataType.simpleString()
     shared = sorted_.sparkSession.sparkContext.broadcast((a, b))
-    names = ["block", "doc_id", "h", "copies", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times", "pair", "pair_docs"]
+    names = ["block", "doc_id", "h", "copies", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times", "pair", "pair_docs", "entries"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = _sizes(*shared.value)
         wide, form = len(sizes[1]), "<u4" if len(sizes[0]) * len(sizes[1]) <= 1 << 32 else "<u8"
         most = max(len(x) for x in sizes)
-        names_of = [f"{i}{c}" for c in ",|;" for i in range(most)]
+        names_of = np.array([f"{i}{c}" for c in ",|;" for i in range(most)], "S")
         block, rows, types = TaskContext.get().partitionId() << 32, [], []
         distinct: list[tuple[np.ndarray, int]] = []
 
-        def text_of(g: Groups) -> str:
-            order = np.argsort(np.concatenate([2 * g.a_group, 2 * g.b_group + 1]), kind="stable")
-            group = np.concatenate([2 * g.a_group, 2 * g.b_group + 1])[order]
-            step = np.diff(group, append=group[-1] + 2)
-            # Same list: ','. From A to B of a group: '|'. To the next group: ';'.
-            mark = np.where(step == 0, 0, np.where((step == 1) & (group % 2 == 0), 1, 2))
-            return "".join(map(names_of.__getitem__, (np.concatenate([g.a, g.b])[order] + mark * most).tolist()))
+        def text_of(g: Groups) -> bytes:
+            """Each id with what follows it: '|' the last of A in a group, ';' the last of B, ',' the others."""
+            out = np.empty(len(g.a) + len(g.b), np.int64)
+            lasts = [np.diff(x, append=g.n) > 0 for x in (g.a_group, g.b_group)]
+            a_ends, b_ends = (np.flatnonzero(x) + 1 for x in lasts)
+            out[np.arange(len(g.a)) + np.concatenate([[0], b_ends])[g.a_group]] = g.a + lasts[0] * most
+            out[np.arange(len(g.b)) + a_ends[g.b_group]] = g.b + lasts[1] * (2 * most)
+            return names_of[out].tobytes().translate(None, b"\0")
 
         def group(own: _Digest, g: Groups, copies: int) -> list:
             i, j = g.links()
@@ -241,8 +243,8 @@ def _swept(sorted_: DataFrame, a: Vocabulary, b: Vocabulary) -> DataFrame:
             if own.sha is None:
                 own.sha, text = hashlib.sha256(), text_of(g)[:-1]
             else:
-                text = ";" + text_of(g)[:-1]
-            own.sha.update(text.encode())
+                text = b";" + text_of(g)[:-1]
+            own.sha.update(text)
             own.pairs.append(g.a[i].astype(np.int64) * wide + g.b[j])
             own.waiting += len(i)
             if own.waiting >= LINKS:
@@ -257,7 +259,7 @@ def _swept(sorted_: DataFrame, a: Vocabulary, b: Vocabulary) -> DataFrame:
             if not last:
                 own.seen = new if own.seen is None else np.union1d(own.seen, new)
             own.pairs, own.waiting = [], 0
-            rows.append([block, *key_of(own, key), copies] + ([own.n_a, own.n_b, own.n_groups, own.n_links, own.sha.hexdigest() if own.sha else ""] if last else [0, 0, 0, 0, ""]) + [squeeze(np.diff(codes, prepend=0).astype(form)), squeeze(times.astype("<u4")), None, None])
+            rows.append([block, *key_of(own, key), copies] + ([own.n_a, own.n_b, own.n_groups, own.n_links, own.sha.hexdigest() if own.sha else ""] if last else [0, 0, 0, 0, ""]) + [squeeze(np.diff(codes, prepend=0).astype(form)), squeeze(times.astype("<u4")), None, None, None])
 
         def key_of(own: _Digest, key) -> tuple:
             return key if key is not None else own.key
@@ -277,11 +279,11 @@ def _swept(sorted_: DataFrame, a: Vocabulary, b: Vocabulary) -> DataFrame:
                 every = np.concatenate([x for x, _ in distinct])
                 docs = np.repeat([n for _, n in distinct], [len(x) for x, _ in distinct])
                 codes, place = np.unique(every, return_inverse=True)
-                rows.append([block, None, None, None, *[None] * 7, codes, np.bincount(place, docs, len(codes)).astype(np.int64)])
+                rows.append([block, None, None, None, *[None] * 7, codes, np.bincount(place, docs, len(codes)).astype(np.int64), len(every)])
                 block, distinct = block + 1, []
             if rows:
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), types[0], pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                kinds = [pa.int64(), types[0], pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
                 rows = []
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -292,7 +294,16 @@ def _swept(sorted_: DataFrame, a: Vocabulary, b: Vocabulary) -> DataFrame:
 
         yield from documents(first(batches), sizes, opened, group, closed, between)
 
-    return sorted_.mapInArrow(run, f"block bigint, doc_id {kind}, h bigint, copies int, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, codes binary, times binary, pair array<bigint>, pair_docs array<bigint>")
+    return sorted_.mapInArrow(run, f"block bigint, doc_id {kind}, h bigint, copies int, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, codes binary, times binary, pair array<bigint>, pair_docs array<bigint>, entries bigint")
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """Rows of ``_swept`` with consecutive blocks made one, if their entries begin in the same ``MERGED``; it has the number of the first."""
+    # two numbers a block
+    blocks = parts.where("entries IS NOT NULL").select("block", "entries")
+    before = F.sum("entries").over(Window.orderBy("block")) - F.col("entries")
+    blocks = blocks.withColumn("at", F.floor(before / MERGED)).select("block", F.min("block").over(Window.partitionBy("at")).alias("into"))
+    return parts.join(F.broadcast(blocks), "block").withColumn("block", F.col("into")).drop("into")
 
 
 def _counted(joined: DataFrame, form: str) -> DataFrame:
@@ -340,8 +351,10 @@ def digest(docs: DataFrame, a: Vocabulary, b: Vocabulary, doc_id: str = "doc_id"
     release(spark)
     wide = len(b.worker().sizes)
     form = "<u4" if len(a.worker().sizes) * wide <= 1 << 32 else "<u8"
-    parts = spark.read.parquet(place)
+    parts = _merged(spark.read.parquet(place))
     pairs = parts.where("pair IS NOT NULL").select("block", F.inline(F.arrays_zip("pair", "pair_docs")))
+    # dealt out by pair, which a block has once, for the sums by block and those over all blocks
+    pairs = pairs.repartition("pair").groupBy("block", "pair").agg(F.sum("pair_docs").alias("pair_docs"))
     totals = pairs.groupBy("pair").agg(F.sum("pair_docs").alias("n"))
     # One row an id of A, so as many as its vocabulary has at most.
     best = totals.groupBy(F.expr(f"pair div {wide}").alias("a")).agg(F.max("n").alias("most"))

@@ -60,6 +60,11 @@ class Vocabulary:
     def joined(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def exactly(self, text: str, data: bytes) -> np.ndarray | None:
+        """The ids of a text, or None where their joined bytes aren't ``data``."""
+        ids = self.encode(text)
+        return np.array(ids, "<u4") if self.joined(ids) == data else None
+
 
 class ByteLevel(Vocabulary):
     """specials: whether a special token's string inside a text is that token, or plain text."""
@@ -98,6 +103,13 @@ class ByteLevel(Vocabulary):
 
         return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks={self.tokens[i]: i for i in vocab.values()}, special_tokens={})
 
+    def exactly(self, text: str, data: bytes) -> np.ndarray | None:
+        if self.fast is None or self.named is not None or text.encode() != data:
+            return super().exactly(text, data)
+        # without names of special tokens every token is the bytes of some piece of the text, in order, so they are all of them if they are as many
+        ids = np.array(self.encode(text, data), "<u4")
+        return ids if self.sizes[ids].sum() == len(data) else None
+
     def encode(self, text: str, utf8: bytes | None = None) -> list[int]:
         utf8 = text.encode() if utf8 is None else utf8
         if not utf8:

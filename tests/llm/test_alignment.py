@@ -141,3 +141,39 @@ def test_planes_round_trip():
         x = np.array([0, 1, 255, 256, top, 7], kind)
         assert (alignment.expand(alignment.squeeze(x), kind) == x).all()
         assert not len(alignment.expand(alignment.squeeze(x[:0]), kind))
+
+
+@pytest.mark.parametrize("merged", [500_000, 60])
+def test_blocks_come_from_documents_not_tasks(spark, both, monkeypatch, merged):
+    """Many tasks of few documents: their blocks are read as one, or as some of about so many pairs, and results stay."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("the cat sat on a mat and Größe don't 12 ".split(), k=rng.randrange(9))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(alignment, "MERGED", merged)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        parts = alignment.cut(alignment._swept(alignment.sorted_events(docs, *both, "doc_id", "text"), *both))
+        tasks, entries = parts.select("block").distinct().count(), parts.agg({"entries": "sum"}).first()[0]
+        out = alignment._merged(parts)
+        blocks = out.select("block").distinct().count()
+        assert tasks > 20 and out.count() == parts.count()
+        assert blocks == 1 if merged > entries else 1 < blocks <= entries // merged + 1 < tasks
+        assert rows_of(alignment.digest(docs, *both)) == Counter((k, *w) for k, w in enumerate(brute(texts)[0]))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_exact_ids_are_those_of_the_whole_text(both):
+    """``exactly`` gives the ids that a text's own encoding has, and none where the joined bytes are others."""
+    rng, (a, b) = random.Random(6), (v.worker() for v in both)
+    alphabet = [*map(chr, range(0x240)), *" \t\n\r\x85\xa0" * 30, *"aeinst019'" * 10, *["日", "▁", "　", "́", "\U0001f600", "<s>", "<|endoftext|>", "<0x41>"] * 4]
+    for k in range(3000):
+        text = "".join(rng.choices(alphabet, k=rng.randrange(1, 40)))
+        data = (" " + text).encode()
+        for v, ids, own in ((a, a.exact.encode(" " + text, add_special_tokens=False).ids, " " + text), (b, b.model.encode(text), text)):
+            got = v.exactly(own, data)
+            assert (got is None) == (v.joined(ids) != data) and (got is None or got.tolist() == ids)
+            assert v.exactly(own, data + b"x") is None
