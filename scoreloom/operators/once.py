@@ -6,7 +6,8 @@ import atexit
 import re
 import shutil
 
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of group statistics up to which they are broadcast.
@@ -20,7 +21,21 @@ def once(df: DataFrame) -> DataFrame:
     Where that is unset, on one machine only, the folder is one below the warehouse that goes with the application; on a cluster
     it has to be set. Spark removes a checkpoint that nothing refers to if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark = df.sparkSession
+    _set_place(df.sparkSession)
+    return df.checkpoint()
+
+
+def once_packed(df: DataFrame) -> tuple[RDD, int]:
+    """The values of a binary column as an RDD of bytes, checkpointed likewise, and how many bytes they are. Python tasks get them as they are, without a row around them."""
+    _set_place(df.sparkSession)
+    packed = df.rdd.map(lambda r: bytes(r[0])).persist(StorageLevel.MEMORY_AND_DISK)  # else Spark evaluates it anew to write it
+    packed.checkpoint()
+    held = packed.map(len).sum()
+    packed.unpersist()
+    return packed, held
+
+
+def _set_place(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         place = spark.conf.get("spark.checkpoint.dir", None)
         if place is None:
@@ -31,7 +46,6 @@ def once(df: DataFrame) -> DataFrame:
                 _OURS.add(place)
                 atexit.register(shutil.rmtree, "/" + place.removeprefix("file:").lstrip("/"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(place)
-    return df.checkpoint()
 
 
 def if_small(stats: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

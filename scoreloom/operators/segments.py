@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -12,11 +13,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .once import once
+from .once import once_packed
 from .order import attach
 
 #: Centres from which on distances are left out by bounds.
 MANY_CENTRES = 16
+#: Bytes of rows packed into one value, and a task's share at least where there are more tasks than cores.
+BLOCK_BYTES, TASK_BYTES = 1 << 19, 1 << 24
+#: Bytes of tasks' sums that come to the driver as they are; more are first added up in tasks.
+SUMS_BYTES = 1 << 26
 
 
 def ch_index(bcss: Column, wcss: Column, n: Column, k: Column) -> Column:
@@ -106,11 +111,51 @@ def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, seed: int, tries
     return best
 
 
+def nearest_each(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``nearest`` for several models of as many centres (models, k, dimensions), by one product of matrices: (models, rows) each."""
+    models, k, width = centres.shape
+    if k >= MANY_CENTRES:
+        near, best = zip(*(nearest(x, c) for c in centres))
+        return np.array(near), np.array(best)
+    c = centres.transpose(1, 0, 2).reshape(k * models, width)
+    d = (-2 * c) @ x.T
+    d += (x * x).sum(1)
+    d += (c * c).sum(1)[:, None]
+    d = np.maximum(d, 0.0, out=d).reshape(k, models, len(x))
+    near, best = np.zeros((models, len(x)), np.uint8), d[0]
+    for j in range(1, k):
+        np.copyto(near, j, where=d[j] < best)
+        np.minimum(best, d[j], out=best)
+    return near, best
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in blocks of bytes: the number of dimensions, then the numbers."""
+    for batch in batches:
+        x = _matrix(batch.column(0)) if len(batch) else np.zeros((0, 1))
+        some = max(1, BLOCK_BYTES // (8 * max(1, x.shape[1])))
+        for at in range(0, len(x), some):
+            yield pa.RecordBatch.from_arrays([pa.array([np.int64(x.shape[1]).tobytes() + x[at : at + some].tobytes()], pa.binary())], names=["x"])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of arrays, or of blocks as ``_pack`` makes them."""
     column = column.drop_null()
+    if pa.types.is_binary(column.type):
+        blocks = [memoryview(b.as_buffer()) for b in column]
+        return np.concatenate([np.frombuffer(b, np.float64, offset=8).reshape(-1, np.frombuffer(b, np.int64, 1)[0]) for b in blocks])
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows a batch at a time, or a block at a time."""
+    for batch in batches:
+        column = batch.column(0)
+        many = 1 if pa.types.is_binary(column.type) else max(1, len(column))
+        for at in range(0, len(column), many):
+            yield _matrix(column.slice(at, many))
+
+
 def _uniform(seed: int, step: int, task: int, rows: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) hashed from a seed and a row's place in a table that is read again as it is."""
     h = rows.astype(np.uint64) + np.uint64((task << 40) & (2**64 - 1)) + np.uint64((seed * 0x9E3779B97F4A7C15 + step * 0xD1B54A32D192ED03) % 2**64)
@@ -124,14 +169,13 @@ def seeding(rows: DataFrame, seeds: Sequence[int], k: int, rounds: int = 5) -> d
 
     A first row is drawn evenly; each round then draws 2 k more, without replacement and with a chance by their squared distance to the
     candidates so far: those of the least -ln(u) / d^2, of which a task puts out 2 k at most. A last pass counts the rows nearest to
-    each candidate. ``rows`` (x) is read again in each round and has to be written or checkpointed. All seeds share the passes.
+    each candidate. ``rows`` (x, arrays or blocks of ``_pack``) is read again in each round and has to be written or checkpointed. All seeds share the passes.
     """
     found: dict[int, np.ndarray] = {}
 
     def drawn(batches: Iterator[pa.RecordBatch], step: int, held: dict[int, np.ndarray], many: int) -> Iterator[pa.RecordBatch]:
         task, at, best = TaskContext.get().partitionId(), 0, {s: [] for s in seeds}
-        for batch in batches:
-            x = _matrix(batch.column(0))
+        for x in _matrices(batches):
             place = np.arange(at, at + len(x))
             at += len(x)
             for s in seeds if len(x) else ():
@@ -160,8 +204,7 @@ def seeding(rows: DataFrame, seeds: Sequence[int], k: int, rounds: int = 5) -> d
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = {s: np.zeros(len(c)) for s, c in found.items()}
-        for batch in batches:
-            x = _matrix(batch.column(0))
+        for x in _matrices(batches):
             for s, c in found.items() if len(x) else ():
                 n[s] += np.bincount(nearest(x, c)[0], minlength=len(c))
         out = [(s, j, v) for s in n for j, v in enumerate(n[s].tolist()) if v]
@@ -177,58 +220,64 @@ def seeding(rows: DataFrame, seeds: Sequence[int], k: int, rounds: int = 5) -> d
 def fit_kmeans(df: DataFrame, features: str, models: Sequence[tuple[int, int]], max_iter: int | None = None, tolerance: float = 1e-6, rounds: int = 5, starts: Sequence[np.ndarray] | None = None) -> list[tuple[np.ndarray, float]]:
     """Centres and cost of each (k, seed), all fitted side by side: a pass over the rows moves the centres of every model that still moves.
 
-    Starts come from ``seeding`` over all rows, or are given (``starts``, an array of centres a model). The rows are evaluated once, to a checkpoint
-    that every pass reads. Each task adds up its rows; a row a model, centre and dimension comes back. Rows without features take no part.
+    Starts come from ``seeding`` over all rows, or are given (``starts``, an array of centres a model). The rows are evaluated once and packed into blocks, to a checkpoint
+    that every pass reads. Each task adds up its rows; a sum a model, centre and dimension comes back. Rows without features take no part.
 
     A model is done where its centres are the means of their rows, to within ``tolerance``, or after ``max_iter`` moves if that is given. It also
     ends where a clustering comes back that it had before, told by a mark summed over hashes of rows and their centres: beyond that, only rounding moves it.
     """
-    rows = once(df.select(F.col(features).cast("array<double>").alias("x")).where("x IS NOT NULL"))
+    packed, held = once_packed(df.select(F.col(features).cast("array<double>").alias("x")).where("x IS NOT NULL").mapInArrow(_pack, "x binary"))
+    spark = df.sparkSession
+    packed = packed.coalesce(max(spark.sparkContext.defaultParallelism, held // TASK_BYTES))
     if starts is None:
-        candidates = seeding(rows, sorted({s for _, s in models}), max(k for k, _ in models), rounds)
+        candidates = seeding(spark.createDataFrame(packed.map(lambda b: (b,)), "x binary"), sorted({s for _, s in models}), max(k for k, _ in models), rounds)
         starts = [_plus_plus(*candidates[s], k, s) for k, s in models]
     found = [(np.array(c, np.float64), np.inf) for c in starts]
     moving = list(range(len(models)))
     had: list[set[int]] = [set() for _ in models]
 
-    def sums(batches: Iterator[pa.RecordBatch], here: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        totals = {m: (np.zeros_like(c), np.zeros(len(c)), np.zeros(len(c)), np.zeros(1, np.uint64)) for m, c in here}
+    def sums(blocks: Iterator[bytes], here: list[np.ndarray]) -> Iterator[list[tuple[np.ndarray, ...]]]:
+        out = [(np.zeros_like(c), np.zeros(c.shape[:2]), np.zeros(len(c)), np.zeros(len(c), np.uint64)) for c in here]
         task, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            x = _matrix(batch.column(0))
+        for block in blocks:
+            x = _matrix(pa.array([block], pa.binary()))
             place = (_uniform(0, 0, task, np.arange(at, at + len(x))) * 2.0**53).astype(np.uint64)
             at += len(x)
-            for m, c in here if len(x) else ():
-                near, d = nearest(x, c)
-                total, n, cost, mark = totals[m]
-                mark += (place * (near + 1).astype(np.uint64)).sum(dtype=np.uint64)
-                total += (near[None] == np.arange(len(c))[:, None]).astype(np.float64) @ x
-                n += np.bincount(near, minlength=len(c))
-                cost += np.bincount(near, d, len(c))
-        out = [(m, j, float(t[1][j]), float(t[2][j]), int(t[3].view(np.int64)[0]), t[0][j].tolist()) for m, t in totals.items() for j in range(len(t[1]))]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())))], names=["m", "j", "n", "cost", "mark", "total"])
+            for c, (total, n, cost, mark) in zip(here, out):
+                near, d = nearest_each(x, c)
+                own = (near == np.arange(c.shape[1]).reshape(-1, 1, 1)).astype(np.float64)
+                total += (own.reshape(-1, len(x)) @ x).reshape(own.shape[:2] + x.shape[1:]).transpose(1, 0, 2)
+                n += own.sum(2).T
+                cost += d.sum(1)
+                mark += ((near.astype(np.uint64) + np.uint64(1)) * place).sum(1, dtype=np.uint64)
+        yield out
+
+    def added(a: list[tuple[np.ndarray, ...]], b: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+        return [tuple(p + q for p, q in zip(*both)) for both in zip(a, b)]
 
     for step in count():
-        here = [(m, found[m][0]) for m in moving]
-        parts = rows.mapInArrow(lambda batches, here=here: sums(batches, here), "m int, j int, n double, cost double, mark bigint, total array<double>")
-        parts = parts.select("m", "j", "n", "cost", "mark", F.posexplode("total").alias("d", "x")).groupBy("m", "j", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.bit_xor("mark").alias("mark")).toArrow()
-        own, j, d, x, n, each, marks = (parts[c].to_numpy() for c in ("m", "j", "d", "x", "n", "cost", "mark"))
-        new, cost = {m: c.copy() for m, c in here}, dict.fromkeys(moving, 0.0)
-        for m, c in here:
-            at = (own == m) & (n > 0)  # a centre without rows stays where it is
-            new[m][j[at], d[at]] = x[at] / n[at]
-            cost[m] = float(each[(own == m) & (d == 0)].sum())
+        sizes: dict[tuple, list[int]] = {}  # models of as many centres together, those of many by themselves
+        for m in moving:
+            k = len(found[m][0])
+            sizes.setdefault((k, m if k >= MANY_CENTRES else None), []).append(m)
+        here = [np.array([found[m][0] for m in each]) for each in sizes.values()]
+        parts = packed.mapPartitions(lambda blocks, here=here: sums(blocks, here))
+        if packed.getNumPartitions() * sum(c.nbytes for c in here) > SUMS_BYTES:
+            whole = parts.treeReduce(added)
+        else:
+            whole = reduce(added, parts.collect())
         still = []
-        for m, c in here:
-            moved = ((new[m] - c) ** 2).sum(1).max()
-            mark = int(marks[own == m][0])
-            if moved > tolerance * tolerance and mark not in had[m] and (max_iter is None or step < max_iter):
-                had[m].add(mark)
-                still.append(m)
-                found[m] = new[m], cost[m]
-            else:
-                found[m] = c, cost[m]
-        moving = still
+        for each, centres, of in zip(sizes.values(), here, whole):
+            for m, c, total, n, cost, mark in zip(each, centres, *of):
+                new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)  # a centre without rows stays where it is
+                moved = ((new - c) ** 2).sum(1).max()
+                if moved > tolerance * tolerance and int(mark) not in had[m] and (max_iter is None or step < max_iter):
+                    had[m].add(int(mark))
+                    still.append(m)
+                    found[m] = new, float(cost)
+                else:
+                    found[m] = c, float(cost)
+        moving = sorted(still)
         if not moving:
             break
     return found

@@ -83,3 +83,42 @@ def test_ends_where_rounding_alone_moves_centres(spark, monkeypatch):
     x = np.concatenate([rng.normal(size=(50, 2)), rng.normal(size=(50, 2)) + 9])
     (centres, _), = S.fit_kmeans(frame(spark, x), "v", [(2, 0)], tolerance=0.0, starts=[x[[0, 99]]])
     assert np.allclose(sorted(centres.tolist()), sorted([x[:50].mean(0).tolist(), x[50:].mean(0).tolist()]))
+
+
+def lloyd(x, c):
+    while True:
+        near = S.nearest(x, c)[0]
+        new = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(len(c))])
+        if np.abs(new - c).max() <= 1e-9:
+            return c, S.nearest(x, c)[1].sum()
+        c = new
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_models_side_by_side_end_where_each_would_alone(spark, monkeypatch, packed):
+    """Several models of few centres and some of many, over blocks of a few rows; sums of many tasks are added up in tasks."""
+    if packed:
+        monkeypatch.setattr(S, "BLOCK_BYTES", 7 * 8 * 5)
+        monkeypatch.setattr(S, "SUMS_BYTES", 0)
+    x = clouds(700, 9, 5, 6, 1.5)
+    starts = [x[np.random.default_rng(i).choice(len(x), k, replace=False)] for i, k in enumerate((2, 3, 17, 3, 17, 2, 7, 1))]
+    starts.append(np.concatenate([x[:2], np.full((1, 5), 1e3)]))  # a centre without rows stays where it is
+    found = S.fit_kmeans(frame(spark, x), "v", [(len(c), 0) for c in starts], tolerance=1e-9, starts=starts)
+    for (centres, cost), start in zip(found, starts):
+        want, least = lloyd(x, start)
+        assert np.allclose(centres, want, atol=1e-8) and cost == pytest.approx(least)
+
+
+def test_a_pass_is_one_stage(spark):
+    """Passes are many, so each is one job of one stage over rows that are packed already, whatever their number of models."""
+    x = clouds(400, 4, 3, 8, 1.0)
+    df, sc = frame(spark, x), spark.sparkContext
+
+    def stages(moves):
+        sc.setJobGroup(f"moves {moves}", "")
+        S.fit_kmeans(df, "v", [(4, 0), (3, 0)], max_iter=moves, tolerance=0.0, starts=[x[:4], x[:3]])
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        jobs = sc.statusTracker().getJobIdsForGroup(f"moves {moves}")
+        return sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs)
+
+    assert stages(4) - stages(1) == 3
